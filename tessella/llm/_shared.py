@@ -46,5 +46,29 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hex_sha256(text: Column) -> Column:
+def hex_sha256(text: Column | str) -> Column:
     return F.sha2(text, 256)
+
+
+def portions(batches, column: str = "text", most: int = 2_000_000):
+    """Slices of Arrow record batches whose texts hold about `most` bytes at most; a longer text is a slice of its own."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for i, n in enumerate(sizes):
+            if held and held + n > most:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += int(n)
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+def with_columns(batch, **more):
+    """An Arrow record batch with further columns, as arrays or lists."""
+    import pyarrow as pa
+
+    names = [*batch.schema.names, *more]
+    return pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=names)
