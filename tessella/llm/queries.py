@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: The modules that have queries, by the number of their operator.
-MODULES = ("decontamination", "bpe", "language", "chat", "sharding", "quality", "token_files", "line_dedup")
+MODULES = ("decontamination", "bpe", "language", "chat", "sharding", "quality", "token_files", "line_dedup", "jaccard_join")
 
 
 def collected() -> tuple[dict, dict]:
