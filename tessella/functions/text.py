@@ -22,6 +22,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column | str) -> Column:
     """Without white space of any script at both ends."""
     return F.regexp_replace(_c(text), r"^(?U)\s+|(?U)\s+$", "")
