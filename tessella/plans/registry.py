@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "catalog", "quality")
+MODULES = ("retrieval", "catalog", "quality", "parsing")
 
 QUERIES: dict = {}
 SQL: dict = {}
