@@ -72,3 +72,19 @@ def with_columns(batch, **more):
 
     names = [*batch.schema.names, *more]
     return pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=names)
+
+
+def most_frequent(counted: DataFrame, n: Column | str, most: int) -> DataFrame:
+    """The rows of counted whose n is at least the smallest bound that at most `most` rows reach.
+
+    The bound comes from a histogram of n, so nothing is sorted and no task or driver sees more than the rows kept. Rows
+    that tie at the bound stay or go together. counted is read twice: give it as a written table.
+    """
+    n = F.col(n) if isinstance(n, str) else n
+    kept, bound = 0, None
+    histogram = counted.groupBy(n.alias("v")).agg(F.count("*").alias("c")).toPandas().sort_values("v", ascending=False)
+    for v, c in zip(histogram.v.tolist(), histogram.c.tolist()):
+        if kept + c > most:
+            break
+        kept, bound = kept + c, v
+    return counted.where(n >= bound) if bound is not None else counted.limit(0)

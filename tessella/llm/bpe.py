@@ -9,26 +9,33 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import tempfile
 from collections import Counter
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._shared import documents, hex_sha256, portions, with_columns
+from tessella.llm._shared import documents, hex_sha256, materialise, most_frequent, portions, with_columns
 
 #: Words of the lexicon; the driver gets this many at most, and executors an automaton of about 20 bytes for each.
 LEXICON_WORDS = 32_768
 #: Longest word of the lexicon, in bytes.
 LONGEST = 48
-#: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers before it starts anew.
+REMEMBERED = 800_000
 #: The pattern that cuts texts into words, as byte-level tokenizers of this family define it. Fixed value.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Latin letters, and signs that are neither letters, digits nor white space. Texts of these, ASCII digits and blanks alone
+#: are cut by the standard library's faster expressions, in which the same pattern needs its classes spelled out.
+LATIN, SIGNS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", "\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\u2010-\u2027\u2030-\u205e\u20a0-\u20bf"
+_OTHER = re.compile(f"[^\t-\r -~{LATIN}{SIGNS}]").search
+_LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+").findall
 
 
 def default_tokenizer() -> str:
@@ -148,6 +155,19 @@ def _mapped(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+class _Memo(dict):
+    """The ids of words as bytes of 32-bit numbers; a word that is not there is merged."""
+
+    def __init__(self, coder: "Encoder"):
+        self.coder = coder
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = self[word] = np.array(self.coder.merged(word), "<i4").tobytes()
+        return ids
+
+
 class Encoder:
     """Encodes and decodes texts with a byte-level BPE tokenizer file, with or without a lexicon."""
 
@@ -159,11 +179,8 @@ class Encoder:
         vocab = spec["model"]["vocab"]
         chars = byte_characters()
         value = {c: b for b, c in enumerate(chars)}
+        self.path = path
         self.first = [vocab[c] for c in chars]
-        self.merges = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.size = max([*vocab.values(), *added.values()]) + 1
         self.bytes_of = [b""] * self.size
@@ -173,13 +190,33 @@ class Encoder:
             self.bytes_of[i] = token.encode()
         self.added = added if specials else {}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.words_of = regex.compile(WORD).findall
-        self.memo: dict[str, tuple] = {}
+        self._any_words = regex.compile(WORD).findall
+        ends = np.cumsum([len(b) for b in self.bytes_of])
+        self._blob, self._from, self._size = np.frombuffer(b"".join(self.bytes_of), np.uint8), ends - np.array([len(b) for b in self.bytes_of]), np.array([len(b) for b in self.bytes_of])
+        self._chars = dict(enumerate(chars))
+        try:  # the tokenizer's own merges, where the library is there; they are those of merge()
+            from tokenizers import Tokenizer
+
+            self._model = Tokenizer.from_file(path).model
+        except ImportError:
+            self._model = None
+        self.memo = _Memo(self)
         self.automaton = None
         if lexicon:
             *parts, self.starts, self.ids = _mapped(lexicon)
             self.automaton = Automaton(*parts)
 
+    @cached_property
+    def merges(self) -> dict:
+        """For each pair of ids that is merged its rank and the id it becomes."""
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        pairs = (p.split(" ") if isinstance(p, str) else p for p in model["merges"])
+        return {(model["vocab"][a], model["vocab"][b]): (rank, model["vocab"][a + b]) for rank, (a, b) in enumerate(pairs)}
+
+    def words_of(self, text: str) -> list[str]:
+        return _LATIN_WORDS(text) if _OTHER(text) is None else self._any_words(text)
+
     def words(self, text: str) -> list[str]:
         """The words of a text; strings of added tokens are words of their own."""
         if self.special is None or not any(s in text for s in self.added):
@@ -208,6 +245,12 @@ class Encoder:
             ids[at : at + 2] = [best[1]]
         return tuple(ids)
 
+    def merged(self, word: str) -> tuple:
+        """merge(), by the library where there is one."""
+        if self._model is None or word in self.added:
+            return self.merge(word)
+        return tuple([t.id for t in self._model.tokenize(word.encode("utf-8", "replace").decode("latin-1").translate(self._chars))])
+
     def _merge_long(self, ids: list[int]) -> tuple:
         """The same with a heap over a linked list, for words of any length."""
         merges, n = self.merges, len(ids)
@@ -229,34 +272,39 @@ class Encoder:
         return tuple(x for x, ok in zip(ids, alive) if ok)
 
     def learn(self, words: set[str]) -> None:
-        """Put the ids of words into the memo: from the automaton, or merged."""
-        if len(self.memo) + len(words) > REMEMBERED:
-            self.memo.clear()
-        if self.automaton is None:
-            self.memo |= {w: self.merge(w) for w in words}
-            return
-        listed = list(words)
+        """Put the ids of those words into the memo that the automaton accepts; the others are merged when they are met."""
+        listed = [w for w in words if w not in self.added]
         numbers = self.automaton.numbers([w.encode("utf-8", "replace") for w in listed])
-        for w, k in zip(listed, numbers.tolist()):
-            self.memo[w] = tuple(self.ids[self.starts[k] : self.starts[k + 1]].tolist()) if k >= 0 and w not in self.added else self.merge(w)
+        if len(self.memo) + len(listed) > REMEMBERED:
+            self.memo.clear()
+        for i in np.nonzero(numbers >= 0)[0].tolist():
+            k = numbers[i]
+            self.memo[listed[i]] = self.ids[self.starts[k] : self.starts[k + 1]].tobytes()
 
-    def encode(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and where each text's end; a null text has none."""
         cut = [self.words(t) if t else [] for t in texts]
-        known = self.memo.keys()
-        fresh = set().union(*cut)
-        if not fresh <= known:
-            fresh -= known
-            before = len(self.memo)
-            self.learn(fresh)
-            if len(self.memo) < before:  # it started anew
-                self.learn(set().union(*cut) - self.memo.keys())
-        memo, flat, ends = self.memo, [], []
-        for words in cut:
-            for w in words:
-                flat += memo[w]
-            ends.append(len(flat))
-        return flat, ends
+        if self.automaton is not None:
+            self.learn(set().union(*cut) - self.memo.keys())
+        known = self.memo.__getitem__
+        coded = [b"".join(map(known, words)) for words in cut]
+        return np.frombuffer(b"".join(coded), "<i4"), np.cumsum([len(c) for c in coded], dtype=np.int64) // 4
+
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of ids that end at `ends`, as one Arrow array: the bytes of all ids are gathered at once."""
+        size = self._size[ids]
+        stops = np.cumsum(size)
+        data = self._blob[np.repeat(self._from[ids] - (stops - size), size) + np.arange(stops[-1] if len(ids) else 0)]
+        offsets = np.concatenate([[0], np.concatenate([[0], stops])[ends]])
+        firsts = data[offsets[:-1][offsets[:-1] < offsets[1:]]]
+        try:
+            data.tobytes().decode()
+            whole = not ((firsts & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            whole = False
+        if whole:
+            return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+        return pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets, offsets[1:])], pa.string())
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -296,9 +344,9 @@ def compile_lexicon(words: list[str], path: str) -> bytes:
 
 
 def build_lexicon(docs: DataFrame, path: str | None = None, size: int = LEXICON_WORDS) -> bytes:
-    """The transducer of the `size` words that are most frequent in docs (ties: in the words' order)."""
+    """The transducer of the words that are most frequent in docs, `size` at most; those that tie at the bound are all in or out."""
     path = path or default_tokenizer()
-    top = word_counts(docs, path).where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(size)
+    top = most_frequent(materialise(word_counts(docs, path).where((F.octet_length("word") <= LONGEST) & (F.col("n") > 1))), "n", size)
     return compile_lexicon([r.word for r in top.collect()], path)
 
 
@@ -315,7 +363,7 @@ def encode(docs: DataFrame, lexicon: bytes | None = None, path: str | None = Non
         coder = encoder(path, shared.value, specials)
         for batch in portions(batches, column):
             flat, ends = coder.encode(batch.column(batch.schema.get_field_index(column)).to_pylist())
-            ids = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(flat, pa.int32()))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
             yield with_columns(batch, ids=ids)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
@@ -328,10 +376,14 @@ def decode(coded: DataFrame, path: str | None = None, column: str = "ids", out:
     def by_rows(batches):
         coder = encoder(path)
         for batch in batches:
-            at = batch.schema.get_field_index(column)
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                yield with_columns(part, **{out: pa.array([coder.decode(x or ()) for x in part.column(at).to_pylist()], pa.string())})
+            at, start = batch.schema.get_field_index(column), 0
+            sizes = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+            while start < batch.num_rows:  # rows of some 500,000 ids at a time
+                done = sizes[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(sizes, done + 500_000, "right")))
+                part = batch.slice(start, stop - start)
+                yield with_columns(part, **{out: coder.decoded(part.column(at).flatten().to_numpy(), sizes[start:stop] - done)})
+                start = stop
 
     return coded.mapInArrow(by_rows, T.StructType([*coded.schema.fields, T.StructField(out, T.StringType())]))
 

@@ -38,20 +38,20 @@ def unescape(text: str) -> str:
     return _BACK.sub(r"\1", text)
 
 
-def encode_segments(turns: DataFrame, path: str | None = None) -> DataFrame:
+def encode_segments(turns: DataFrame, path: str) -> DataFrame:
     """turns (conv_id, turn, role, text) with role_ids and text_ids: escaped and encoded, each by itself. Null is empty."""
-    ready = turns
-    for name in ("role", "text"):
-        ready = bpe.encode(_escaped(ready, name), None, path, "_escaped", specials=False).withColumnRenamed("ids", f"{name}_ids").drop("_escaped")
-    return ready
 
-
-def _escaped(df: DataFrame, name: str) -> DataFrame:
     def run(batches):
-        for batch in portions(batches, name):
-            yield with_columns(batch, _escaped=pa.array([escape(x or "") for x in batch.column(batch.schema.get_field_index(name)).to_pylist()], pa.string()))
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_escaped", T.StringType())]))
+        coder = bpe.encoder(path, None, False)
+        for batch in portions(batches):
+            more = {}
+            for name in ("role", "text"):
+                flat, ends = coder.encode([escape(x or "") for x in batch.column(batch.schema.get_field_index(name)).to_pylist()])
+                more[f"{name}_ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
+            yield with_columns(batch, **more)
+
+    more = [T.StructField(f"{name}_ids", T.ArrayType(T.IntegerType())) for name in ("role", "text")]
+    return turns.mapInArrow(run, T.StructType([*turns.schema.fields, *more]))
 
 
 def format_conversations(turns: DataFrame, path: str | None = None) -> DataFrame:

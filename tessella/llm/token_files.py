@@ -61,7 +61,7 @@ def tokenised(docs: DataFrame, path: str | None = None, end: int = END) -> DataF
         kind, before = np.dtype("<u2" if coder.size <= 1 << 16 else "<u4"), 0
         for batch in portions(batches):
             flat, ends = coder.encode(batch.column(1).to_pylist())
-            flat, ends = np.array(flat, kind), np.array(ends)
+            flat = flat.astype(kind)
             # Room for the end id after each document.
             whole = np.full(len(flat) + len(ends), end, kind)
             whole[np.arange(len(flat)) + np.searchsorted(ends, np.arange(len(flat)), "right")] = flat
