@@ -94,6 +94,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, mo
     return scan(docs, benchmark, width).where(F.col("n_hit") <= F.col("n_words") * F.lit(most)).select(*columns)
 
 
+#: What stands between words in a text whose capitals are still there.
+_BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The rows of docs with the hit words cut out of their texts; what stands between two words goes with the first.
 
@@ -102,8 +106,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     columns = docs.columns
     out = scan(docs, benchmark, width)
     # The text as pieces, each a word and what follows it; piece 0 is what stands before the first word.
-    pieces = F.regexp_extract_all(F.concat(F.lit(""), "text"), F.lit(r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]+|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"), 0)
-    lead = F.when(F.regexp_like("text", F.lit(r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]")), 1).otherwise(0)
+    pieces = F.regexp_extract_all(F.concat(F.lit(""), "text"), F.lit(f"^[{_BETWEEN}]+|[^{_BETWEEN}]+[{_BETWEEN}]*"), 0)
+    lead = F.when(F.regexp_like("text", F.lit(f"^[{_BETWEEN}]")), 1).otherwise(0)
     kept = F.filter(pieces, lambda p, i: ~F.exists("spans", lambda s: (i - lead >= s["at"]) & (i - lead < s["end"])))
     return out.withColumn("text", F.when(F.col("n_hit") > 0, F.array_join(kept, "")).otherwise(F.col("text"))).select(*columns)
 

@@ -71,10 +71,10 @@ def base_counts(docs: DataFrame) -> DataFrame:
 def host_lines(docs: DataFrame, host: str, keep: list[str]) -> DataFrame:
     """keep, key: one row for each distinct line with a word of a document; key hashes the host and the line.
 
-    Lines are compared without case, with runs of white space as one blank and digits as 0. `words` counts the words
+    Lines are compared without case and with runs of white space as one blank. `words` counts the words
     of all the document's lines of that key.
     """
-    line = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), BLANKS, " "), r"\d+", "0"))
+    line = lambda x: F.trim(F.regexp_replace(F.lower(x), BLANKS, " "))
     lines = F.filter(F.transform(F.split("text", "\n"), line), lambda x: x != "")
     return docs.select(*keep, F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit(""))).alias("_host"), F.explode(lines).alias("_line")).select(*keep, F.xxhash64("_host", "_line").alias("key"), (F.size(F.split("_line", " "))).alias("words"))
 
@@ -85,7 +85,7 @@ def frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     Counts are added up before the shuffle, so a frequent line costs one row a task. The table is written, and its
     size then decides how it is joined.
     """
-    each = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_h"), F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), BLANKS, " "), r"\d+", "0"))), lambda x: x != "")).alias("_l"))
+    each = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_h"), F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), BLANKS, " "))), lambda x: x != "")).alias("_l"))
     sizes = each.groupBy(F.xxhash64("_h").alias("_host")).agg(F.count("*").alias("_docs"))
     counted = each.select(F.xxhash64("_h").alias("_host"), F.explode("_l").alias("_line")).groupBy("_host", F.xxhash64("_host", "_line").alias("key")).agg(F.count("*").alias("documents")).where(F.col("documents") > MOST_DOCUMENTS)
     return materialise(counted.join(sizes, "_host").where(F.col("documents") > F.col("_docs") * MOST_SHARE).select("key", "documents"))
@@ -117,7 +117,7 @@ def without_boilerplate(docs: DataFrame, host: str = "source") -> DataFrame:
     names = docs.columns
     keyed = docs.withColumn("_row", F.monotonically_increasing_id())
     lines = keyed.select("_row", F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit(""))).alias("_host"), F.posexplode(F.split("text", "\n")).alias("_at", "_text"))
-    lines = lines.withColumn("key", F.xxhash64("_host", F.trim(F.regexp_replace(F.regexp_replace(F.lower("_text"), BLANKS, " "), r"\d+", "0"))))
+    lines = lines.withColumn("key", F.xxhash64("_host", F.trim(F.regexp_replace(F.lower("_text"), BLANKS, " "))))
     left = lines.join(frequent, "key", "left_anti").groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda x: x["_text"]), "\n").alias("_left"))
     return keyed.join(left, "_row", "left").withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce("_left", F.lit("")))).select(*names)
 
@@ -136,7 +136,7 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM raw W
 win AS (SELECT doc_id, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS k FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
-line AS (SELECT doc_id, host, trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '\d+', '0', 'g')) AS k FROM raw),
+line AS (SELECT doc_id, host, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS k FROM raw),
 hosts AS (SELECT host, count(*) AS n FROM d GROUP BY host),
 freq AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT doc_id) AS c FROM line WHERE k <> '' GROUP BY host, k) JOIN hosts USING (host) WHERE c > 20 AND c > n * CAST(0.001 AS DOUBLE)),
 lost AS (SELECT doc_id, sum(len(string_split(k, ' '))) AS b FROM line JOIN freq USING (host, k) GROUP BY doc_id),

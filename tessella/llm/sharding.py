@@ -52,8 +52,8 @@ def permuted(df: DataFrame, seed: int = SEED) -> DataFrame:
     numbers lie beyond n_rows and a cycle walk ends after at most that many steps more. Nearly no row needs a step.
     """
     n = F.col("n_rows")
-    df = df.withColumn("_a", F.ceil(F.sqrt(n.cast("double"))).cast("long"))
-    df = df.withColumn("_b", F.ceil(n / F.col("_a")).cast("long"))
+    df = df.withColumn("_a", F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double")))).cast("long"))
+    df = df.withColumn("_b", F.greatest(F.lit(1), F.ceil(n / F.col("_a"))).cast("long"))
     a, b = F.col("_a"), F.col("_b")
     first = df.withColumn("_x", _step(F.col("row_no"), a, b, seed))
     walk = F.aggregate(F.sequence(F.lit(0).cast("long"), a * b - n), F.col("_x"), lambda x, _: F.when(x < n, x).otherwise(_step(x, a, b, seed)))
