@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from tessella.llm._shared import documents, materialise, portions
+from tessella.llm._shared import documents, materialise, most_frequent, portions
 
 #: Words of a shingle, and the similarity of a link in hundredths.
 WORDS = 5
@@ -30,9 +30,9 @@ PERCENT = 80
 GROUP = 256
 QUERIES_A_COPY = 4096
 #: A token is frequent if so many of some thousands of documents read together hold it. So many frequent tokens at most
-#: go last in the order; any order gives the same links, so this bounds what is broadcast and loses nothing.
-LOCALLY_FREQUENT = 4
-MOST_FREQUENT = 200_000
+#: go last in the order (8 bytes each are broadcast); any order gives the same links, so this bound loses nothing.
+LOCALLY_FREQUENT = 2
+MOST_FREQUENT = 2_000_000
 #: Parts that the nodes of a frequent token are split into when they look for its leader.
 PARTS = 32
 #: Bits of the table that sorts out rows which no later join needs. It has this size always; when crowded it lets more through.
@@ -138,7 +138,7 @@ def frequent_tokens(sets: DataFrame) -> np.ndarray:
         yield counted()
 
     rows = sets.where("n > 0").select("node", "tokens").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toPandas().token.to_numpy(np.int64)
+    top = most_frequent(materialise(rows), "n", MOST_FREQUENT).select("token").toPandas().token.to_numpy(np.int64)
     return np.sort(top)
 
 
@@ -151,7 +151,7 @@ def asking_tokens(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
     """token, part, node, n: n - needed(n) + 1 tokens of each node, those first that are not frequent.
 
     Two linked nodes share one of them: the order is one for all nodes, and of all but these a node has too few to link.
-    The nodes of a frequent token are dealt to parts; other tokens have part 0.
+    The nodes of a frequent token are dealt to parts from 1; other tokens have part 0.
     """
     shared = sets.sparkSession.sparkContext.broadcast(frequent)
 
@@ -168,7 +168,7 @@ def asking_tokens(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
                 k = n - needed(n) + 1
                 take = np.concatenate([own[~last], own[last]])[:k]
                 tokens.append(take)
-                parts.append(np.where(np.arange(len(take)) >= len(own) - last.sum(), node % PARTS, 0).astype(np.int32))
+                parts.append(np.where(np.arange(len(take)) >= len(own) - last.sum(), 1 + node % PARTS, 0).astype(np.int32))
                 nodes.append(np.full(len(take), node, np.int64))
                 sizes.append(np.full(len(take), n, np.int32))
             if tokens:
@@ -178,10 +178,12 @@ def asking_tokens(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def shared_tokens(asking: DataFrame) -> DataFrame:
-    """A written table of the rows whose token more than one node asks with: token, part, node, n, leader, leader_n."""
-    one = asking.dropDuplicates(["token", "part", "node"])
+    """A written table of the rows whose token more than one node asks with: token, part, node, n, leader, leader_n.
+
+    A node that several texts share may be there several times.
+    """
     w = Window.partitionBy("token", "part")
-    led = one.withColumns({"_first": F.min(F.struct("node", "n")).over(w), "_last": F.max("node").over(w)})
+    led = asking.withColumns({"_first": F.min(F.struct("node", "n")).over(w), "_last": F.max("node").over(w)})
     led = led.where((F.col("_first.node") < F.col("_last")) | (F.col("part") != 0))
     return materialise(led.select("token", "part", "node", "n", F.col("_first.node").alias("leader"), F.col("_first.n").alias("leader_n")))
 
@@ -190,9 +192,22 @@ def _comparable(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
+def _least_common(n: str, m: str):
+    """How many of the tokens that both ask with sets of n and m shingles share at least, if they link.
+
+    Of the two, take the one whose asking tokens end first. It has needed() - 1 other tokens, so the overlap that a
+    link takes is reached only if these few and the shared asking tokens make it up.
+    """
+    n, m = F.col(n), F.col(m)
+    overlap = F.ceil(PERCENT * (n + m) / (100 + PERCENT))
+    return overlap - F.ceil(F.greatest(n, m) * PERCENT / 100) + 1
+
+
 def leader_pairs(shared: DataFrame) -> DataFrame:
     """gid, node: each node with the leader of most of its tokens, and the leaders of a token's parts with the first of them."""
-    near = shared.where((F.col("node") != F.col("leader")) & _comparable("n", "leader_n")).groupBy("node", "leader").agg(F.count("*").alias("c"))
+    near = shared.where((F.col("node") != F.col("leader")) & _comparable("n", "leader_n")).groupBy("node", "leader", "n", "leader_n").agg(F.count_distinct("token").alias("c"))
+    # This step need not find all links, as the matrix does; pairs that share less than half of what links do are left to it.
+    near = near.where(2 * F.col("c") >= _least_common("n", "leader_n"))
     best = near.groupBy("node").agg(F.max(F.struct("c", "leader"))["leader"].alias("gid"))
     heads = shared.where("part != 0").select("token", "leader", "leader_n").distinct()
     first = heads.groupBy("token").agg(F.min(F.struct("leader", "leader_n")).alias("_f"))
@@ -268,22 +283,33 @@ def _common(sorted_tokens: np.ndarray, own: np.ndarray) -> int:
     return int((sorted_tokens[at] == own).sum())
 
 
+def _roots(edges: DataFrame) -> DataFrame:
+    """x, root: each node points to its smallest neighbour if that is smaller; the end of the pointers, found by doubling them."""
+    up = materialise(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("root")))
+    while True:
+        far = materialise(up.join(up.select(F.col("x").alias("root"), F.col("root").alias("_next")), "root").select("x", "root", F.col("_next")))
+        done = far.where(F.col("root") != F.col("_next")).isEmpty()
+        up = far.select("x", F.col("_next").alias("root"))
+        if done:
+            return up
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node that links reach), for the nodes that have links.
 
-    In each round a node takes the smallest label among its neighbours and then that label's own label; a round's
-    labels are written. The work ends when no label changes, after few rounds: paths shorten by half or more in each.
+    In each round nodes are contracted to the smaller nodes that their pointers end at, and links within one go. Every
+    node that has links left joins another, so half of them at least go in each round, and with them their links.
     """
-    both = materialise(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b), F.col(a))).distinct())
-    label = materialise(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")))
+    edges = materialise(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b), F.col(a))).where("x <> y").distinct())
+    whole = None
     while True:
-        seen = both.join(label.select(F.col("x").alias("y"), F.col("l").alias("ly")), "y").groupBy("x").agg(F.min("ly").alias("m"))
-        near = label.join(seen, "x").select("x", "l", F.least("l", "m").alias("m"))
-        jump = near.join(label.select(F.col("x").alias("m"), F.col("l").alias("lm")), "m").select("x", F.col("l").alias("was"), F.least("m", "lm").alias("l"))
-        jump = materialise(jump)
-        if jump.where("l < was").isEmpty():
-            return jump.select(F.col("x").alias("node"), F.col("l").alias("component"))
-        label = jump.select("x", "l")
+        roots = _roots(edges)
+        whole = roots if whole is None else materialise(whole.join(roots.select(F.col("x").alias("root"), F.col("root").alias("_next")), "root", "left").select("x", F.coalesce("_next", "root").alias("root")))
+        one = edges.join(roots, "x").select(F.col("root").alias("x"), "y")
+        both = one.join(roots.select(F.col("x").alias("y"), "root"), "y").select("x", F.col("root").alias("y"))
+        edges = materialise(both.where("x <> y").distinct())
+        if edges.isEmpty():
+            return whole.select(F.col("x").alias("node"), F.col("root").alias("component"))
 
 
 def link(sets: DataFrame) -> DataFrame:
@@ -300,11 +326,16 @@ def link(sets: DataFrame) -> DataFrame:
     grouped = known.join(size, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("pieces")).alias("piece"))
     rows = shared.join(grouped, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("piece", F.lit(0)).alias("piece"))
     open_tokens = rows.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("token")
-    rows = materialise(rows.join(open_tokens, "token", "left_semi").withColumn("gid", F.xxhash64("component", "piece")))
+    rows = materialise(rows.join(open_tokens, "token", "left_semi").dropDuplicates(["token", "node"]).withColumn("gid", F.xxhash64("component", "piece")))
     matrix = rows.groupBy("token", "gid", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     ask = rows.select("token", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_component"))
     near = (F.col("q_n") * 100 >= F.col("least") * PERCENT) & (F.col("most") * 100 >= F.col("q_n") * PERCENT)
-    queries = materialise(ask.join(matrix, "token").where((F.col("component") < F.col("q_component")) & near).select("gid", F.col("q").alias("node")).distinct())
+    met = ask.join(matrix, "token").where((F.col("component") < F.col("q_component")) & near).groupBy("gid", "q", "q_n").agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+    # Of a group's sizes, the least and the largest that can link ask for the fewest shared tokens.
+    met = met.withColumns({"least": F.greatest("least", F.ceil(F.col("q_n") * PERCENT / 100)), "most": F.least("most", F.floor(F.col("q_n") * 100 / PERCENT))})
+    # Between these sizes rounding may ask for one less.
+    fewest = F.least(_least_common("q_n", "least"), _least_common("q_n", "most")) - F.when(F.col("least") < F.col("most"), 1).otherwise(0)
+    queries = materialise(met.where(F.col("c") >= fewest).select("gid", F.col("q").alias("node")))
     wanted = queries.select("gid").distinct()
     alone = rows.where(F.col("component") == F.col("node")).select("gid", "node")
     grown = grouped.select(F.xxhash64("component", "piece").alias("gid"), "node")
