@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._shared import documents, portions, with_columns
+from tessella.llm._shared import documents, materialise, most_frequent, portions, with_columns
 
 #: Characters of an n-gram.
 ORDER = 4
@@ -218,7 +218,7 @@ def learn(docs: DataFrame, training: int = TRAINING_TEXTS, calibration: int = CA
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     limit = lambda i: F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, share[lang][i])]), F.col("lang"))
     train = labelled.where((_remainder() != 3) & (chance < limit(0)))
-    rows = count_grams(train).orderBy(F.desc("n"), "lang", "gram").limit(MOST_GRAMS).toPandas()
+    rows = most_frequent(materialise(count_grams(train)), "n", MOST_GRAMS).toPandas()
     grams = {}
     for lang in langs:
         part = rows[rows.lang == lang]
