@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -145,3 +146,33 @@ def test_lm_scoring(spark, frame):
             assert abs(p.sum() - 1) < 1e-9
     nothing = lm_scoring.learn(df, target.limit(0))
     assert {r.lm_score for r in lm_scoring.score(df, nothing).collect()} == {0.0}
+
+
+def test_lm_scoring_takes_all_pairs(spark, frame, monkeypatch):
+    """Pairs met once count, and what a context word hands to the back-off is of all pairs; chunks do not matter."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(0, 40))) for _ in range(200)] + ["the " + " the ".join(f"w{i}" for i in range(300)), "the w0 the w0", None]
+    df, target = frame(*texts).repartition(3), spark.createDataFrame([(i,) for i in [*range(80), 200, 201]], "doc_id long")
+    monkeypatch.setattr(lm_scoring, "CHUNK", 1000, raising=False)
+    models = lm_scoring.learn(df, target)
+    taken = lm_scoring.samples(df, target).collect()
+    pairs = lambda t: list(zip(["", *lm_scoring.words(t)], lm_scoring.words(t)))
+    sides = []
+    for side in ("in_target", "in_background"):
+        own = [p for r in taken if r[side] for p in pairs(r.text)]
+        sides.append((Counter(own), Counter(b for b, _ in own), Counter(b for b, _ in set(own)), Counter(w for _, w in own)))
+    size = models.size
+
+    def loss(side, before, word):
+        both, total, kinds, single = side
+        under = (single[word] + 0.5) / (sum(single.values()) + 0.5 * size)
+        return -np.log(max(both[before, word] - 0.75, 0) / total[before] + 0.75 * kinds[before] / total[before] * under if total[before] else under)
+
+    known = set(models.ids)
+    out = lm_scoring.score(df, models).collect()
+    assert len(out) == len(texts) and len(known) == len({w for s in sides for w in s[3]})
+    for r in out:
+        own = [p for p in pairs(texts[r.doc_id])]
+        if all(w in known for _, w in own):
+            want = [sum(loss(s, *p) for p in own) / max(len(own), 1) for s in sides]
+            assert np.allclose([r.loss_target, r.loss_background], want) and r.n_words == len(own) and r.text == texts[r.doc_id]
