@@ -2,7 +2,8 @@
 
 The models' probabilities lie in sorted arrays of n-gram hashes with a column for each language, so one search serves
 all languages. The language of the lowest cross-entropy per character wins; a text whose cross-entropy is far above
-what calibration texts of that language show is rejected.
+what calibration texts of that language show is rejected. What is tolerated shrinks with length only as far as long
+texts of one language differ by topic and vocabulary.
 """
 
 from __future__ import annotations
@@ -193,8 +194,8 @@ class Models:
         share = np.exp(-np.minimum(n, 200)[:, None] * (loss - least[:, None]))
         share = share[np.arange(len(best)), best] / share.sum(1)
         none = letters == 0
-        bound = np.array([self.limits.get(x, (0.0, np.inf)) for x in self.langs])[best]
-        odd = (least - bound[:, 0]) * np.sqrt(n) > bound[:, 1]
+        bound = np.array([self.limits.get(x, (0.0, np.inf, 0.0)) for x in self.langs])[best]
+        odd = least - bound[:, 0] > np.maximum(bound[:, 1] / np.sqrt(np.maximum(n, 1)), bound[:, 2])
         langs = [UNKNOWN if z else self.langs[b] for b, z in zip(best.tolist(), none.tolist())]
         return langs, np.where(none, 0.0, share).tolist(), np.where(none, 0.0, least).tolist(), (none | odd).tolist()
 
@@ -239,7 +240,8 @@ def learn(docs: DataFrame, training: int = TRAINING_TEXTS, calibration: int = CA
     for lang, part in seen.groupby("lang"):
         middle = float(np.average(part.loss, weights=part.n))
         spread = (part.loss - middle) * np.sqrt(part.n)
-        models.limits[lang] = middle, SLACK * float(max(np.quantile(spread, QUANTILE), 1.0))
+        long = part.loss[part.n >= part.n.median()] - middle
+        models.limits[lang] = middle, SLACK * float(max(np.quantile(spread, QUANTILE), 1.0)), SLACK * float(max(np.quantile(long, QUANTILE), 0.0))
     return models
 
 

@@ -176,3 +176,12 @@ def test_lm_scoring_takes_all_pairs(spark, frame, monkeypatch):
         if all(w in known for _, w in own):
             want = [sum(loss(s, *p) for p in own) / max(len(own), 1) for s in sides]
             assert np.allclose([r.loss_target, r.loss_background], want) and r.n_words == len(own) and r.text == texts[r.doc_id]
+
+
+def test_long_texts_are_not_rejected_for_their_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    models = language.learn(docs.select("doc_id", "text", "lang"))
+    texts = [r.text for r in docs.where(language._remainder() == 2).where("length(text) < 3000").orderBy("doc_id").limit(80).collect()]
+    rejected = lambda times: sum(sum(models.predict([(t + "\n") * times])[3]) for t in texts)
+    assert rejected(1) <= 2 and rejected(100) <= 8
+    assert all(models.predict(["xq zvw kjqx wqzp vxkq " * 5000])[3])
