@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._shared import documents, materialise, most_frequent, portions, with_columns
+from tessella.llm._shared import documents, portions, with_columns
 
 #: Characters of an n-gram.
 ORDER = 4
@@ -24,8 +24,6 @@ ORDER = 4
 #: are chosen by a hash of doc_id from all of them, and bound what comes to the driver.
 TRAINING_TEXTS = 3000
 CALIBRATION_TEXTS = 1000
-#: Most n-grams of the highest order that the models keep, the most frequent ones of all languages first.
-MOST_GRAMS = 1_500_000
 #: What fraction of calibration texts lies below the limit, and how far beyond it texts are still accepted.
 QUANTILE, SLACK = 0.999, 2.0
 UNKNOWN = "und"
@@ -219,7 +217,7 @@ def learn(docs: DataFrame, training: int = TRAINING_TEXTS, calibration: int = CA
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     limit = lambda i: F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, share[lang][i])]), F.col("lang"))
     train = labelled.where((_remainder() != 3) & (chance < limit(0)))
-    rows = most_frequent(materialise(count_grams(train)), "n", MOST_GRAMS).toPandas()
+    rows = count_grams(train).toPandas()
     grams = {}
     for lang in langs:
         part = rows[rows.lang == lang]

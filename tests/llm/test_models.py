@@ -185,3 +185,11 @@ def test_long_texts_are_not_rejected_for_their_length(spark):
     rejected = lambda times: sum(sum(models.predict([(t + "\n") * times])[3]) for t in texts)
     assert rejected(1) <= 2 and rejected(100) <= 8
     assert all(models.predict(["xq zvw kjqx wqzp vxkq " * 5000])[3])
+
+
+def test_a_small_language_keeps_its_grams(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_GRAMS", 300, raising=False)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=30)), "aa") for i in range(200)] + [(1000 + i, "ωμέγα σίγμα " + chr(945 + i), "bb") for i in range(8)]
+    models = language.learn(spark.createDataFrame(rows + [(2000 + i, "".join(rng.choices("abcde", k=2000)), "aa") for i in range(40)], "doc_id long, text string, lang string"))
+    assert models.langs == ["aa", "bb"] and models.losses(["ωμέγα σίγμα"])[0][0, 1] < 1.5
