@@ -346,7 +346,7 @@ def compile_lexicon(words: list[str], path: str) -> bytes:
 def build_lexicon(docs: DataFrame, path: str | None = None, size: int = LEXICON_WORDS) -> bytes:
     """The transducer of the words that are most frequent in docs, `size` at most; those that tie at the bound are all in or out."""
     path = path or default_tokenizer()
-    top = most_frequent(materialise(word_counts(docs, path).where((F.octet_length("word") <= LONGEST) & (F.col("n") > 1))), "n", size)
+    top = most_frequent(materialise(word_counts(docs, path).where((F.octet_length("word") <= LONGEST) & (F.col("n") > 1))), "n", size, "word")
     return compile_lexicon([r.word for r in top.collect()], path)
 
 

@@ -1,8 +1,9 @@
 """Benchmark decontamination: training texts are scanned for the word windows of test items.
 
-Windows of the test items form a hash set that is broadcast behind a check of its size. Before a window of a
-training text is looked up there, a table of one byte a slot tells whether it can be in the set at all; the few that
-can are compared word by word, so hits are exact. The training texts are read once and never shuffled.
+Windows of the test items form a hash set that is broadcast, as literals of the scan, behind a check of its bytes.
+Before a window of a training text is looked up there, a table of one byte a slot tells whether it can be in the set at
+all; the few that can are compared letter by letter with the windows of their bucket, so hits are exact. All that is
+done in the row: training texts are read once, and neither multiplied nor shuffled.
 """
 
 from __future__ import annotations
@@ -10,14 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import PUNCTUATION, ascii_lower, documents, hex_sha256, words_of
+from tessella.llm._shared import PUNCTUATION, as_given, ascii_lower, bound, documents, drop_since, hex_sha256, mark, materialise, set_aside, without, words_of
 
 #: Words in a window.
 WINDOW = 10
-#: Slots of the first test. It has this size whatever the benchmark's size; a crowded table lets more windows through to the exact test.
+#: Slots of the first test, and buckets of the set. These are their sizes whatever the benchmark's; a crowded table lets more windows through to the exact test.
 SLOTS = 1 << 18
-#: Most windows that are broadcast; more are joined by a shuffle of the windows that pass the first test.
-BROADCAST_WINDOWS = 200_000
+BUCKETS = 1 << 14
+#: Most bytes of the set that is broadcast; windows of larger benchmarks are joined by a shuffle of what passes the first test.
+BROADCAST_BYTES = 32_000_000
+#: A window's head in the set: where its text and its items begin, and their lengths, as so many digits each.
+DIGITS = 9
+HEAD = 4 * DIGITS
+RESULTS = ["n_words", "n_hit", "spans", "items"]
 
 
 def normalised_words(text: Column) -> Column:
@@ -47,51 +53,122 @@ def _slot_table(windows: DataFrame, width: int) -> Column:
 
 
 def candidates(windows: DataFrame, words: str, hashes: str) -> Column:
-    """array<struct<at, width, window>>: the windows of an array of words that may be windows of an item."""
-    found = [F.array().cast("array<struct<at:int,width:int,window:string>>")]
+    """array<struct<at, width, hash, window>>: the windows of an array of words that may be windows of an item."""
+    found = [F.array().cast("array<struct<at:int,width:int,hash:bigint,window:string>>")]
     for width in sorted(r.width for r in windows.select("width").distinct().collect()):  # 1 to the window's width
         table, h = _slot_table(windows, width), F.col(hashes)
         starts = F.when(F.size(h) >= width, F.sequence(F.lit(0), F.size(h) - width)).otherwise(F.array().cast("array<int>"))
         may = F.filter(starts, lambda i: F.substring(table, _slot([F.get(h, i + k) for k in range(width)]) + 1, F.lit(1)) == F.lit(b"\x01"))
-        found.append(F.transform(may, lambda i: F.struct(i.alias("at"), F.lit(width).alias("width"), F.array_join(F.slice(F.col(words), i + 1, width), " ").alias("window"))))
+        found.append(F.transform(may, lambda i: F.struct(i.alias("at"), F.lit(width).alias("width"), F.xxhash64(*[F.get(h, i + k) for k in range(width)]).alias("hash"), F.array_join(F.slice(F.col(words), i + 1, width), " ").alias("window"))))
     return F.concat(*found)
 
 
+def _digits(blob: Column, at: Column | int) -> Column:
+    """The number that stands in a binary literal from the byte `at`, counted from 0."""
+    return F.substring(blob, (F.lit(at) if isinstance(at, int) else at) + 1, F.lit(DIGITS)).cast("string").cast("int")
+
+
+class WindowSet:
+    """The windows as four literals: heads of all windows, bucket by bucket; where each bucket begins; texts; items."""
+
+    def __init__(self, windows: DataFrame):
+        word = F.split("window", " ")
+        buckets: dict[int, list[tuple[bytes, bytes]]] = {}
+        for width in sorted(r.width for r in windows.select("width").distinct().collect()):
+            one = windows.where(F.col("width") == width).select(F.xxhash64(*[F.xxhash64(word[i]) for i in range(width)]).bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"), F.col("window").cast("binary").alias("t"), F.array_join(F.array_sort("items"), "\0").cast("binary").alias("i"))
+            for r in one.toLocalIterator():
+                buckets.setdefault(r.b, []).append((bytes(r.t), bytes(r.i)))
+        number = lambda *values: "".join(f"{v:0{DIGITS}d}" for v in values).encode()
+        places: dict[bytes, int] = {}
+        heads, starts, texts, items = [], [], [], []
+        n_texts = n_items = 0
+        for b in range(BUCKETS):
+            starts.append(len(heads))
+            for text, ids in buckets.get(b, []):
+                if ids not in places:
+                    places[ids] = n_items
+                    items.append(ids)
+                    n_items += len(ids)
+                heads.append(number(n_texts, len(text), places[ids], len(ids)))
+                texts.append(text)
+                n_texts += len(text)
+        starts.append(len(heads))
+        self.heads, self.starts, self.texts, self.items = (F.lit(x) for x in (b"".join(heads), number(*starts), b"".join(texts), b"".join(items)))
+
+    def hits(self, found: Column) -> Column:
+        """array<struct<at, width, items>> of those candidates that are windows; items: ids with NUL between them."""
+        empty = F.array().cast("array<string>")
+
+        def owners(c: Column) -> Column:
+            bucket = c["hash"].bitwiseAND(F.lit(BUCKETS - 1)).cast("int") * DIGITS
+            first, last = _digits(self.starts, bucket), _digits(self.starts, bucket + DIGITS)
+            field = lambda k, i: _digits(self.heads, k * HEAD + i * DIGITS)
+            equal = lambda k: (field(k, 1) == F.octet_length(c["window"])) & (F.substring(self.texts, field(k, 0) + 1, field(k, 1)) == c["window"].cast("binary"))
+            heads = F.filter(F.when(last > first, F.sequence(first, last - 1)).otherwise(F.array().cast("array<int>")), equal)
+            return F.transform(heads, lambda k: F.substring(self.items, field(k, 2) + 1, field(k, 3)).cast("string"))
+
+        known = F.transform(found, lambda c: F.struct(c["at"].alias("at"), c["width"].alias("width"), F.get(F.coalesce(owners(c), empty), F.lit(0)).alias("items")))
+        return F.filter(known, lambda x: x["items"].isNotNull())
+
+
+def _runs(hits: Column) -> Column:
+    """array<struct<at, end>>: the runs of words that hits cover, in time linear in their number but for one sort."""
+    covered = F.sort_array(F.array_distinct(F.flatten(F.transform(hits, lambda x: F.sequence(x["at"], x["at"] + x["width"] - 1)))))
+
+    def runs(places: Column) -> Column:
+        firsts = F.filter(places, lambda p, i: (i == 0) | (F.get(places, i - 1) < p - 1))
+        lasts = F.filter(places, lambda p, i: (i == F.size(places) - 1) | (F.get(places, i + 1) > p + 1))
+        return F.zip_with(firsts, lasts, lambda a, z: F.struct(a.alias("at"), (z + 1).alias("end")))
+
+    return bound(covered, runs)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """Add to each row of docs: `n_words`, `n_hit` (words inside any occurrence of a window), `spans`, `items`.
 
-    spans: array<struct<at, width>>, the merged runs of hit words. items: sorted ids, as strings, of the items with
-    occurring windows. A null or empty text has no words; an item with none has no window; repeated rows are scanned
-    each for itself; other columns pass through (names that begin with _ are reserved). With an empty benchmark
-    nothing is hit. Only the columns that are asked for later travel with the windows that pass the first test.
+    spans: array<struct<at, end>>, the merged runs of hit words. items: sorted ids, as strings, of the items with
+    occurring windows. A null or empty text has no words; an item with none, or without an id, has no window; repeated
+    rows are scanned each for itself, so ties need no rule; whole texts of any length are scanned. An empty table gives
+    an empty result, and with an empty benchmark nothing is hit. Other columns pass through; those that have a result's
+    name are given back as `<name>_in`.
+    """
+    work, back = set_aside(docs, ["text"], RESULTS)
+    start = mark()
+    windows = materialise(item_windows(benchmark, width))
+    size = windows.agg(F.sum(F.octet_length("window") + F.octet_length(F.array_join("items", "\0")) + HEAD).alias("n")).first().n or 0
+    row = work.withColumn("_w", normalised_words(F.col("text"))).withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
+    row = row.withColumns({"n_words": F.size("_w").cast("long"), "_found": candidates(windows, "_w", "_h")}).drop("_w", "_h")
+    if size <= BROADCAST_BYTES:
+        row = row.withColumn("_hits", WindowSet(windows).hits(F.col("_found")))
+        drop_since(docs.sparkSession, start)
+    else:
+        row = _joined(row, windows)
+    out = row.withColumn("spans", _runs(F.col("_hits")))
+    return back(out.withColumns({
+        "n_hit": F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["at"]),
+        "items": F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda x: F.split(x["items"], "\0"))))),
+    }))
+
+
+def _joined(row: DataFrame, windows: DataFrame) -> DataFrame:
+    """row with _hits, where the set is too large to broadcast.
+
+    Texts are known by two hashes, so that candidates of equal texts are looked up once and without the text. Only
+    texts with hits get into the last join's smaller side; a frequent text's rows are split there by Spark.
     """
-    windows = item_windows(benchmark, width).cache()
-    n_windows = windows.count()
-    row = docs.withColumn("_w", normalised_words(F.col("text"))).withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-    row = row.withColumns({"n_words": F.size("_w").cast("long"), "_found": candidates(windows, "_w", "_h"), "_row": F.monotonically_increasing_id()}).drop("_w", "_h")
-    keep = [c for c in row.columns if c != "_found"]
-    one = row.select(*keep, F.explode_outer("_found").alias("_c")).select(*keep, F.col("_c.at").alias("_at"), F.col("_c.width").alias("_width"), F.col("_c.window").alias("_window"))
-    known = windows.select(F.col("window").alias("_window"), F.col("items").alias("_items"))
-    hit = one.join(F.broadcast(known) if n_windows <= BROADCAST_WINDOWS else known, "_window", "left")
-    rest = [c for c in keep if c != "_row"]
-    at = F.when(F.col("_items").isNotNull(), F.struct(F.col("_at").alias("at"), (F.col("_at") + F.col("_width")).alias("end")))
-    out = hit.groupBy("_row").agg(*[F.first(c).alias(c) for c in rest], F.array_sort(F.collect_set(at)).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("items"))
-    empty = F.array().cast("array<struct<at:int,end:int>>")
-
-    def merge(done: Column, span: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["at"].alias("at"), F.greatest(last["end"], span["end"]).alias("end"))))
-        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= span["at"]), joined).otherwise(F.concat(done, F.array(span)))
-
-    out = out.withColumn("spans", F.aggregate("_spans", empty, merge))
-    out = out.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["at"]))
-    return out.drop("_row", "_spans")
+    row = row.withColumns({"_k": F.when(F.size("_found") > 0, F.xxhash64("text")), "_l": F.xxhash64(F.lit(3), F.col("text"))})
+    asked = row.where(F.col("_k").isNotNull()).select("_k", "_l", F.explode("_found").alias("_c")).select("_k", "_l", F.col("_c.at").alias("at"), F.col("_c.width").alias("width"), F.col("_c.window").alias("window")).distinct()
+    found = asked.join(windows.select("window", F.array_join(F.array_sort("items"), "\0").alias("items")), "window")
+    hits = materialise(found.groupBy("_k", "_l").agg(F.collect_list(F.struct("at", "width", "items")).alias("_hits")))
+    none = F.array().cast(hits.schema["_hits"].dataType)
+    return row.join(hits, ["_k", "_l"], "left").withColumn("_hits", F.coalesce("_hits", none))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most: float = 0.0) -> DataFrame:
     """The rows of docs of whose words at most the share `most` is hit, with the columns of docs, as they are."""
-    columns = docs.columns
-    return scan(docs, benchmark, width).where(F.col("n_hit") <= F.col("n_words") * F.lit(most)).select(*columns)
+    # A row number, which no filter is pushed below, so that the scan is not made once more for the filter.
+    out = scan(docs, benchmark, width).withColumn("_no", F.monotonically_increasing_id())
+    return as_given(out.where((F.col("_no") >= 0) & (F.col("n_hit") <= F.col("n_words") * F.lit(most))), docs)
 
 
 #: What stands between words in a text whose capitals are still there.
@@ -103,13 +180,13 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
 
     Texts without a hit stay as they are, null texts stay null.
     """
-    columns = docs.columns
     out = scan(docs, benchmark, width)
     # The text as pieces, each a word and what follows it; piece 0 is what stands before the first word.
     pieces = F.regexp_extract_all(F.concat(F.lit(""), "text"), F.lit(f"^[{_BETWEEN}]+|[^{_BETWEEN}]+[{_BETWEEN}]*"), 0)
     lead = F.when(F.regexp_like("text", F.lit(f"^[{_BETWEEN}]")), 1).otherwise(0)
-    kept = F.filter(pieces, lambda p, i: ~F.exists("spans", lambda s: (i - lead >= s["at"]) & (i - lead < s["end"])))
-    return out.withColumn("text", F.when(F.col("n_hit") > 0, F.array_join(kept, "")).otherwise(F.col("text"))).select(*columns)
+    gone = F.transform(F.flatten(F.transform("spans", lambda x: F.sequence(x["at"], x["end"] - 1))), lambda i: i + lead)
+    kept = without(pieces, gone)
+    return as_given(out.withColumn("text", F.when(F.col("n_hit") > 0, F.array_join(kept, "")).otherwise(F.col("text"))), docs)
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

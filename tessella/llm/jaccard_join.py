@@ -1,12 +1,13 @@
 """Similarity join of documents by the Jaccard similarity of their word shingles, with a token-group matrix.
 
-Similar documents are put into groups of bounded size. The matrix says which groups hold a token; a document asks it
-with the few tokens of which a similar document must have one, and so finds the groups that can hold a partner. Such
-a group is opened only if the document's overlap with the union of the group's tokens reaches what a link needs. Then
-its members are compared, until one links: a group hangs together, so one link joins the document with all of it.
+Similar documents are put into groups of bounded size, and each group's union of tokens is written once. The matrix
+says which groups hold a token; a document asks it with the few tokens of which a similar document must have one, and so
+finds the groups that can hold a partner. Its overlap with such a group's union is counted next, and only where it
+reaches what a link needs are the group's members fetched and compared, until one links: a group hangs together, so one
+link joins the document with all of it. The union of a group of one is that document, so nothing more is fetched there.
 
 1. Each text becomes a set of hashed shingles; texts of one set are one node.
-2. The tokens that a node asks with are its rarest ones, in an order that puts tokens of many documents last.
+2. The tokens that a node asks with are its rarest ones, by a table of fixed size of how many documents hold a token.
 3. Of the nodes that ask with a token the smallest is its leader; each node is compared with the leader that it shares
    most with. Nodes so linked make up components, and these, cut into pieces, are the groups.
 4. Each node asks the matrix for the groups of other components. Components of all links are the result.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from tessella.llm._shared import documents, materialise, most_frequent, portions
+from tessella.llm._shared import documents, drop_since, fixed_table, mark, materialise, narrowed, portions
 
 #: Words of a shingle, and the similarity of a link in hundredths.
 WORDS = 5
@@ -29,14 +30,13 @@ PERCENT = 80
 #: Documents of a group at most; queries that are compared with one copy of a group at most.
 GROUP = 256
 QUERIES_A_COPY = 4096
-#: A token is frequent if so many of some thousands of documents read together hold it. So many frequent tokens at most
-#: go last in the order (8 bytes each are broadcast); any order gives the same links, so this bound loses nothing.
+#: A task counts the tokens that so many of some thousands of documents read together hold; the counts, added up by slot,
+#: order tokens. Any order gives the same links, so neither the bound nor crowded slots lose one; the table has this size
+#: (a byte a slot, broadcast) whatever the corpus is.
 LOCALLY_FREQUENT = 2
-MOST_FREQUENT = 2_000_000
-#: Parts that the nodes of a frequent token are split into when they look for its leader.
-PARTS = 32
-#: Bits of the table that sorts out rows which no later join needs. It has this size always; when crowded it lets more through.
-FILTER_BITS = 1 << 24
+SLOTS = 1 << 23
+#: The nodes of a token are split into parts of about so many, by the token's count, when they look for its leader.
+PART = 512
 #: Bytes of a token: the top bits of a shingle's 64-bit hash.
 TOKEN = 5
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -93,7 +93,11 @@ def shingle_hashes(texts: list[str | None]) -> list[np.ndarray]:
 
 
 def _tokens(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN :]).tobytes()
+    return _packed(np.unique(hashes >> np.uint64(64 - 8 * TOKEN)))
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :TOKEN]).tobytes()
 
 
 def _numbers(tokens: bytes) -> np.ndarray:
@@ -104,20 +108,29 @@ def _numbers(tokens: bytes) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """A written table: doc_id, n (shingles of the whole text), node (a hash of the set, null if empty), tokens (sorted)."""
+    """A written table: doc_id, n (shingles of the whole text), node (a number of the set, null if empty), tokens (sorted).
+
+    The number is a 64-bit hash of the set. Where a second such hash shows that sets share a number, both hashes
+    together make other numbers for these.
+    """
 
     def run(batches):
         for batch in portions(batches):
             sets = shingle_hashes(batch.column(1).to_pylist())
-            nodes = [int((_mix(h).sum(dtype=np.uint64) ^ np.uint64(len(h) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype(np.int64)) if len(h) else None for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array(nodes, pa.int64()), pa.array([_tokens(h) for h in sets], pa.binary())], names=["doc_id", "n", "node", "tokens"])
+            salted = lambda h, salt: int((_mix(h ^ np.uint64(salt)).sum(dtype=np.uint64) ^ np.uint64(len(h) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype(np.int64))
+            columns = [pa.array([salted(h, salt) if len(h) else None for h in sets], pa.int64()) for salt in (0, 0x5851F42D4C957F2D)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int32()), *columns, pa.array([_tokens(h) for h in sets], pa.binary())], names=["doc_id", "n", "node", "second", "tokens"])
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("tokens", T.BinaryType())])
-    return materialise(docs.select("doc_id", "text").mapInArrow(run, schema))
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("second", T.LongType()), T.StructField("tokens", T.BinaryType())])
+    sets = materialise(docs.select("doc_id", "text").mapInArrow(run, schema))
+    shared = materialise(sets.groupBy("node").agg(F.min("second").alias("_a"), F.max("second").alias("_b")).where("_a < _b").select("node", F.lit(True).alias("_two")))
+    if not shared.isEmpty():  # not to be expected below some 10^9 different sets
+        sets = materialise(sets.join(shared, "node", "left").withColumn("node", F.when(F.col("_two"), F.xxhash64("node", "second")).otherwise(F.col("node"))))
+    return sets.select("doc_id", "n", "node", "tokens")
 
 
-def frequent_tokens(sets: DataFrame) -> np.ndarray:
-    """The sorted tokens that many documents hold, MOST_FREQUENT of them at most."""
+def token_levels(sets: DataFrame) -> np.ndarray:
+    """For each slot of tokens the number of binary digits of how many documents hold one, 0 for all that are rare."""
 
     def run(batches):
         held, size = {}, 0
@@ -125,7 +138,7 @@ def frequent_tokens(sets: DataFrame) -> np.ndarray:
         def counted():
             tokens, n = np.unique(np.concatenate([_numbers(x) for x in held.values()] or [np.zeros(0, np.int64)]), return_counts=True)
             often = n >= LOCALLY_FREQUENT
-            return pa.RecordBatch.from_arrays([pa.array(tokens[often]), pa.array(n[often])], names=["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(tokens[often] & (SLOTS - 1)), pa.array(n[often])], names=["slot", "n"])
 
         for batch in batches:
             for node, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -137,9 +150,8 @@ def frequent_tokens(sets: DataFrame) -> np.ndarray:
                     held, size = {}, 0
         yield counted()
 
-    rows = sets.where("n > 0").select("node", "tokens").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = most_frequent(materialise(rows), "n", MOST_FREQUENT).select("token").toPandas().token.to_numpy(np.int64)
-    return np.sort(top)
+    rows = sets.where("n > 0").select("node", "tokens").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    return fixed_table(rows.select("slot", (F.floor(F.log2(F.col("n").cast("double"))) + 1).alias("v")), SLOTS, "u1")
 
 
 def needed(n):
@@ -147,16 +159,19 @@ def needed(n):
     return -(-n * PERCENT // 100)
 
 
-def asking_tokens(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """token, part, node, n: n - needed(n) + 1 tokens of each node, those first that are not frequent.
+def shared_tokens(sets: DataFrame) -> DataFrame:
+    """A written table of the tokens that nodes ask with, without those of one node: token, part, node, n, leader, leader_n.
 
-    Two linked nodes share one of them: the order is one for all nodes, and of all but these a node has too few to link.
-    The nodes of a frequent token are dealt to parts from 1; other tokens have part 0.
+    Each node asks with n - needed(n) + 1 of its tokens, the rarest first. Two linked nodes share one of them: the
+    order is one for all nodes, and of all but these a node has too few to link. The nodes of a frequent token are
+    dealt to parts from 1, the more the more there are; other tokens have part 0. A node that several texts share may be
+    there several times.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(frequent)
+    shared = sets.sparkSession.sparkContext.broadcast(token_levels(sets))
+    split = PART.bit_length()
 
     def run(batches):
-        late = shared.value
+        levels = shared.value
         for batch in batches:
             seen, tokens, parts, nodes, sizes = set(), [], [], [], []
             for node, n, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -164,28 +179,23 @@ def asking_tokens(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
                     continue
                 seen.add(node)
                 own = _numbers(x)
-                last = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own if len(late) else np.zeros(len(own), bool)
-                k = n - needed(n) + 1
-                take = np.concatenate([own[~last], own[last]])[:k]
-                tokens.append(take)
-                parts.append(np.where(np.arange(len(take)) >= len(own) - last.sum(), 1 + node % PARTS, 0).astype(np.int32))
-                nodes.append(np.full(len(take), node, np.int64))
-                sizes.append(np.full(len(take), n, np.int32))
+                level = levels[own & (SLOTS - 1)]
+                first = np.argsort(level, kind="stable")[: n - needed(n) + 1]
+                many = np.left_shift(1, np.maximum(level[first].astype(np.int64) - split, 0))
+                tokens.append(own[first])
+                parts.append(np.where(many > 1, 1 + node % many, 0).astype(np.int32))
+                nodes.append(np.full(len(first), node, np.int64))
+                sizes.append(np.full(len(first), n, np.int32))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, parts, nodes, sizes)], names=["token", "part", "node", "n"])
 
-    return sets.where("n > 0").select("node", "n", "tokens").mapInArrow(run, "token long, part int, node long, n int")
-
-
-def shared_tokens(asking: DataFrame) -> DataFrame:
-    """A written table of the rows whose token more than one node asks with: token, part, node, n, leader, leader_n.
-
-    A node that several texts share may be there several times.
-    """
+    asking = sets.where("n > 0").select("node", "n", "tokens").mapInArrow(run, "token long, part int, node long, n int")
     w = Window.partitionBy("token", "part")
     led = asking.withColumns({"_first": F.min(F.struct("node", "n")).over(w), "_last": F.max("node").over(w)})
     led = led.where((F.col("_first.node") < F.col("_last")) | (F.col("part") != 0))
-    return materialise(led.select("token", "part", "node", "n", F.col("_first.node").alias("leader"), F.col("_first.n").alias("leader_n")))
+    out = materialise(led.select("token", "part", "node", "n", F.col("_first.node").alias("leader"), F.col("_first.n").alias("leader_n")))
+    shared.destroy()
+    return out
 
 
 def _comparable(a: str, b: str):
@@ -215,65 +225,109 @@ def leader_pairs(shared: DataFrame) -> DataFrame:
     return best.select("gid", "node").union(across.select(F.col("_f.leader").alias("gid"), F.col("leader").alias("node"))).distinct()
 
 
-def _filter_table(ids: DataFrame, name: str) -> bytes:
-    """FILTER_BITS bits, set where an id of a column falls; at most one number of 62 bits for each such piece comes to the driver."""
-    slot = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
-    rows = ids.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 32).cast("int"))).alias("b")).toPandas()
-    table = np.zeros(FILTER_BITS // 32, "<u4")
-    table[rows.w.to_numpy(np.int64)] = rows.b.to_numpy(np.int64).astype(np.uint32)
-    return table.tobytes()
-
-
 def sets_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, n, tokens for the nodes asked for, one row each, as a written table. Rows of others hardly get into a shuffle."""
-    nodes = nodes.distinct()
-    shared = sets.sparkSession.sparkContext.broadcast(_filter_table(nodes, "node"))
+    nodes = materialise(nodes.distinct())
+    found = narrowed(sets.where("n > 0").select("node", "n", "tokens"), "node", nodes).join(nodes, "node", "left_semi")
+    return materialise(found.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+
+
+def unions(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """A written table: gid, sole (the member of a group of one, else null), n, tokens (the union of the members' tokens).
+
+    members: gid, node, of which a group has GROUP or so, so a task holds few tokens at a time.
+    """
 
     def run(batches):
-        table = np.frombuffer(shared.value, np.uint8)
+        gid, held, rows = None, [], []
+
+        def one():
+            node, n, tokens = held[0]
+            if len(held) > 1:
+                node, n, tokens = None, 0, _packed(np.unique(np.concatenate([_numbers(x) for _, _, x in held])))
+            return gid, node, n, tokens
+
+        def taken():
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["gid", "sole", "n", "tokens"])
+
         for batch in batches:
-            slot = batch.column(3).to_numpy()
-            keep = table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
-            yield batch.filter(pa.array(keep.astype(bool))).select([0, 1, 2])
+            for g, *member in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if g != gid and held:
+                    rows.append(one())
+                    held = []
+                gid = g
+                held.append(member)
+            if rows:
+                yield taken()
+                rows = []
+        if held:
+            rows.append(one())
+            yield taken()
+
+    rows = members.join(sets, "node").select("gid", "node", "n", "tokens").repartition("gid").sortWithinPartitions("gid", "node")
+    return materialise(rows.mapInArrow(run, "gid long, sole long, n int, tokens binary"))
+
+
+def ask_groups(groups: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
+    """A written table: gid, a, b for each query (gid, node) whose overlap with the group's union is enough for a link.
+
+    a is the query's node. b is the member of a group of one that it links with; it is null where the group has more
+    members, which then are to be opened. Of groups with many queries there are copies, each with a share of these; a
+    task holds one union at a time and the queries pass by.
+    """
+    copies, asked = _dealt(queries)
+    held = groups.join(copies, "gid").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("gid", "copy", F.lit(0).alias("kind"), F.col("sole").alias("node"), "n", "tokens")
+    rows = held.union(asked.join(sets, "node").select("gid", "copy", F.lit(1), "node", "n", "tokens")).repartition("gid", "copy").sortWithinPartitions("gid", "copy", "kind")
 
-    some = sets.where("n > 0").select("node", "n", "tokens", F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("slot"))
-    found = some.mapInArrow(run, "node long, n int, tokens binary").join(nodes, "node", "left_semi")
-    return materialise(found.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+    def run(batches):
+        at, group = None, None
+        for batch in batches:
+            found = []
+            for gid, copy, kind, node, n, tokens in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if kind == 0:
+                    at, group = (gid, copy), (node, n, _numbers(tokens))
+                    continue
+                if (gid, copy) != at:
+                    continue
+                sole, m, its = group
+                if sole is not None and min(n, m) * 100 < max(n, m) * PERCENT:
+                    continue
+                c = _common(its, _numbers(tokens))
+                if c >= needed(n) if sole is None else 100 * c >= PERCENT * (n + m - c):
+                    found.append((gid, node, sole))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names=["gid", "a", "b"])
 
+    return materialise(rows.mapInArrow(run, "gid long, a long, b long"))
 
-def open_groups(members: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: for each query (gid, node) a member (gid, node) of its group that it links with, if there is one.
 
-    Groups are small; of those with many queries there are several copies, each with a share of these. A task holds
-    one group at a time and the queries pass by.
-    """
+def _dealt(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """gid, copies; and the queries (gid, node) with the copy of their group that each is compared with."""
     copies = queries.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES_A_COPY).cast("int").alias("copies"))
-    asked = queries.join(copies, "gid").withColumn("copy", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int")).select("gid", "copy", F.lit(1).alias("kind"), "node")
+    return copies, queries.join(copies, "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), "node")
+
+
+def open_groups(members: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: for each query (gid, node) a member (gid, node) of its group that it links with, if there is one, as a written table."""
+    copies, asked = _dealt(queries)
     held = members.join(copies, "gid").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("gid", "copy", F.lit(0).alias("kind"), "node")
-    rows = held.union(asked).join(sets, "node").repartition("gid", "copy").sortWithinPartitions("gid", "copy", "kind")
+    rows = held.union(asked.select("gid", "copy", F.lit(1), "node")).join(sets, "node").select("gid", "copy", "kind", "node", "n", "tokens").repartition("gid", "copy").sortWithinPartitions("gid", "copy", "kind")
 
     def run(batches):
-        at, group, union = None, [], None
+        at, group = None, []
         for batch in batches:
-            a, b = [], []
-            columns = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("gid", "copy", "kind", "node", "n", "tokens")]
-            for gid, copy, kind, node, n, tokens in zip(*columns):
+            found = []
+            for gid, copy, kind, node, n, tokens in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if (gid, copy) != at:
-                    at, group, union = (gid, copy), [], None
+                    at, group = (gid, copy), []
                 own = _numbers(tokens)
                 if kind == 0:
                     group.append((node, n, own))
                     continue
-                if union is None:  # the group is whole: members come before queries
-                    union = group[0][2] if len(group) == 1 else np.unique(np.concatenate([x[2] for x in group] or [own[:0]]))
-                if not len(union) or _common(union, own) < needed(n):
-                    continue
                 for other, m, its in group:
                     if min(n, m) * 100 >= max(n, m) * PERCENT and 100 * (c := _common(its, own)) >= PERCENT * (n + m - c):
-                        a.append(node)
-                        b.append(other)
+                        found.append((node, other))
                         break
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
 
     return materialise(rows.mapInArrow(run, "a long, b long"))
 
@@ -314,34 +368,38 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def link(sets: DataFrame) -> DataFrame:
     """a, b: links between nodes that join exactly the nodes which all links join. sets: as of shingle_sets()."""
-    frequent = frequent_tokens(sets)
-    shared = shared_tokens(asking_tokens(sets, frequent))
+    start, spark = mark(), sets.sparkSession
+    shared = shared_tokens(sets)
     pairs = materialise(leader_pairs(shared))
     heads = pairs.select("gid", F.col("gid").alias("node")).distinct()
-    nodes = pairs.select("node").union(heads.select("node"))
-    first = open_groups(heads, pairs, sets_of(sets, nodes))
+    near = sets_of(sets, pairs.select("node").union(heads.select("node")))
+    first = ask_groups(near.join(heads, "node", "left_semi").select(F.col("node").alias("gid"), F.col("node").alias("sole"), "n", "tokens"), pairs, near)
     known = components(first)
     # Groups: components, those of many nodes in pieces; a node without links is a group of its own.
     size = known.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("pieces"))
-    grouped = known.join(size, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("pieces")).alias("piece"))
+    grouped = materialise(known.join(size, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("pieces")).alias("piece")))
     rows = shared.join(grouped, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("piece", F.lit(0)).alias("piece"))
     open_tokens = rows.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("token")
     rows = materialise(rows.join(open_tokens, "token", "left_semi").dropDuplicates(["token", "node"]).withColumn("gid", F.xxhash64("component", "piece")))
+    drop_since(spark, start, first, grouped, rows)
     matrix = rows.groupBy("token", "gid", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     ask = rows.select("token", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_component"))
-    near = (F.col("q_n") * 100 >= F.col("least") * PERCENT) & (F.col("most") * 100 >= F.col("q_n") * PERCENT)
-    met = ask.join(matrix, "token").where((F.col("component") < F.col("q_component")) & near).groupBy("gid", "q", "q_n").agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+    size_fits = (F.col("q_n") * 100 >= F.col("least") * PERCENT) & (F.col("most") * 100 >= F.col("q_n") * PERCENT)
+    met = ask.join(matrix, "token").where((F.col("component") < F.col("q_component")) & size_fits).groupBy("gid", "q", "q_n").agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
     # Of a group's sizes, the least and the largest that can link ask for the fewest shared tokens.
     met = met.withColumns({"least": F.greatest("least", F.ceil(F.col("q_n") * PERCENT / 100)), "most": F.least("most", F.floor(F.col("q_n") * 100 / PERCENT))})
     # Between these sizes rounding may ask for one less.
     fewest = F.least(_least_common("q_n", "least"), _least_common("q_n", "most")) - F.when(F.col("least") < F.col("most"), 1).otherwise(0)
     queries = materialise(met.where(F.col("c") >= fewest).select("gid", F.col("q").alias("node")))
-    wanted = queries.select("gid").distinct()
     alone = rows.where(F.col("component") == F.col("node")).select("gid", "node")
-    grown = grouped.select(F.xxhash64("component", "piece").alias("gid"), "node")
-    members = materialise(alone.union(grown).distinct().join(wanted, "gid", "left_semi"))
-    second = open_groups(members, queries, sets_of(sets, queries.select("node").union(members.select("node"))))
-    return first.union(second)
+    members = materialise(alone.union(grouped.select(F.xxhash64("component", "piece").alias("gid"), "node")).distinct().join(queries.select("gid").distinct(), "gid", "left_semi"))
+    near = sets_of(sets, queries.select("node").union(members.select("node")))
+    asked = ask_groups(unions(members, near), queries, near)
+    opened = asked.where("b is null").select("gid", F.col("a").alias("node"))
+    second = open_groups(members.join(opened.select("gid").distinct(), "gid", "left_semi"), opened, near)
+    out = materialise(first.union(asked).where("b is not null").select("a", "b").union(second))
+    drop_since(spark, start, out)
+    return out
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
@@ -349,9 +407,11 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
 
     Texts without words have no shingles and are linked with nothing: their class is their own id. Rows that repeat a
     text, with the same doc_id or not, are linked. A row without doc_id has the class of what it is linked with, or
-    null. An empty table gives an empty result. Sets are compared by 40 bits of each shingle's 64-bit hash, sizes by
-    all 64, and texts of one set are recognised by a 64-bit hash of it.
+    null. An empty table gives an empty result. Texts of any length count whole. Sets are compared by 40 bits of each
+    shingle's 64-bit hash, sizes by all 64, and texts of one set are known by 128 bits: links are those of the shingles
+    themselves but for such hashes that agree by chance.
     """
+    start = mark()
     sets = shingle_sets(docs)
     joined = components(link(sets))
     members = sets.select("doc_id", "n", "node")
@@ -360,6 +420,8 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     named = first.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = materialise(named.select("node", "component").join(least, "component").select("node", "component_id"))
+    members = materialise(members)
+    drop_since(docs.sparkSession, start, by_node, members)
     out = members.join(by_node, "node", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -369,8 +431,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id are one document and stay or go together.
     """
-    gone = similarity_classes(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(materialise(gone), "doc_id", "left_anti").select(*docs.columns)
+    start = mark()
+    gone = materialise(similarity_classes(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
+    drop_since(docs.sparkSession, start, gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

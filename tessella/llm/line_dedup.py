@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import BLANKS, documents, hex_sha256, materialise
+from tessella.llm._shared import BLANKS, bound, documents, hex_sha256, materialise, set_aside, without
 
 #: Lines in a window.
 LINES = 3
+RESULTS = ["n_lines", "n_removed"]
 
 
 def normalised_line(line: Column) -> Column:
@@ -50,33 +51,23 @@ def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     The removed places are the union of the windows' places: overlapping windows merge. Which occurrence stays is
     decided by the smallest (doc_id, place): ties cannot occur while doc_id is a key. Rows that repeat a doc_id and
     text are copies of one document and are treated alike; rows without doc_id are passed through whole, as are null
-    texts (no lines), empty ones and those with fewer lines than a window. Further columns are kept.
+    texts (no lines), empty ones and those with fewer lines than a window. A text's work grows in proportion to its
+    lines. An empty table gives an empty result. Further columns are kept; one that has a result's name is given back
+    as `<name>_in`.
     """
-    names = docs.columns
-    starts = later_windows(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), lines)
-    row = docs.join(starts.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    split = F.split("text", "\n")
-    # The number of lines with a word up to and with each line, which places it among the windows.
-    counted = F.aggregate(
-        split,
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept"), F.lit(0).alias("cut")),
-        lambda acc, x: _next_line(acc, x, lines),
-    )
-    cut = row.withColumn("_cut", F.when(F.col("starts").isNotNull(), counted))
-    n_lines = F.size(F.filter(split, lambda x: normalised_line(x) != ""))
-    return cut.withColumns({
-        "text": F.when(F.col("starts").isNotNull(), F.array_join("_cut.kept", "\n")).otherwise(F.col("text")),
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long"),
-        "n_removed": F.coalesce("_cut.cut", F.lit(0)).cast("long"),
-    }).select(*names, "n_lines", "n_removed")
-
-
-def _next_line(acc: Column, line: Column, lines: int) -> Column:
-    """Carry over one line: it goes if a removed window starts at its place or one of the places just before."""
-    word = normalised_line(line) != ""
-    n = acc["n"]
-    gone = word & F.arrays_overlap(F.col("starts"), F.sequence(n - (lines - 1), n))
-    return F.struct((n + word.cast("int")).alias("n"), F.when(gone, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(line))).alias("kept"), (acc["cut"] + gone.cast("int")).alias("cut"))
+    work, back = set_aside(docs, ["doc_id", "text"], RESULTS)
+    starts = later_windows(work.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), lines).select(F.col("doc_id").alias("_id"), F.col("starts").alias("_starts"))
+    row = work.join(starts, F.col("doc_id") == F.col("_id"), "left")
+    split, has_word = F.split("text", "\n"), lambda x: normalised_line(x) != ""
+    # The lines with a word that go, as places among such lines and then among all lines.
+    gone = F.array_distinct(F.flatten(F.transform("_starts", lambda i: F.sequence(i, i + lines - 1))))
+    worded = lambda x: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: has_word(F.get(x, i)))
+    left = bound(split, lambda x: bound(worded(x), lambda places: without(x, F.transform(gone, lambda i: F.get(places, i)))))
+    return back(row.withColumns({
+        "text": F.when(F.col("_starts").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text")),
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(split, has_word))).cast("long"),
+        "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+    }))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

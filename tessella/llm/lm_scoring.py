@@ -189,7 +189,7 @@ def learn(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY)
     """The models of docs (doc_id, text) for the documents of target_ids (doc_id). Counts are of all text of both samples."""
     sample = samples(docs, target_ids)
     counted = materialise(count_words(sample))
-    top = most_frequent(counted, F.col("target") + F.col("background"), vocabulary).toPandas()
+    top = most_frequent(counted, F.col("target") + F.col("background"), vocabulary, "word").toPandas()
     ids = {w: i + 2 for i, w in enumerate(top.word)}
     size = len(ids) + 2
     every = counted.agg(F.sum("target").alias("t"), F.sum("background").alias("b")).first()

@@ -79,12 +79,12 @@ def test_decontamination_by_brute_force(spark, frame):
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = sorted(decontamination.scan(frame(*texts), bench).collect(), key=lambda r: r.doc_id)
     assert [(r.n_words, r.n_hit, list(r["items"])) for r in out] == brute_hits(texts, items)
-    many = decontamination.BROADCAST_WINDOWS
+    many = decontamination.BROADCAST_BYTES
     try:
-        decontamination.BROADCAST_WINDOWS = 0  # the join of large benchmarks
+        decontamination.BROADCAST_BYTES = 0  # the join of large benchmarks
         again = sorted(decontamination.scan(frame(*texts), bench).collect(), key=lambda r: r.doc_id)
     finally:
-        decontamination.BROADCAST_WINDOWS = many
+        decontamination.BROADCAST_BYTES = many
     assert [(r.n_words, r.n_hit) for r in again] == [(r.n_words, r.n_hit) for r in out]
 
 
