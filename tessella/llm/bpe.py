@@ -1,34 +1,39 @@
 """Byte-level BPE encoding and decoding with a minimal acyclic transducer as the lexicon of frequent words.
 
 The words of a text (as the tokenizer's pattern cuts them) are looked up in an automaton that shares prefixes and
-suffixes and gives each accepted word its rank, which leads to the word's ids. Words that it doesn't accept are merged
-by the tokenizer's ranks. Both give the ids that the tokenizer itself gives, so the lexicon changes speed only.
+suffixes and gives each accepted word its number, which leads to the word's ids. The workers of a machine map one file of
+it. Words that it doesn't accept are merged by the tokenizer's ranks. Both give the ids that the tokenizer itself gives,
+so neither the lexicon's size nor the number of words that a worker remembers changes a result.
 """
 
 from __future__ import annotations
 
+import copy
+import hashlib
 import heapq
 import json
+import os
 import re
 import tempfile
 from collections import Counter
-from functools import cached_property, lru_cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._shared import documents, hex_sha256, materialise, most_frequent, portions, with_columns
+from tessella.llm._shared import documents, drop_since, hex_sha256, mark, materialise, most_frequent, portions, set_aside, with_columns
 
 #: Words of the lexicon; the driver gets this many at most, and executors an automaton of about 20 bytes for each.
 LEXICON_WORDS = 32_768
 #: Longest word of the lexicon, in bytes.
 LONGEST = 48
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 200_000
 #: The pattern that cuts texts into words, as byte-level tokenizers of this family define it. Fixed value.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Latin letters, and signs that are neither letters, digits nor white space. Texts of these, ASCII digits and blanks alone
@@ -139,12 +144,9 @@ def _pack(arrays: list[np.ndarray]) -> bytes:
     return b"".join(parts)
 
 
-def _mapped(blob: bytes) -> list[np.ndarray]:
-    """The arrays of _pack() as views of a memory-mapped file, which has no name and goes with the worker."""
-    file = tempfile.TemporaryFile()
-    file.write(blob)
-    file.flush()
-    data = np.memmap(file, np.uint8, "r")
+def _mapped(path: str) -> list[np.ndarray]:
+    """The arrays of _pack() as views of a memory-mapped file."""
+    data = np.memmap(path, np.uint8, "r")
     n = int.from_bytes(data[:8].tobytes(), "little")
     at, out = 8 + n, []
     for kind, length in json.loads(data[8 : 8 + n].tobytes()):
@@ -155,6 +157,24 @@ def _mapped(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _handed_out(spark: SparkSession, lexicon: bytes | None) -> str | None:
+    """The name under which Spark brings the lexicon's file to each machine, once."""
+    if lexicon is None:
+        return None
+    name = f"lexicon-{hashlib.sha256(lexicon).hexdigest()[:24]}.bin"
+    path = os.path.join(_folder(), name)
+    if not os.path.exists(path):
+        with open(path, "wb") as f:
+            f.write(lexicon)
+    spark.sparkContext.addFile(path)
+    return name
+
+
+@lru_cache(maxsize=1)
+def _folder() -> str:
+    return tempfile.mkdtemp(prefix="tessella-lexicons-")
+
+
 class _Memo(dict):
     """The ids of words as bytes of 32-bit numbers; a word that is not there is merged."""
 
@@ -164,14 +184,16 @@ class _Memo(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self[word] = np.array(self.coder.merged(word), "<i4").tobytes()
+        ids = self[word] = np.array(self.coder.merge(word), "<i4").tobytes()
         return ids
 
 
 class Encoder:
     """Encodes and decodes texts with a byte-level BPE tokenizer file, with or without a lexicon."""
 
-    def __init__(self, path: str, lexicon: bytes | None = None, specials: bool = True):
+    automaton = None
+
+    def __init__(self, path: str, specials: bool = True, library: bool = False):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -179,7 +201,6 @@ class Encoder:
         vocab = spec["model"]["vocab"]
         chars = byte_characters()
         value = {c: b for b, c in enumerate(chars)}
-        self.path = path
         self.first = [vocab[c] for c in chars]
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.size = max([*vocab.values(), *added.values()]) + 1
@@ -193,26 +214,23 @@ class Encoder:
         self._any_words = regex.compile(WORD).findall
         ends = np.cumsum([len(b) for b in self.bytes_of])
         self._blob, self._from, self._size = np.frombuffer(b"".join(self.bytes_of), np.uint8), ends - np.array([len(b) for b in self.bytes_of]), np.array([len(b) for b in self.bytes_of])
-        self._chars = dict(enumerate(chars))
-        try:  # the tokenizer's own merges, where the library is there; they are those of merge()
+        model = spec["model"]
+        pairs = (p.split(" ") if isinstance(p, str) else p for p in model["merges"])
+        #: For each pair of ids that is merged its rank and the id it becomes.
+        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self._model, self._chars = None, dict(enumerate(chars))
+        if library:
             from tokenizers import Tokenizer
 
             self._model = Tokenizer.from_file(path).model
-        except ImportError:
-            self._model = None
         self.memo = _Memo(self)
-        self.automaton = None
-        if lexicon:
-            *parts, self.starts, self.ids = _mapped(lexicon)
-            self.automaton = Automaton(*parts)
-
-    @cached_property
-    def merges(self) -> dict:
-        """For each pair of ids that is merged its rank and the id it becomes."""
-        with open(self.path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        pairs = (p.split(" ") if isinstance(p, str) else p for p in model["merges"])
-        return {(model["vocab"][a], model["vocab"][b]): (rank, model["vocab"][a + b]) for rank, (a, b) in enumerate(pairs)}
+
+    def with_lexicon(self, path: str) -> Encoder:
+        """The same tables with the lexicon of a file, and a memory of their own."""
+        out = copy.copy(self)
+        *parts, out.starts, out.ids = _mapped(path)
+        out.automaton, out.memo = Automaton(*parts), _Memo(out)
+        return out
 
     def words_of(self, text: str) -> list[str]:
         return _LATIN_WORDS(text) if _OTHER(text) is None else self._any_words(text)
@@ -227,9 +245,14 @@ class Encoder:
         return out
 
     def merge(self, word: str) -> tuple:
-        """The ids of a word by the ranks: the leftmost pair of the lowest rank is merged until none is left."""
+        """The ids of a word by the ranks: the leftmost pair of the lowest rank is merged until none is left.
+
+        With library it is the tokenizers library that merges, which gives the same ids.
+        """
         if word in self.added:
             return (self.added[word],)
+        if self._model is not None:
+            return tuple([t.id for t in self._model.tokenize(word.encode("utf-8", "replace").decode("latin-1").translate(self._chars))])
         ids = [self.first[b] for b in word.encode("utf-8", "replace")]
         merges = self.merges
         if len(ids) > 100:
@@ -245,12 +268,6 @@ class Encoder:
             ids[at : at + 2] = [best[1]]
         return tuple(ids)
 
-    def merged(self, word: str) -> tuple:
-        """merge(), by the library where there is one."""
-        if self._model is None or word in self.added:
-            return self.merge(word)
-        return tuple([t.id for t in self._model.tokenize(word.encode("utf-8", "replace").decode("latin-1").translate(self._chars))])
-
     def _merge_long(self, ids: list[int]) -> tuple:
         """The same with a heap over a linked list, for words of any length."""
         merges, n = self.merges, len(ids)
@@ -310,10 +327,15 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, lexicon: bytes | None = None, specials: bool = True) -> Encoder:
+@lru_cache(maxsize=2)
+def encoder(path: str, specials: bool = True, library: bool = False) -> Encoder:
     """One encoder for each worker process, which later tasks use again."""
-    return Encoder(path, lexicon, specials)
+    return Encoder(path, specials, library)
+
+
+@lru_cache(maxsize=1)
+def _lexicon_encoder(path: str, name: str, specials: bool) -> Encoder:
+    return encoder(path, specials).with_lexicon(SparkFiles.get(name))
 
 
 def word_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -344,34 +366,44 @@ def compile_lexicon(words: list[str], path: str) -> bytes:
 
 
 def build_lexicon(docs: DataFrame, path: str | None = None, size: int = LEXICON_WORDS) -> bytes:
-    """The transducer of the words that are most frequent in docs, `size` at most; those that tie at the bound are all in or out."""
+    """The transducer of the words that are most frequent in docs, `size` at most. A null text has none."""
     path = path or default_tokenizer()
+    start = mark()
     top = most_frequent(materialise(word_counts(docs, path).where((F.octet_length("word") <= LONGEST) & (F.col("n") > 1))), "n", size, "word")
-    return compile_lexicon([r.word for r in top.collect()], path)
+    words = [r.word for r in top.collect()]
+    drop_since(docs.sparkSession, start)
+    return compile_lexicon(words, path)
 
 
 def encode(docs: DataFrame, lexicon: bytes | None = None, path: str | None = None, column: str = "text", specials: bool = True) -> DataFrame:
     """docs with `ids`, array<int>: the ids of each whole text as the tokenizer gives them, no special ones added.
 
-    A null or empty text has no ids. With specials, strings of added tokens in a text are those tokens, else ordinary
-    text. Rows and further columns pass through; the work is by row, so ties, repeats and empty tables need no rule.
+    A null or empty text has no ids; whole texts of any length are encoded. With specials, strings of added tokens in a
+    text are those tokens, else ordinary text. The work is by row, so ties and repeated rows need no rule, and an empty
+    table gives an empty result. Further columns pass through; one named `ids` is given back as `ids_in`.
     """
     path = path or default_tokenizer()
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    name = _handed_out(docs.sparkSession, lexicon)
+    work, back = set_aside(docs, [column], ["ids"])
 
     def run(batches):
-        coder = encoder(path, shared.value, specials)
+        coder = encoder(path, specials) if name is None else _lexicon_encoder(path, name, specials)
         for batch in portions(batches, column):
             flat, ends = coder.encode(batch.column(batch.schema.get_field_index(column)).to_pylist())
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
             yield with_columns(batch, ids=ids)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return back(work.mapInArrow(run, T.StructType([*work.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])))
 
 
 def decode(coded: DataFrame, path: str | None = None, column: str = "ids", out: str = "decoded") -> DataFrame:
-    """coded with the text of its ids; null ids give an empty text, special ids their string, bytes that are no UTF-8 U+FFFD."""
+    """coded with the text of its ids; null ids give an empty text, special ids their string, bytes that are no UTF-8 U+FFFD.
+
+    Rows are decoded each for itself, however many ids they have: ties, repeats and an empty table need no rule.
+    Further columns pass through; one with the result's name is given back as `<name>_in`.
+    """
     path = path or default_tokenizer()
+    work, back = set_aside(coded, [column], [out])
 
     def by_rows(batches):
         coder = encoder(path)
@@ -385,7 +417,7 @@ def decode(coded: DataFrame, path: str | None = None, column: str = "ids", out:
                 yield with_columns(part, **{out: coder.decoded(part.column(at).flatten().to_numpy(), sizes[start:stop] - done)})
                 start = stop
 
-    return coded.mapInArrow(by_rows, T.StructType([*coded.schema.fields, T.StructField(out, T.StringType())]))
+    return back(work.mapInArrow(by_rows, T.StructType([*work.schema.fields, T.StructField(out, T.StringType())])))
 
 
 def op2_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

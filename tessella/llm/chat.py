@@ -42,7 +42,7 @@ def encode_segments(turns: DataFrame, path: str) -> DataFrame:
     """turns (conv_id, turn, role, text) with role_ids and text_ids: escaped and encoded, each by itself. Null is empty."""
 
     def run(batches):
-        coder = bpe.encoder(path, None, False)
+        coder = bpe.encoder(path, False)
         for batch in portions(batches):
             more = {}
             for name in ("role", "text"):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._shared import documents, portions, with_columns
+from tessella.llm._shared import documents, portions, set_aside, with_columns
 
 #: Characters of an n-gram.
 ORDER = 4
@@ -25,6 +25,9 @@ ORDER = 4
 TRAINING_TEXTS = 3000
 CALIBRATION_TEXTS = 1000
 #: What fraction of calibration texts lies below the limit, and how far beyond it texts are still accepted.
+#: Characters whose n-grams are looked up together.
+PIECE = 1 << 18
+RESULTS = ["lang_pred", "lang_score", "cross_entropy", "rejected"]
 QUANTILE, SLACK = 0.999, 2.0
 UNKNOWN = "und"
 _FACTOR, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x632BE59BD9B4E019)
@@ -163,8 +166,21 @@ class Models:
     def losses(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy in nats per character for each text and language, the number of characters, and that of letters."""
         codes, owner = normalised(texts)
+        sums, n, letters = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for start in range(0, len(codes), PIECE):  # a piece at a time, with the characters before it as context
+            before = min(start, ORDER - 1)
+            piece, whose = codes[start - before : start + PIECE], owner[start - before : start + PIECE]
+            places = before + np.nonzero(piece[before:] > 0)[0]
+            total, whose = self._logs(piece, places), whose[places]
+            n += np.bincount(whose, minlength=len(texts))
+            letters += np.bincount(whose[piece[places] != 32], minlength=len(texts))
+            for j in range(len(self.langs)):
+                sums[:, j] += np.bincount(whose, total[:, j], len(texts))
+        return -sums / np.maximum(n, 1)[:, None], n, letters
+
+    def _logs(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The log probability of the character at each place in each language."""
         hashes = gram_hashes(codes)
-        places = np.nonzero(codes > 0)[0]
         total = np.zeros((len(places), len(self.langs)), np.float32)
         left = np.arange(len(places))
         for k in range(ORDER, 0, -1):
@@ -176,11 +192,7 @@ class Models:
                 total[left[ok]] += self.weights[k - 1][at[ok]]
             elif len(self.weights[0]):
                 total[left] += self.weights[0][0] + self.floor
-        whose = owner[places]
-        n = np.bincount(whose, minlength=len(texts))
-        letters = np.bincount(whose[codes[places] != 32], minlength=len(texts))
-        sums = np.stack([np.bincount(whose, total[:, j], len(texts)) for j in range(len(self.langs))], 1) if self.langs else np.zeros((len(texts), 0))
-        return -sums / np.maximum(n, 1)[:, None], n, letters
+        return total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[bool]]:
         """Language, score, cross-entropy per character and whether the text is rejected."""
@@ -189,7 +201,7 @@ class Models:
             return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [True] * len(texts)
         best = loss.argmin(1)
         least = loss.min(1)
-        share = np.exp(-np.minimum(n, 200)[:, None] * (loss - least[:, None]))
+        share = np.exp(-n[:, None] * (loss - least[:, None]))  # the chance of each language, were all alike before
         share = share[np.arange(len(best)), best] / share.sum(1)
         none = letters == 0
         bound = np.array([self.limits.get(x, (0.0, np.inf, 0.0)) for x in self.langs])[best]
@@ -247,8 +259,10 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     """docs with lang_pred, lang_score (0 to 1), cross_entropy (nats a character) and rejected, from `text` alone.
 
     Null texts and texts without a letter are `und`, of score 0, and rejected. Ties go to the first language by name.
-    Repeated rows are judged alike, an empty table gives an empty result, further columns pass through.
+    Repeated rows are judged alike, whole texts of any length are read, an empty table gives an empty result. Further
+    columns pass through; those that have a result's name are given back as `<name>_in`.
     """
+    work, back = set_aside(docs, ["text"], RESULTS)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
@@ -257,7 +271,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
             yield with_columns(batch, lang_pred=pa.array(langs, pa.string()), lang_score=pa.array(score, pa.float64()), cross_entropy=pa.array(loss, pa.float64()), rejected=pa.array(odd, pa.bool_()))
 
     more = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    return back(work.mapInArrow(run, T.StructType([*work.schema.fields, *more])))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ def tokenised(docs: DataFrame, path: str | None = None, end: int = END) -> DataF
     path = path or bpe.default_tokenizer()
 
     def run(batches):
-        coder = bpe.encoder(path)
+        coder = bpe.encoder(path, library=True)
         kind, before = np.dtype("<u2" if coder.size <= 1 << 16 else "<u4"), 0
         for batch in portions(batches):
             flat, ends = coder.encode(batch.column(1).to_pylist())
