@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._shared import documents, drop_since, hex_sha256, mark, materialise, most_frequent, portions, set_aside, with_columns
+from tessella.llm._shared import documents, drop_since, give_back, hex_sha256, mark, materialise, most_frequent, portions, set_aside, with_columns
 
 #: Words of the lexicon; the driver gets this many at most, and executors an automaton of about 20 bytes for each.
 LEXICON_WORDS = 32_768
 #: Longest word of the lexicon, in bytes.
 LONGEST = 48
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: The pattern that cuts texts into words, as byte-level tokenizers of this family define it. Fixed value.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Latin letters, and signs that are neither letters, digits nor white space. Texts of these, ASCII digits and blanks alone
@@ -347,7 +347,7 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
         for batch in portions(batches):
             for text in batch.column(0).to_pylist():
                 total.update(coder.words(text or ""))
-            if len(total) > 300_000:
+            if len(total) > 120_000:
                 yield pa.RecordBatch.from_pydict({"word": list(total), "n": list(total.values())})
                 total.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
@@ -410,12 +410,13 @@ def decode(coded: DataFrame, path: str | None = None, column: str = "ids", out:
         for batch in batches:
             at, start = batch.schema.get_field_index(column), 0
             sizes = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
-            while start < batch.num_rows:  # rows of some 500,000 ids at a time
+            while start < batch.num_rows:  # rows of some 250,000 ids at a time
                 done = sizes[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(sizes, done + 500_000, "right")))
+                stop = max(start + 1, int(np.searchsorted(sizes, done + 250_000, "right")))
                 part = batch.slice(start, stop - start)
                 yield with_columns(part, **{out: coder.decoded(part.column(at).flatten().to_numpy(), sizes[start:stop] - done)})
                 start = stop
+        give_back()
 
     return back(work.mapInArrow(by_rows, T.StructType([*work.schema.fields, T.StructField(out, T.StringType())])))
 

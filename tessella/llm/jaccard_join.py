@@ -37,6 +37,8 @@ LOCALLY_FREQUENT = 2
 SLOTS = 1 << 23
 #: The nodes of a token are split into parts of about so many, by the token's count, when they look for its leader.
 PART = 512
+#: Bits for a part beside the token's in one number.
+PART_BITS = 20
 #: Bytes of a token: the top bits of a shingle's 64-bit hash.
 TOKEN = 5
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -115,7 +117,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in portions(batches):
+        for batch in portions(batches, most=2_000_000):
             sets = shingle_hashes(batch.column(1).to_pylist())
             salted = lambda h, salt: int((_mix(h ^ np.uint64(salt)).sum(dtype=np.uint64) ^ np.uint64(len(h) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype(np.int64))
             columns = [pa.array([salted(h, salt) if len(h) else None for h in sets], pa.int64()) for salt in (0, 0x5851F42D4C957F2D)]
@@ -173,7 +175,7 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
     def run(batches):
         levels = shared.value
         for batch in batches:
-            seen, tokens, parts, nodes, sizes = set(), [], [], [], []
+            seen, tokens, nodes, sizes = set(), [], [], []
             for node, n, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if node in seen:
                     continue
@@ -181,17 +183,17 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
                 own = _numbers(x)
                 level = levels[own & (SLOTS - 1)]
                 first = np.argsort(level, kind="stable")[: n - needed(n) + 1]
-                many = np.left_shift(1, np.maximum(level[first].astype(np.int64) - split, 0))
-                tokens.append(own[first])
-                parts.append(np.where(many > 1, 1 + node % many, 0).astype(np.int32))
+                many = np.left_shift(1, np.clip(level[first].astype(np.int64) - split, 0, PART_BITS - 1))
+                tokens.append(own[first] << PART_BITS | np.where(many > 1, 1 + node % many, 0))
                 nodes.append(np.full(len(first), node, np.int64))
                 sizes.append(np.full(len(first), n, np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, parts, nodes, sizes)], names=["token", "part", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, sizes)], names=["place", "node", "n"])
 
-    asking = sets.where("n > 0").select("node", "n", "tokens").mapInArrow(run, "token long, part int, node long, n int")
-    w = Window.partitionBy("token", "part")
+    asking = sets.where("n > 0").select("node", "n", "tokens").mapInArrow(run, "place long, node long, n int")
+    w = Window.partitionBy("place")
     led = asking.withColumns({"_first": F.min(F.struct("node", "n")).over(w), "_last": F.max("node").over(w)})
+    led = led.withColumns({"token": F.expr(f"shiftright(place, {PART_BITS})"), "part": F.expr(f"place & {(1 << PART_BITS) - 1}").cast("int")})
     led = led.where((F.col("_first.node") < F.col("_last")) | (F.col("part") != 0))
     out = materialise(led.select("token", "part", "node", "n", F.col("_first.node").alias("leader"), F.col("_first.n").alias("leader_n")))
     shared.destroy()

@@ -27,6 +27,8 @@ CALIBRATION_TEXTS = 1000
 #: What fraction of calibration texts lies below the limit, and how far beyond it texts are still accepted.
 #: Characters whose n-grams are looked up together.
 PIECE = 1 << 18
+#: Bytes of texts that are looked at together.
+TEXT = 400_000
 RESULTS = ["lang_pred", "lang_score", "cross_entropy", "rejected"]
 QUANTILE, SLACK = 0.999, 2.0
 UNKNOWN = "und"
@@ -77,7 +79,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """lang, gram, n: the n-grams of the highest order, counted where texts are read and then added up."""
 
     def count(batches):
-        for batch in portions(batches):
+        for batch in portions(batches, most=TEXT):
             part = batch.to_pandas().dropna(subset=["lang", "text"])
             for lang, texts in part.groupby("lang").text:
                 codes, _ = normalised(list(texts))
@@ -239,7 +241,7 @@ def learn(docs: DataFrame, training: int = TRAINING_TEXTS, calibration: int = CA
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def measure(batches):
-        for batch in portions(batches):
+        for batch in portions(batches, most=TEXT):
             part = batch.to_pandas().dropna()
             if len(part):
                 loss, n, letters = shared.value.losses(list(part.text))
@@ -266,7 +268,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
-        for batch in portions(batches):
+        for batch in portions(batches, most=TEXT):
             langs, score, loss, odd = shared.value.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield with_columns(batch, lang_pred=pa.array(langs, pa.string()), lang_score=pa.array(score, pa.float64()), cross_entropy=pa.array(loss, pa.float64()), rejected=pa.array(odd, pa.bool_()))
 
