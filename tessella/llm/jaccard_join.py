@@ -162,12 +162,11 @@ def needed(n):
 
 
 def shared_tokens(sets: DataFrame) -> DataFrame:
-    """A written table of the tokens that nodes ask with, without those of one node: token, part, node, n, leader, leader_n.
+    """A written table of the tokens that nodes ask with, without those of one node: token, part, node, n, at, leader, leader_n.
 
     Each node asks with n - needed(n) + 1 of its tokens, the rarest first. Two linked nodes share one of them: the
     order is one for all nodes, and of all but these a node has too few to link. The nodes of a frequent token are
-    dealt to parts from 1, the more the more there are; other tokens have part 0. A node that several texts share may be
-    there several times.
+    dealt to parts from 1, the more the more there are; other tokens have part 0. `at` is the token's place in the node's order, from 0.
     """
     shared = sets.sparkSession.sparkContext.broadcast(token_levels(sets))
     split = PART.bit_length()
@@ -186,16 +185,20 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
                 many = np.left_shift(1, np.clip(level[first].astype(np.int64) - split, 0, PART_BITS - 1))
                 tokens.append(own[first] << PART_BITS | np.where(many > 1, 1 + node % many, 0))
                 nodes.append(np.full(len(first), node, np.int64))
-                sizes.append(np.full(len(first), n, np.int32))
+                sizes.append((n << 32) + np.arange(len(first), dtype=np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, sizes)], names=["place", "node", "n"])
-
-    asking = sets.where("n > 0").select("node", "n", "tokens").mapInArrow(run, "place long, node long, n int")
-    w = Window.partitionBy("place")
-    led = asking.withColumns({"_first": F.min(F.struct("node", "n")).over(w), "_last": F.max("node").over(w)})
-    led = led.withColumns({"token": F.expr(f"shiftright(place, {PART_BITS})"), "part": F.expr(f"place & {(1 << PART_BITS) - 1}").cast("int")})
-    led = led.where((F.col("_first.node") < F.col("_last")) | (F.col("part") != 0))
-    out = materialise(led.select("token", "part", "node", "n", F.col("_first.node").alias("leader"), F.col("_first.n").alias("leader_n")))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, sizes)], names=["key", "node", "size"])
+
+    # Few columns and one exchange for all that follows: these are the rows of most of the job.
+    asking = sets.where("n > 0").select("node", "n", "tokens").mapInArrow(run, "key long, node long, size long").repartition("key").dropDuplicates(["key", "node"])
+    asking = asking.select("key", "node", F.expr("cast(shiftright(size, 32) as int)").alias("n"), F.expr("cast(size & 4294967295 as int)").alias("at"))
+    # A pair's first common token is among the first n - overlap + 1 of the node that is not the larger one.
+    early = (100 + PERCENT) * F.col("at") <= (100 - PERCENT) * F.col("n")
+    w = Window.partitionBy("key")
+    led = asking.withColumns({"_first": F.min(F.struct("node", "n")).over(w), "_last": F.max("node").over(w), "_early": F.max(early).over(w)})
+    led = led.withColumns({"token": F.expr(f"shiftright(key, {PART_BITS})"), "part": F.expr(f"cast(key & {(1 << PART_BITS) - 1} as int)")})
+    led = led.where((F.col("_early") & (F.col("_first.node") < F.col("_last"))) | (F.col("part") != 0))
+    out = materialise(led.select("token", "part", "node", "n", "at", F.col("_first.node").alias("leader"), F.col("_first.n").alias("leader_n")))
     shared.destroy()
     return out
 
@@ -380,19 +383,20 @@ def link(sets: DataFrame) -> DataFrame:
     # Groups: components, those of many nodes in pieces; a node without links is a group of its own.
     size = known.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("pieces"))
     grouped = materialise(known.join(size, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("pieces")).alias("piece")))
-    rows = shared.join(grouped, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("piece", F.lit(0)).alias("piece"))
+    rows = shared.join(grouped, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("component"), F.coalesce("piece", F.lit(0)).alias("piece"))
     open_tokens = rows.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("token")
-    rows = materialise(rows.join(open_tokens, "token", "left_semi").dropDuplicates(["token", "node"]).withColumn("gid", F.xxhash64("component", "piece")))
+    rows = materialise(rows.join(open_tokens, "token", "left_semi").withColumn("gid", F.xxhash64("component", "piece")))
     drop_since(spark, start, first, grouped, rows)
-    matrix = rows.groupBy("token", "gid", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    ask = rows.select("token", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_component"))
+    # Two nodes are looked at by the first token, in the order, that both have. The tokens before it are missing in the
+    # other, so its place says how large the other may be: a token that many have behind more tokens of their own than
+    # a link allows brings no two of them together.
+    reach = 100 * F.col("n") - (100 + PERCENT) * F.col("at")
+    matrix = rows.groupBy("token", "gid", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(reach).alias("reach"))
+    ask = rows.select("token", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_component"), reach.alias("q_reach"))
     size_fits = (F.col("q_n") * 100 >= F.col("least") * PERCENT) & (F.col("most") * 100 >= F.col("q_n") * PERCENT)
-    met = ask.join(matrix, "token").where((F.col("component") < F.col("q_component")) & size_fits).groupBy("gid", "q", "q_n").agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
-    # Of a group's sizes, the least and the largest that can link ask for the fewest shared tokens.
-    met = met.withColumns({"least": F.greatest("least", F.ceil(F.col("q_n") * PERCENT / 100)), "most": F.least("most", F.floor(F.col("q_n") * 100 / PERCENT))})
-    # Between these sizes rounding may ask for one less.
-    fewest = F.least(_least_common("q_n", "least"), _least_common("q_n", "most")) - F.when(F.col("least") < F.col("most"), 1).otherwise(0)
-    queries = materialise(met.where(F.col("c") >= fewest).select("gid", F.col("q").alias("node")))
+    first_fits = (F.col("reach") >= F.col("q_n") * PERCENT) & (F.col("q_reach") >= F.col("least") * PERCENT)
+    met = ask.join(matrix, "token").where((F.col("component") < F.col("q_component")) & size_fits & first_fits)
+    queries = materialise(met.select("gid", F.col("q").alias("node")).distinct())
     alone = rows.where(F.col("component") == F.col("node")).select("gid", "node")
     members = materialise(alone.union(grouped.select(F.xxhash64("component", "piece").alias("gid"), "node")).distinct().join(queries.select("gid").distinct(), "gid", "left_semi"))
     near = sets_of(sets, queries.select("node").union(members.select("node")))
