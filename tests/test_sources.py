@@ -95,7 +95,7 @@ def test_cleaning(spark):
 
 def test_table_cells_and_tables(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
-    cells = {"1,000.50": "1000.5", "3.14000": "3.14", "100 %": "100%", "a , b": "a,b", "-0.0": "0", "1 2": "12", "x&amp;y": "x&y", "+7": "7"}
+    cells = {"27,400,1.20": "274001.2", "| 08.500 |": " 08.500 ", "61 %": "61%", "k = 4 / 9": "k=4/9", "-0.000": "0", "5 6 7": "567", "p&lt;q": "p<q", "+19": "19", "0.9999999999999": "1", "0.1234567890126": "0.123456789013", "1.2.3": "1.2.3", "--4": "--4", "a<BR />b": "a b", "": ""}
     assert {k: one(tables.cell(F.lit(k))) for k in cells} == cells
     html = "<table><caption>C</caption><tr><th>a</th><th>b</th></tr><tr><td>1</td><td></td></tr><tr><td>x<br/>y</td><td>2</td></tr></table>"
     t = one(tables.table(F.lit(html)))
@@ -110,6 +110,23 @@ def test_latex(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(latex.normalise(F.lit(r"\mathrm{d x} ^ { 2 }"))) == r"\mathrm{dx}^{2}"
     assert one(latex.to_text(F.lit(r"\alpha^{2} + \int \cdots 0 . 7"))) == "α² + ∫ ⋯ 0.7"
+    same = {r"A ^ { \wedge } T": "A^T", r"x _ { i j }": r"x_{ij}", r"{a} + {b": "{a} + {b", r"\mathbb R": r"\mathbbR", r"y ^ { \text {a b} }": r"y^{ \text {a b} }"}
+    assert {k: one(latex.normalise(F.lit(k))) for k in same} == same
+    read = {r"\mathrm {kg} \leq 1 2": "kg ≤ 12", r"x_{3} \in \{0\}": r"x3 ∈ \{0\}", r"\operatorname{rank} q^{ab}": "operatornamerank q^ab", r"\frac{p}{q}": r"\fracpq"}
+    assert {k: one(latex.to_text(F.lit(k))) for k in read} == read
+    assert one(latex.to_text(F.lit(None).cast("string"))) is None
+
+
+def test_paths_of_titles_with_skipped_levels(spark):
+    import json
+
+    level = lambda k, t, y: {"type": "title", "text_level": k, "content": t, "page_idx": 0, "bbox": [0, y, 10, y + 5]}
+    blocks = [level(1, "one", 0), level(2, "two", 10), level(1, "uno", 20), level(3, "deep", 30), {"type": "table", "bbox": [0, 40, 10, 45], "page_idx": 0}]
+    raw = spark.createDataFrame([("d", json.dumps(blocks)), ("e", json.dumps([blocks[0], blocks[3], blocks[4]]))], "doc_id string, json string")
+    from tessella.sources import layout_json
+
+    got = {r.doc_id: list(r.anchor_path) for r in layout_json.anchors(layout_json.blocks(raw)).collect()}
+    assert got == {"d": ["one", "two", "deep"], "e": ["one", "deep"]}
 
 
 def test_layout_json(spark):
