@@ -15,6 +15,9 @@ from tessella.functions import text as X
 
 #: Rows that are multiplied at once: of the corpus, and queries.
 CORPUS_BLOCK, QUERY_BLOCK = 8192, 256
+#: Most bytes of query vectors that are broadcast, and keys that the corpus is dealt to beyond it.
+BROADCAST_BYTES = 16_000_000
+SALTS = 64
 K1, B = 1.2, 0.75
 
 
@@ -42,7 +45,7 @@ def ranked(df: DataFrame, k: int | None, id_col: str = "doc_id", by: str = "quer
 
 
 def _blocks(df: DataFrame, id_col: str, vector: str, rows: int, prefix: str) -> DataFrame:
-    """Vectors stacked to matrices: ids and the rows of a matrix as bytes of doubles."""
+    """Vectors stacked to matrices, a block's rows in the order of their ids: ids of any type, and the rows of a matrix as bytes of doubles."""
 
     def run(batches):
         for batch in batches:
@@ -53,26 +56,38 @@ def _blocks(df: DataFrame, id_col: str, vector: str, rows: int, prefix: str) ->
                 for dim in sorted(set(sizes)):  # vectors of different length are never compared
                     own = part.filter(pa.array([n == dim for n in sizes]))
                     matrix = np.array(own.column(1).flatten().to_numpy(zero_copy_only=False), np.float64)
-                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([own.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary())], names=[f"{prefix}_dim", f"{prefix}_ids", f"{prefix}_rows"])
+                    ids = pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), own.column(0))
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), ids, pa.array([matrix.tobytes()], pa.binary())], names=[f"{prefix}_dim", f"{prefix}_ids", f"{prefix}_rows"])
 
-    return df.select(F.col(id_col).cast("long"), vector).mapInArrow(run, f"{prefix}_dim int, {prefix}_ids array<long>, {prefix}_rows binary")
+    schema = T.StructType([T.StructField(f"{prefix}_dim", T.IntegerType()), T.StructField(f"{prefix}_ids", T.ArrayType(df.schema[id_col].dataType)), T.StructField(f"{prefix}_rows", T.BinaryType())])
+    return df.select(id_col, vector).sortWithinPartitions(id_col).mapInArrow(run, schema)
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, distance: str = "cosine", id_col: str = "doc_id", vector: str = "embedding") -> DataFrame:
     """query_id, doc_id, score, rank: the k nearest rows of corpus for each row of queries (query_id, vector).
 
-    Exact. Blocks of queries meet blocks of the corpus, each pair is one matrix product, and only the k best of a pair
-    go on. Distances: cosine, dot, euclid (as a negative distance). A zero vector has cosine 0 with everything.
-    Scores are rounded to 6 digits before they are ranked, so results do not depend on the order of additions.
+    Exact; ids may be of any type that Spark can order, structs too. Blocks of queries meet blocks of the corpus, each
+    pair is one matrix product, and only the k best of a pair go on. Query blocks are broadcast if they have few bytes;
+    else the corpus blocks are dealt to SALTS keys, at each of which all query blocks pass by. Distances: cosine, dot,
+    euclid (as a negative distance). A zero vector has cosine 0 with everything. Scores are rounded to 6 digits before
+    they are ranked, so results do not depend on the order of additions.
     """
     distance = {"cos": "cosine"}.get(distance.lower(), distance.lower())
-    pairs = _blocks(corpus, id_col, vector, CORPUS_BLOCK, "c").join(F.broadcast(_blocks(queries, "query_id", vector, QUERY_BLOCK, "q")) if _few(queries) else _blocks(queries, "query_id", vector, QUERY_BLOCK, "q"), F.col("c_dim") == F.col("q_dim"))
+    asked, held = _blocks(queries, "query_id", vector, QUERY_BLOCK, "q"), _blocks(corpus, id_col, vector, CORPUS_BLOCK, "c")
+    if _few_bytes(queries, vector):
+        pairs = held.join(F.broadcast(asked), F.col("c_dim") == F.col("q_dim"))
+    else:
+        asked = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        held = held.withColumn("_salt", F.pmod(F.xxhash64("c_rows"), F.lit(SALTS)).cast("int"))
+        pairs = held.join(asked, (F.col("c_dim") == F.col("q_dim")) & (held["_salt"] == asked["_salt"]))
+    kinds = queries.schema["query_id"].dataType, corpus.schema[id_col].dataType
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                c = np.frombuffer(row["c_rows"]).reshape(len(row["c_ids"]), -1)
-                q = np.frombuffer(row["q_rows"]).reshape(len(row["q_ids"]), -1)
+            for q_ids, c_ids, q_rows, c_rows in zip(*(batch.column(i) for i in range(4))):
+                q_ids, c_ids = q_ids.values, c_ids.values
+                c = np.frombuffer(c_rows.as_py()).reshape(len(c_ids), -1)
+                q = np.frombuffer(q_rows.as_py()).reshape(len(q_ids), -1)
                 score = q @ c.T
                 if distance == "cosine":
                     norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]
@@ -80,20 +95,20 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float |
                 elif distance == "euclid":
                     score = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * score, 0))
                 score = np.round(score, 6)
-                ids = np.array(row["c_ids"])
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+                order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # rows lie in the order of ids, which so decides ties
                 found = np.take_along_axis(score, order, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(row["q_ids"]), order.shape[1])), pa.array(ids[order].ravel()), pa.array(found.ravel())], names=["query_id", id_col, "score"])
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(np.repeat(np.arange(len(q_ids)), order.shape[1]))), c_ids.take(pa.array(order.ravel())), pa.array(found.ravel())], names=["query_id", id_col, "score"])
 
-    out = pairs.mapInArrow(run, f"query_id long, {id_col} long, score double")
+    schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField(id_col, kinds[1]), T.StructField("score", T.DoubleType())])
+    out = pairs.select("q_ids", "c_ids", "q_rows", "c_rows").mapInArrow(run, schema)
     if threshold is not None:
         out = out.where(F.col("score") >= threshold)
     return ranked(out, k, id_col)
 
 
-def _few(queries: DataFrame, most: int = 4096) -> bool:
-    """Whether the queries are so few that all of them may be sent to every task."""
-    return queries.limit(most + 1).count() <= most
+def _few_bytes(queries: DataFrame, vector: str) -> bool:
+    """Whether the queries' vectors are so small together that all of them may be sent to every task."""
+    return (queries.agg(F.sum(F.size(vector) * 8 + 32).alias("n")).first().n or 0) <= BROADCAST_BYTES
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", content: str = "text") -> DataFrame:

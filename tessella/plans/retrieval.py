@@ -102,6 +102,21 @@ def retrieve_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "doc_id", F.col("score").cast("double").alias("score"), F.col("rank").cast("long").alias("rank"), "actual_mode", "warning")
 
 
+def _lines(spark, d):
+    line = F.posexplode(F.split("text", "\n")).alias("chunk_index", "text")
+    return _texts(spark, d).select("doc_id", line).where(F.trim("text") != "")
+
+
+def retrieve_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The whole flow over chunks, here the lines of whole documents, keyed by (doc_id, chunk_index); a chunk has its document's vector."""
+    vectors = _vectors(spark, d).select("doc_id", "embedding")
+    corpus = _lines(spark, d).join(vectors, "doc_id", "left").withColumn("collection", F.lit("main"))
+    queries = _text_queries(spark, d).join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id", "left")
+    meta = table(spark, d, "labels").select("doc_id", F.lit("main").alias("collection"))
+    out = fusion.retrieve(queries, corpus, "hybrid", K, "doc_id", meta, key=("doc_id", "chunk_index"), payload=("text",))
+    return out.select("query_id", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("score").cast("double").alias("score"), F.col("rank").cast("long").alias("rank"), F.md5("text").alias("text_md5"), "actual_mode", "warning")
+
+
 def hyde_warning(spark: SparkSession, d: str) -> DataFrame:
     return fusion.hypothetical(_text_queries(spark, d)).select("query_id", F.length("text").cast("long").alias("chars"), "warning")
 
@@ -132,7 +147,7 @@ legs AS (SELECT *, row_number() OVER (PARTITION BY leg, query_id ORDER BY score
 _MM = "CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END"
 _FUSED = f"""f AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM (SELECT query_id, doc_id, CASE leg WHEN 0 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END * {_MM} AS part FROM legs WINDOW w AS (PARTITION BY query_id, leg)) GROUP BY ALL)"""
 
-QUERIES = {f.__name__: f for f in (dense_topk, dense_topk_threshold, dense_topk_dot, dense_topk_euclid, dense_topk_filtered, sparse_topk, sparse_fallback_topk, bm25_topk, hybrid_rrf, hybrid_minmax, hybrid_diversity, visibility, result_dedup, retrieve_hybrid, hyde_warning, hashed_vectors)}
+QUERIES = {f.__name__: f for f in (dense_topk, dense_topk_threshold, dense_topk_dot, dense_topk_euclid, dense_topk_filtered, sparse_topk, sparse_fallback_topk, bm25_topk, hybrid_rrf, hybrid_minmax, hybrid_diversity, visibility, result_dedup, retrieve_hybrid, retrieve_chunks, hyde_warning, hashed_vectors)}
 SQL = {
     "dense_topk": _dense(_COS),
     "dense_topk_threshold": _dense(_COS, f"AND round({_COS}, 6) >= 0.3"),
@@ -152,6 +167,18 @@ s AS (SELECT q.doc_id AS query_id, p.doc_id, round(sum(ln(1 + (docs - df + 0.5::
     "hybrid_diversity": f"""WITH {_POST}, {_LEGS}, {_FUSED}, s AS (SELECT query_id, doc_id, round(score * CASE WHEN coalesce(source, '') = '' THEN 1.0::DOUBLE ELSE greatest(0.5::DOUBLE, 1 - 0.1::DOUBLE * (n - 1)) END + 1e-10::DOUBLE, 6) AS score
  FROM (SELECT f.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, f.doc_id) AS n FROM f LEFT JOIN documents USING (doc_id))) """ + _TOP.format(k=K),
     "visibility": f"WITH {_POST}, s AS ({_SPARSE}), r AS ({_TOP.format(k=K)}) SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM labels) OR doc_id IN (SELECT doc_id FROM labels)",
+    "retrieve_chunks": rf"""WITH c AS MATERIALIZED (SELECT * FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_index FROM documents) WHERE trim(text, ' ') <> ''),
+t AS MATERIALIZED (SELECT doc_id, chunk_index, {_IDX} AS term, count(*) AS tf FROM (SELECT doc_id, chunk_index, unnest({_TOK}) AS t FROM c) GROUP BY ALL),
+qt AS MATERIALIZED (SELECT query_id, {_IDX} AS term, count(*) AS tf FROM (SELECT doc_id AS query_id, unnest({_TOK}) AS t FROM documents WHERE doc_id % 100 = 0) GROUP BY ALL),
+e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+dn AS (SELECT q.vec_id AS query_id, x.vec_id AS doc_id, round({_COS.replace('c.v', 'x.v')}, 6) AS score FROM e q, e x WHERE q.vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 100 = 0) AND round({_COS.replace('c.v', 'x.v')}, 6) >= 0.3),
+sp AS (SELECT query_id, doc_id, chunk_index, sum(qt.tf * t.tf)::DOUBLE AS score FROM t JOIN qt USING (term) GROUP BY ALL),
+legs AS (SELECT *, row_number() OVER (PARTITION BY leg, query_id ORDER BY score DESC, doc_id, chunk_index) - 1 AS rank FROM (SELECT query_id, doc_id, chunk_index, score, 0 AS leg FROM dn JOIN c USING (doc_id) UNION ALL SELECT query_id, doc_id, chunk_index, score, 1 AS leg FROM sp) QUALIFY rank < 20),
+f AS (SELECT query_id, doc_id, chunk_index, round(sum(part), 6) AS score FROM (SELECT query_id, doc_id, chunk_index, CASE leg WHEN 0 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END * {_MM} AS part FROM legs WINDOW w AS (PARTITION BY query_id, leg)) GROUP BY ALL),
+g AS (SELECT query_id, doc_id, chunk_index, round(score * greatest(0.5::DOUBLE, 1 - 0.1::DOUBLE * (row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_index) - 1)) + 1e-10::DOUBLE, 6) AS score FROM f),
+s AS (SELECT *, 'hybrid' AS actual_mode, CAST(NULL AS VARCHAR) AS warning FROM g WHERE query_id IN (SELECT vec_id FROM e) UNION ALL SELECT *, 'bm25', 'embedder_unavailable' FROM (SELECT query_id, doc_id, chunk_index, score FROM legs WHERE leg = 1) WHERE query_id NOT IN (SELECT vec_id FROM e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) - 1 AS rank FROM s QUALIFY rank < {K})
+SELECT r.query_id, r.doc_id, r.chunk_index, r.score, r.rank, md5(c.text) AS text_md5, actual_mode, warning FROM r JOIN c USING (doc_id, chunk_index) WHERE NOT EXISTS (SELECT 1 FROM labels) OR r.doc_id IN (SELECT doc_id FROM labels)""",
     "hyde_warning": "SELECT doc_id AS query_id, length(text) AS chars, 'hyde_not_configured' AS warning FROM documents WHERE doc_id % 100 = 0",
     "hashed_vectors": rf"""WITH h AS (SELECT conv_id, turn, {_IDX} AS h FROM (SELECT conv_id, turn, unnest({_TOK}) AS t FROM conversations)),
 v AS (SELECT conv_id, turn, h % 64 AS d, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM h GROUP BY ALL)

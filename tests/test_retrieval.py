@@ -62,6 +62,25 @@ def test_a_query_without_vector_falls_back(spark):
         search.equality_filter(corpus, {"must": [1]})
 
 
+def test_chunks_of_one_document_are_results_of_their_own(spark):
+    corpus = spark.createDataFrame([("a:1", i, t, [1.0, float(i)]) for i, t in enumerate(["red fox", "red hen", "grey owl"])] + [("b", 0, "red fox", [1.0, 0.0])], "doc_id string, chunk_index int, text string, embedding array<float>")
+    queries = spark.createDataFrame([("q", "red fox", [1.0, 0.0])], "query_id string, text string, embedding array<float>")
+    out = fusion.retrieve(queries, corpus, "hybrid", 5, "doc_id", key=("doc_id", "chunk_index"), payload=("text",)).orderBy("rank").collect()
+    assert [(r.doc_id, r.chunk_index, r.text) for r in out][:2] == [("a:1", 0, "red fox"), ("b", 0, "red fox")]
+    assert len({(r.doc_id, r.chunk_index) for r in out}) == len(out) == 4 and all(r.score <= 1 for r in out)
+    with pytest.raises(ValueError):
+        fusion.retrieve(queries, corpus, top_k=101)
+
+
+def test_dense_search_without_a_broadcast(spark, monkeypatch):
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("embedding"))
+    queries = rows.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    found = lambda: sorted(search.dense_topk(queries, rows, 7).collect())
+    first = found()
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    assert found() == first and len(first) == 70
+
+
 def test_dense_with_zero_and_short_vectors(spark):
     corpus = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0]), (4, None)], "doc_id long, embedding array<float>")
     queries = spark.createDataFrame([(9, [2.0, 0.0])], "query_id long, embedding array<float>")
