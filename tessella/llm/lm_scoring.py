@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._shared import documents, materialise, most_frequent, portions, with_columns
+from tessella.llm._shared import documents, drop_since, mark, materialise, most_frequent, narrowed, portions, set_aside, with_columns
 
 #: Words of the shared vocabulary at most, the most frequent of both samples; others are one unknown word.
 VOCABULARY = 50_000
@@ -36,14 +36,20 @@ def words(text: str | None) -> list[str]:
 
 
 def samples(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """A written table of text, in_target, in_background: target documents, and as many bytes of documents drawn from all."""
+    """A written table of text, in_target, in_background: target documents, and as many bytes of documents drawn from all.
+
+    A document may be in both samples and then has two rows. Rows without doc_id are in neither.
+    """
     # The target grows with the corpus, so it is never broadcast, however small it is today.
-    marked = docs.select("doc_id", "text").join(target_ids.select("doc_id").distinct().withColumn("_t", F.lit(True)).hint("merge"), "doc_id", "left")
+    target = target_ids.select("doc_id").where("doc_id is not null").distinct()
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     every = docs.agg(F.sum(size).alias("n")).first().n or 0
-    target = docs.select("doc_id", size.alias("_n")).join(target_ids.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.sum("_n").alias("n")).first().n or 0
+    wanted = docs.select("doc_id", size.alias("_n")).join(target, "doc_id", "left_semi").agg(F.sum("_n").alias("n")).first().n or 0
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    rows = marked.select("text", F.col("_t").isNotNull().alias("in_target"), (chance < target / max(every, 1)).alias("in_background"))
+    drawn = chance < wanted / max(every, 1)
+    # Texts travel for the target alone, of which a table of fixed size lets nearly no other document through.
+    marked = narrowed(docs.select("doc_id", "text"), "doc_id", target).join(target.hint("merge"), "doc_id", "left_semi")
+    rows = marked.select("text", F.lit(True).alias("in_target"), F.lit(False).alias("in_background")).unionAll(docs.where(drawn).select("text", F.lit(False), F.lit(True)))
     return materialise(rows.where("in_target or in_background"))
 
 
@@ -187,6 +193,7 @@ class Models:
 
 def learn(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY) -> Models:
     """The models of docs (doc_id, text) for the documents of target_ids (doc_id). Counts are of all text of both samples."""
+    start = mark()
     sample = samples(docs, target_ids)
     counted = materialise(count_words(sample))
     top = most_frequent(counted, F.col("target") + F.col("background"), vocabulary, "word").toPandas()
@@ -204,6 +211,7 @@ def learn(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY)
         begun[contexts.before] = contexts[column]
         kinds[contexts.before] = contexts[f"{column}_kinds"]
         sides.append(Side(n, begun, kinds))
+    drop_since(docs.sparkSession, start, pairs)
     return Models(ids, Sides(*sides), pairs)
 
 
@@ -314,10 +322,12 @@ def scored(rows: DataFrame, models: Models) -> DataFrame:
 def score(docs: DataFrame, models: Models) -> DataFrame:
     """docs with n_words, loss_target, loss_background and lm_score (their difference, in nats a word).
 
-    Null and empty texts have no words and score 0. Work is by row: ties, repeats and empty tables need no rule, and
-    further columns pass through.
+    Null and empty texts have no words and score 0; whole texts of any length are scored. Work is by row: ties and
+    repeated rows need no rule, and an empty table gives an empty result. Further columns pass through; one that has a
+    result's name is given back as `<name>_in`.
     """
-    return scored(coded(docs, models), models)
+    work, back = set_aside(docs, ["text"], ["n_words", "loss_target", "loss_background", "lm_score"])
+    return back(scored(coded(work, models), models))
 
 
 def good_documents(labels: DataFrame) -> DataFrame:

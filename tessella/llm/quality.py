@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import BLANKS, documents, materialise, words_of
+from tessella.llm._shared import BLANKS, documents, materialise, set_aside, without, words_of
 
 #: A document needs so many words, and at most half of them in repeated windows.
 LEAST_WORDS = 50
@@ -20,6 +20,7 @@ MOST_DOCUMENTS = 20
 MOST_SHARE = 0.001
 #: A document is depleted if boilerplate lines hold more than this share of its words.
 MOST_DEPLETED = 0.9
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "boilerplate_words", "kept"]
 
 
 def repeated_words(words: Column, hashes: Column) -> Column:
@@ -68,58 +69,68 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return row.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("_w", "_h")
 
 
-def host_lines(docs: DataFrame, host: str, keep: list[str]) -> DataFrame:
-    """keep, key: one row for each distinct line with a word of a document; key hashes the host and the line.
+def _host(host: str) -> Column:
+    """A host's hash; a null host and an empty one are one host."""
+    return F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("")))
 
-    Lines are compared without case and with runs of white space as one blank. `words` counts the words
-    of all the document's lines of that key.
-    """
-    line = lambda x: F.trim(F.regexp_replace(F.lower(x), BLANKS, " "))
-    lines = F.filter(F.transform(F.split("text", "\n"), line), lambda x: x != "")
-    return docs.select(*keep, F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit(""))).alias("_host"), F.explode(lines).alias("_line")).select(*keep, F.xxhash64("_host", "_line").alias("key"), (F.size(F.split("_line", " "))).alias("words"))
+
+def _line_key(host: Column, line: Column) -> Column:
+    """Lines are compared without case and with runs of white space as one blank."""
+    return F.xxhash64(host, F.trim(F.regexp_replace(F.lower(line), BLANKS, " ")))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """key, documents: the (host, line) pairs above the limit. Rows count as documents; lines repeated in one count once.
+def frequent_lines(docs: DataFrame, host: str = "source", doc: str = "doc_id") -> DataFrame:
+    """key, documents: the (host, line) pairs that more documents of the host hold than the limit.
 
-    Counts are added up before the shuffle, so a frequent line costs one row a task. The table is written, and its
-    size then decides how it is joined.
+    Documents are distinct values of `doc`: rows that repeat one count once, as does a line that a document repeats;
+    rows without one do not count. Spark counts by (host, line, document) first and then by (host, line) before the
+    shuffle, so a frequent line costs one row a task there. The table is written, and its size then decides how it is joined.
     """
-    each = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_h"), F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), BLANKS, " "))), lambda x: x != "")).alias("_l"))
-    sizes = each.groupBy(F.xxhash64("_h").alias("_host")).agg(F.count("*").alias("_docs"))
-    counted = each.select(F.xxhash64("_h").alias("_host"), F.explode("_l").alias("_line")).groupBy("_host", F.xxhash64("_host", "_line").alias("key")).agg(F.count("*").alias("documents")).where(F.col("documents") > MOST_DOCUMENTS)
+    given = docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("_doc"), _host(host).alias("_host"), F.col("text").alias("_text"))
+    sizes = given.groupBy("_host").agg(F.count_distinct("_doc").alias("_docs"))
+    lines = F.filter(F.transform(F.split("_text", "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), BLANKS, " "))), lambda x: x != "")
+    each = given.select("_doc", "_host", F.explode(F.array_distinct(lines)).alias("_line")).select("_doc", "_host", F.xxhash64("_host", "_line").alias("key"))
+    counted = each.groupBy("_host", "key").agg(F.count_distinct("_doc").alias("documents")).where(F.col("documents") > MOST_DOCUMENTS)
     return materialise(counted.join(sizes, "_host").where(F.col("documents") > F.col("_docs") * MOST_SHARE).select("key", "documents"))
 
 
 def depleted(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, boilerplate_words: the words that a document has in lines above its host's limit, where it has any."""
+    """doc_id, _host, _text (hashes of host and text), boilerplate_words: the words of a row in lines above its host's limit, where it has any.
+
+    Rows that are equal in all three have one result, of one of them.
+    """
     frequent = frequent_lines(docs, host)
-    found = host_lines(docs, host, ["doc_id"]).join(frequent, "key", "left_semi")
-    return found.groupBy("doc_id").agg(F.sum("words").alias("boilerplate_words"))
+    lines = docs.select("doc_id", _host(host).alias("_host"), F.xxhash64("text").alias("_text"), F.posexplode(F.split("text", "\n")).alias("_at", "_line"))
+    found = lines.select("doc_id", "_host", "_text", "_at", _line_key(F.col("_host"), F.col("_line")).alias("key"), line_words(F.col("_line")).alias("words")).where("words > 0").join(frequent, "key", "left_semi")
+    return found.dropDuplicates(["doc_id", "_host", "_text", "_at"]).groupBy("doc_id", "_host", "_text").agg(F.sum("words").alias("boilerplate_words"))
 
 
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     """Add the base counts, boilerplate_words and `kept` to docs.
 
-    Null texts and texts without words fail the base rules; a null host is a host of its own; repeated rows with one
-    doc_id count as documents and share one verdict; rows without doc_id are judged by the base rules alone.
+    Null texts and texts without words fail the base rules; a null host and an empty one are one host; rows that repeat
+    a doc_id are one document in the counts and are each judged by their own text; rows without doc_id count nowhere and
+    are judged by the base rules alone. Whole texts of any length are read; there are no ties to break; an empty table
+    gives an empty result. Further columns pass through; one that has a result's name is given back as `<name>_in`.
     """
-    rows = base_counts(docs)
-    lost = depleted(docs.where(F.col("doc_id").isNotNull()), host).withColumnRenamed("doc_id", "_id")
-    out = rows.join(lost, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    out = out.withColumn("boilerplate_words", F.coalesce("boilerplate_words", F.lit(0)).cast("long"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("boilerplate_words") <= MOST_DEPLETED * F.col("n_words")))
+    work, back = set_aside(docs, ["doc_id", "text", host], RESULTS)
+    lost = depleted(work.where(F.col("doc_id").isNotNull()).select("doc_id", "text", host), host)
+    lost = lost.select(F.col("doc_id").alias("_id"), F.col("_host").alias("_lost_host"), F.col("_text").alias("_lost_text"), F.col("boilerplate_words").alias("_lost"))
+    rows = base_counts(work).withColumns({"_host": _host(host), "_text": F.xxhash64("text")})
+    out = rows.join(lost, (F.col("doc_id") == F.col("_id")) & (F.col("_host") == F.col("_lost_host")) & (F.col("_text") == F.col("_lost_text")), "left")
+    out = out.withColumn("boilerplate_words", F.coalesce("_lost", F.lit(0)).cast("long"))
+    return back(out.withColumn("kept", ~F.col("base_failed") & (F.col("boilerplate_words") <= MOST_DEPLETED * F.col("n_words"))))
 
 
 def without_boilerplate(docs: DataFrame, host: str = "source") -> DataFrame:
-    """docs with the lines above their host's limit cut out of `text`."""
-    frequent = frequent_lines(docs, host)
-    names = docs.columns
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    lines = keyed.select("_row", F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit(""))).alias("_host"), F.posexplode(F.split("text", "\n")).alias("_at", "_text"))
-    lines = lines.withColumn("key", F.xxhash64("_host", F.trim(F.regexp_replace(F.lower("_text"), BLANKS, " "))))
-    left = lines.join(frequent, "key", "left_anti").groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda x: x["_text"]), "\n").alias("_left"))
-    return keyed.join(left, "_row", "left").withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce("_left", F.lit("")))).select(*names)
+    """docs with the lines above their host's limit cut out of `text`; null texts stay null. Other columns are kept."""
+    work, back = set_aside(docs, ["doc_id", "text", host], [])
+    frequent = frequent_lines(work, host)
+    keyed = materialise(work.withColumn("_row", F.monotonically_increasing_id()))  # read twice, so its numbers must stay
+    lines = keyed.select("_row", _host(host).alias("_host"), F.posexplode(F.split("text", "\n")).alias("_at", "_text"))
+    gone = lines.select("_row", "_at", _line_key(F.col("_host"), F.col("_text")).alias("key")).join(frequent, "key", "left_semi").groupBy("_row").agg(F.collect_set("_at").alias("_gone"))
+    left = F.array_join(without(F.split("text", "\n"), F.col("_gone")), "\n")
+    return back(keyed.join(gone, "_row", "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)))
 
 
 def op7_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

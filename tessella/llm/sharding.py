@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import documents
+from tessella.llm._shared import documents, set_aside
 
 SHARDS = 8
 SEED = 20_260
 ROUNDS = 6
+RESULTS = ["row_no", "n_rows", "position", "shard", "slot"]
 #: Row numbers are given bucket by bucket; a bucket is what one sort holds together. A power of two.
 BUCKETS = 8192
 
@@ -65,10 +66,13 @@ def shard(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SEED
 
     Law `rows`: the shards' counts differ by one at most and slots have no gaps. The same rows, keys and seed give
     the same result whatever the partitions are. Nulls in keys are values like others; equal rows may swap places;
-    an empty table gives an empty result; more columns pass through (names that begin with _ are reserved).
+    an empty table gives an empty result; texts are never looked at unless they are keys. The permutation places each
+    row for itself, so law `rows` does not keep groups of equal texts together. More columns pass through; one that has
+    the name of a result (row_no, n_rows, position, shard, slot) is given back as `<name>_in`.
     """
-    out = permuted(numbered(df, keys), seed)
-    return out.withColumns({"shard": F.pmod("position", F.lit(shards)).cast("int"), "slot": ((F.col("position") - F.pmod("position", F.lit(shards))) / shards).cast("long")})
+    work, back = set_aside(df, keys, RESULTS)
+    out = permuted(numbered(work, keys), seed)
+    return back(out.withColumns({"shard": F.pmod("position", F.lit(shards)).cast("int"), "slot": ((F.col("position") - F.pmod("position", F.lit(shards))) / shards).cast("long")}))
 
 
 def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

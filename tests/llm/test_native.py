@@ -154,3 +154,61 @@ def test_boilerplate(spark):
     left = {r.doc_id: r.text for r in quality.without_boilerplate(df).collect()}
     assert left[0] == own(0) and left[100] == "" and left[101] == line and left[102] is None
     assert quality.judge(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_document_count_once(spark):
+    own = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(1, own, "h")] * 30 + [(2, own, None), (3, own, "")], "doc_id long, text string, source string")
+    out = quality.judge(df).collect()
+    assert {(r.doc_id, r.boilerplate_words, r.kept) for r in out} == {(1, 0, True), (2, 0, True), (3, 0, True)} and len(out) == 32
+    many = spark.createDataFrame([(i, own, None if i % 2 else "") for i in range(22)] + [(0, own, "")] * 3, "doc_id long, text string, source string")
+    assert {r.boilerplate_words for r in quality.judge(many).collect()} == {60}  # null and empty are one host; copies of a row have their own words
+
+
+LONG = "\n".join(f"line {i} of a long text" for i in range(20_000))
+CLASHES = ["n_lines", "N_Words", "items", "_w", "_h", "starts", "rejected", "ids", "shard", "row_no", "kept", "_x0", "decoded", "lm_score"]
+
+
+def clashing(spark, *texts):
+    """documents whose further columns have the names of results and of columns that operators make."""
+    rows = [(i, t, "en", "h", len(t or ""), *[f"{c}{i}" for c in CLASHES]) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES))
+
+
+def test_clashing_names_long_texts_and_empty_tables(spark):
+    from tessella.llm import bpe, jaccard_join, language, lm_scoring
+
+    df = clashing(spark, LONG, LONG, None, "", "a b c d e f g", "a b c d e f g")
+    bench = spark.createDataFrame([(1, "d e f")], "item_id long, text string")
+    models, target = language.learn(df), spark.createDataFrame([(4,)], "doc_id long")
+    scores = lm_scoring.learn(df, target)
+    made = {
+        "scan": lambda x: decontamination.scan(x, bench), "dedup": line_dedup.dedup_lines, "judge": quality.judge, "shard": lambda x: sharding.shard(x, ["doc_id"]),
+        "identify": lambda x: language.identify(x, models), "encode": bpe.encode, "decode": lambda x: bpe.decode(bpe.encode(x)), "score": lambda x: lm_scoring.score(x, scores),
+    }
+    for name, make in made.items():
+        out = make(df)
+        low = [c.lower() for c in out.columns]
+        assert len(set(low)) == len(low), name
+        rows = {r.doc_id: r for r in out.collect()}
+        assert len(rows) == 6, name
+        given = {c: next(o for o in out.columns if o in (c, f"{c}_in", f"{c}_in_in") and rows[0][o] == f"{c}0") for c in CLASHES}
+        assert all(rows[i][given[c]] == f"{c}{i}" for i in rows for c in CLASHES), name
+        assert make(df.limit(0)).count() == 0, name
+    for name, keep in {"decontaminate": lambda x: decontamination.decontaminate(x, bench), "cut": lambda x: decontamination.remove_spans(x, bench), "boilerplate": quality.without_boilerplate, "one": jaccard_join.keep_one}.items():
+        assert keep(df).columns == df.columns, name
+        assert sorted(r.n_lines for r in keep(df).collect()) == [f"n_lines{i}" for i in {"decontaminate": range(4), "one": (0, 2, 3, 4)}.get(name, range(6))], name
+
+
+def test_stages_on_odd_tables(spark):
+    import corpus_pipeline as P
+
+    df = clashing(spark, LONG, LONG, None, "", "a b c d e f g", "a b c d e f g", *[f"more words of text {i} and more" for i in range(30)])
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, df, FOLDER)
+        assert out.columns == df.columns, name
+        rows = out.collect()
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHES) and len(rows) > 1, name
+        assert stage(spark, df.limit(0), FOLDER).count() == 0, name
+    coded = P.STAGES[-1][1](spark, df, FOLDER).collect()
+    assert len(coded) == 36 and {r.n_tokens for r in coded if r.doc_id in (2, 3)} == {0}
