@@ -39,6 +39,8 @@ SLOTS = 1 << 23
 PART = 512
 #: Bits for a part beside the token's in one number.
 PART_BITS = 20
+#: Half of the overlap that a link of sets of n and m shingles takes, as a part of n + m, and half of needed(), of n.
+_HALF_OVERLAP, _HALF_NEEDED = PERCENT / (100 + PERCENT) / 2, PERCENT / 200
 #: Bytes of a token: the top bits of a shingle's 64-bit hash.
 TOKEN = 5
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -192,8 +194,8 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
     # Few columns and one exchange for all that follows: these are the rows of most of the job.
     asking = sets.where("n > 0").select("node", "n", "tokens").mapInArrow(run, "key long, node long, size long").repartition("key").dropDuplicates(["key", "node"])
     asking = asking.select("key", "node", F.expr("cast(shiftright(size, 32) as int)").alias("n"), F.expr("cast(size & 4294967295 as int)").alias("at"))
-    # A pair's first common token is among the first n - overlap + 1 of the node that is not the larger one.
-    early = (100 + PERCENT) * F.col("at") <= (100 - PERCENT) * F.col("n")
+    # Of the tokens that a pair is looked at by, see link(), the node that is not the larger one has each so early.
+    early = F.col("at") <= F.col("n") * (1 - 2 * _HALF_OVERLAP - _HALF_NEEDED) + 1e-6
     w = Window.partitionBy("key")
     led = asking.withColumns({"_first": F.min(F.struct("node", "n")).over(w), "_last": F.max("node").over(w), "_early": F.max(early).over(w)})
     led = led.withColumns({"token": F.expr(f"shiftright(key, {PART_BITS})"), "part": F.expr(f"cast(key & {(1 << PART_BITS) - 1} as int)")})
@@ -387,16 +389,21 @@ def link(sets: DataFrame) -> DataFrame:
     open_tokens = rows.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("token")
     rows = materialise(rows.join(open_tokens, "token", "left_semi").withColumn("gid", F.xxhash64("component", "piece")))
     drop_since(spark, start, first, grouped, rows)
-    # Two nodes are looked at by the first token, in the order, that both have. The tokens before it are missing in the
-    # other, so its place says how large the other may be: a token that many have behind more tokens of their own than
-    # a link allows brings no two of them together.
-    reach = 100 * F.col("n") - (100 + PERCENT) * F.col("at")
+    # Linked nodes of n and m shingles share an overlap o, so of the first n - o + l and m - o + l of their tokens l at
+    # least are common, for any l that the asking tokens reach. l is taken as half of the most: their places then say
+    # how large the other node may be, so that a token which many have behind more tokens of their own than a link
+    # allows brings no two of them together; and a few tokens that two texts share by chance are not enough.
+    reach = F.col("n") * (1 - _HALF_OVERLAP) - F.col("at") + 1e-6
     matrix = rows.groupBy("token", "gid", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(reach).alias("reach"))
     ask = rows.select("token", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_component"), reach.alias("q_reach"))
     size_fits = (F.col("q_n") * 100 >= F.col("least") * PERCENT) & (F.col("most") * 100 >= F.col("q_n") * PERCENT)
-    first_fits = (F.col("reach") >= F.col("q_n") * PERCENT) & (F.col("q_reach") >= F.col("least") * PERCENT)
-    met = ask.join(matrix, "token").where((F.col("component") < F.col("q_component")) & size_fits & first_fits)
-    queries = materialise(met.select("gid", F.col("q").alias("node")).distinct())
+    place_fits = (F.col("reach") >= F.col("q_n") * (_HALF_OVERLAP + _HALF_NEEDED)) & (F.col("q_reach") >= F.col("least") * (_HALF_OVERLAP + _HALF_NEEDED))
+    met = ask.join(matrix, "token").where((F.col("component") < F.col("q_component")) & size_fits & place_fits).groupBy("gid", "q", "q_n").agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+    # Of a group's sizes, the least and the largest that can link ask for the fewest shared tokens.
+    met = met.withColumns({"least": F.greatest("least", F.ceil(F.col("q_n") * PERCENT / 100)), "most": F.least("most", F.floor(F.col("q_n") * 100 / PERCENT))})
+    # Between these sizes rounding may ask for one less.
+    fewest = F.least(_least_common("q_n", "least"), _least_common("q_n", "most")) - F.when(F.col("least") < F.col("most"), 1).otherwise(0)
+    queries = materialise(met.where(F.col("c") >= F.floor(fewest / 2)).select("gid", F.col("q").alias("node")))
     alone = rows.where(F.col("component") == F.col("node")).select("gid", "node")
     members = materialise(alone.union(grouped.select(F.xxhash64("component", "piece").alias("gid"), "node")).distinct().join(queries.select("gid").distinct(), "gid", "left_semi"))
     near = sets_of(sets, queries.select("node").union(members.select("node")))
