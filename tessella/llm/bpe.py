@@ -34,6 +34,8 @@ LEXICON_WORDS = 32_768
 LONGEST = 48
 #: Words whose ids a worker remembers before it starts anew.
 REMEMBERED = 120_000
+#: Unseen words of up to so many bytes are merged together, in arrays of that width; longer ones one by one.
+TOGETHER = (8, 16, 32)
 #: The pattern that cuts texts into words, as byte-level tokenizers of this family define it. Fixed value.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Latin letters, and signs that are neither letters, digits nor white space. Texts of these, ASCII digits and blanks alone
@@ -218,6 +220,12 @@ class Encoder:
         pairs = (p.split(" ") if isinstance(p, str) else p for p in model["merges"])
         #: For each pair of ids that is merged its rank and the id it becomes.
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        order = sorted((a * self.size + b, rank, to) for (a, b), (rank, to) in self.merges.items())
+        keys, ranks, _ = np.array(order, np.int64).reshape(-1, 3).T
+        into = np.zeros(int(ranks.max(initial=0)) + 1, np.int64)
+        into[ranks] = [to for _, _, to in order]
+        #: The same as arrays: pairs as sorted numbers, their ranks, and by rank the id.
+        self.pairs = np.ascontiguousarray(keys), np.ascontiguousarray(ranks), into
         self._model, self._chars = None, dict(enumerate(chars))
         if library:
             from tokenizers import Tokenizer
@@ -289,14 +297,53 @@ class Encoder:
         return tuple(x for x, ok in zip(ids, alive) if ok)
 
     def learn(self, words: set[str]) -> None:
-        """Put the ids of those words into the memo that the automaton accepts; the others are merged when they are met."""
+        """Put the ids of words into the memo: those that the automaton accepts, and others merged together; long ones are merged when they are met."""
         listed = [w for w in words if w not in self.added]
-        numbers = self.automaton.numbers([w.encode("utf-8", "replace") for w in listed])
+        coded = [w.encode("utf-8", "replace") for w in listed]
+        numbers = self.automaton.numbers(coded)
         if len(self.memo) + len(listed) > REMEMBERED:
             self.memo.clear()
         for i in np.nonzero(numbers >= 0)[0].tolist():
             k = numbers[i]
             self.memo[listed[i]] = self.ids[self.starts[k] : self.starts[k + 1]].tobytes()
+        for longest in TOGETHER:
+            new = [i for i in np.nonzero(numbers < 0)[0].tolist() if 0 < len(coded[i]) <= longest]
+            numbers[new] = 0
+            for i, ids in zip(new, self.merge_all([coded[i] for i in new], longest)):
+                self.memo[listed[i]] = ids
+
+    def merge_all(self, words: list[bytes], longest: int) -> list[bytes]:
+        """merge() for words of up to `longest` bytes that are none of the added tokens, as bytes of 32-bit numbers: a step merges one pair of each word."""
+        if not words:
+            return []
+        keys, ranks, into = self.pairs
+        never, size = len(keys), np.fromiter(map(len, words), np.int64, len(words))
+        ids = np.full((len(words), longest + 1), -1, np.int64)
+        ids[np.arange(longest + 1) < size[:, None]] = np.array(self.first)[np.frombuffer(b"".join(words), np.uint8)]
+
+        def rank(a, b):
+            key = a * self.size + b
+            at = np.minimum(np.searchsorted(keys, key), never - 1)
+            return np.where((a >= 0) & (b >= 0) & (keys[at] == key), ranks[at], never)
+
+        found, place = rank(ids[:, :-1], ids[:, 1:]), np.arange(longest)
+        live = np.arange(len(words))
+        while True:
+            at = found[live].argmin(1)
+            best = found[live, at]
+            live, at, best = live[best < never], at[best < never], best[best < never]
+            if not len(live):
+                return [x[:n].tobytes() for x, n in zip(ids.astype("<i4"), size)]
+            # What follows a merged pair moves up by one, ids and ranks alike; the last place is always empty.
+            n, later = np.arange(len(live)), np.minimum(place + (place > at[:, None]), longest)
+            row = np.take_along_axis(ids[live], np.column_stack([later, np.full(len(live), longest)]), 1)
+            row[n, at] = into[best]
+            ids[live], size[live] = row, size[live] - 1
+            own = np.take_along_axis(np.column_stack([found[live], np.full(len(live), never)]), later, 1)
+            own[n, at] = rank(row[n, at], row[n, at + 1])
+            left = np.maximum(at - 1, 0)
+            own[n, left] = np.where(at > 0, rank(row[n, left], row[n, left + 1]), own[n, left])
+            found[live] = own
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and where each text's end; a null text has none."""

@@ -194,3 +194,13 @@ def test_a_small_language_keeps_its_grams(spark, monkeypatch):
     rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=30)), "aa") for i in range(200)] + [(1000 + i, "ωμέγα σίγμα " + chr(945 + i), "bb") for i in range(8)]
     models = language.learn(spark.createDataFrame(rows + [(2000 + i, "".join(rng.choices("abcde", k=2000)), "aa") for i in range(40)], "doc_id long, text string, lang string"))
     assert models.langs == ["aa", "bb"] and models.losses(["ωμέγα σίγμα"])[0][0, 1] < 1.5
+
+
+def test_words_merged_together_have_the_ids_of_those_merged_one_by_one():
+    coder = bpe.encoder(bpe.default_tokenizer())
+    draw = random.Random(5)
+    words = ["".join(draw.choice(" abcdeth'19é中\U0001f600") for _ in range(draw.randint(1, 12))).encode() for _ in range(500)] + [b"a", b"aaaaaaaa", b" the"]
+    for longest in bpe.TOGETHER:
+        some = [w for w in words if len(w) <= longest]
+        assert [np.frombuffer(x, "<i4").tolist() for x in coder.merge_all(some, longest)] == [list(coder.merge(w.decode())) for w in some]
+    assert coder.merge_all([], 8) == []
