@@ -34,6 +34,8 @@ LEXICON_WORDS = 32_768
 LONGEST = 48
 #: Words whose ids a worker remembers before it starts anew.
 REMEMBERED = 120_000
+#: The same where the library merges words one by one, which needs no lexicon and so has more memory to spare.
+REMEMBERED_ALONE = 800_000
 #: Unseen words of up to so many bytes are merged together, in arrays of that width; longer ones one by one.
 TOGETHER = (8, 16, 32)
 #: The pattern that cuts texts into words, as byte-level tokenizers of this family define it. Fixed value.
@@ -184,7 +186,7 @@ class _Memo(dict):
         self.coder = coder
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= (REMEMBERED if self.coder._model is None else REMEMBERED_ALONE):
             self.clear()
         ids = self[word] = np.array(self.coder.merge(word), "<i4").tobytes()
         return ids
