@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from oracle import same
 from tokenizers import Tokenizer
 
@@ -204,3 +205,11 @@ def test_words_merged_together_have_the_ids_of_those_merged_one_by_one():
         some = [w for w in words if len(w) <= longest]
         assert [np.frombuffer(x, "<i4").tolist() for x in coder.merge_all(some, longest)] == [list(coder.merge(w.decode())) for w in some]
     assert coder.merge_all([], 8) == []
+
+
+def test_cuts_are_those_of_the_pattern():
+    coder, rng = bpe.encoder(bpe.default_tokenizer(), library=True), random.Random(3)
+    cut = regex.compile(bpe.WORD).findall
+    for _ in range(3000):
+        text = "".join(rng.choice("abXY 09'stmrevld\n\t  .,!\xe9\xdf\u2013\u2019\xa0\u3000\x85\u65e5\ud55c\u043a\u0661\xb2\U0001f600") for _ in range(rng.randrange(30)))
+        assert coder.words_of(text) == cut(text)
