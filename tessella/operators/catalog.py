@@ -56,6 +56,12 @@ def page(meta: DataFrame, number: int, size: int, order: str = "ingested_at", ti
     return meta.orderBy(F.desc(order), tie).offset((number - 1) * size).limit(size).join(F.broadcast(total))  # one row
 
 
+def placed_versions(versions: DataFrame) -> DataFrame:
+    """versions with `place`, from 1 for the newest of each document."""
+    w = Window.partitionBy(*KEY).orderBy(F.desc("created_at"), "version_id")
+    return versions.withColumn("place", F.row_number().over(w))
+
+
 def list_versions(versions: DataFrame, doc_id, collection) -> DataFrame:
     return document(versions, doc_id, collection).orderBy(F.desc("created_at"), "version_id")
 
@@ -108,6 +114,29 @@ def orphan_summary(points: DataFrame, meta: DataFrame) -> DataFrame:
     return every.join(lost, "collection", "left").select("collection", "points", F.coalesce("orphan_points", F.lit(0)).alias("orphan_points"), F.coalesce("orphan_documents", F.lit(0)).alias("orphan_documents"))
 
 
+def delete_document(meta: DataFrame, points: DataFrame, doc_id, collection: str) -> tuple[DataFrame, DataFrame]:
+    """The new metadata and points without one document; one that metadata does not have is an error."""
+    one = document(meta, doc_id, collection).select("collection", "doc_id")
+    if one.isEmpty():
+        raise LookupError(f"document not found: {doc_id} in {collection}")
+    return delete_documents(meta, one), delete_documents(points, one)
+
+
+#: Names of the vectors of a collection made today.
+DENSE, SPARSE = "dense", "sparse"
+
+
+def vector_layout(names: DataFrame, catalog: DataFrame) -> DataFrame:
+    """names (collection) with dense_name and has_sparse, by catalog (collection, vector_names, sparse_names: arrays).
+
+    A collection that the catalog lacks is laid out as today. vector_names is null where the only vector bears no name,
+    and so is dense_name then; else it is the vector of today's name, or the only one there is.
+    """
+    rows = names.join(catalog.select("collection", "vector_names", "sparse_names", F.lit(True).alias("_known")), "collection", "left")
+    old = F.when(F.col("vector_names").isNull(), None).when(F.array_contains("vector_names", DENSE) | (F.size("vector_names") != 1), DENSE).otherwise(F.get("vector_names", F.lit(0)))
+    return rows.select(*names.columns, F.when(F.col("_known"), old).otherwise(DENSE).alias("dense_name"), F.when(F.col("_known"), F.coalesce(F.array_contains("sparse_names", SPARSE), F.lit(False))).otherwise(True).alias("has_sparse"))
+
+
 def create_collection(catalog: DataFrame, name: str, dim: int = 3072, distance: str = "Cosine", overwrite: bool = False) -> DataFrame:
     """catalog (name, vector_dim, distance) with the collection; an existing one stays unless it is to be overwritten."""
     kinds = {"COSINE": "Cosine", "COS": "Cosine", "DOT": "Dot", "EUCLID": "Euclid", "MANHATTAN": "Manhattan"}

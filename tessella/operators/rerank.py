@@ -8,6 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions import text as X
 
@@ -47,18 +48,47 @@ def parse_scores(answer: str, expected: int) -> list[float]:
     return (scores + [0.0] * expected)[:expected]
 
 
-def score_with(rows: DataFrame, scorer, top_k: int = 5) -> DataFrame:
-    """rerank() by a scorer that takes a query and the list of its documents. A query's documents are few: one list.
+def _scored(rows: DataFrame, scorer, failing: bool) -> DataFrame:
+    """rows with `_score` by a scorer that takes a query and the list of its documents, which are few: one list.
 
-    Texts that are equal get the score of their own place.
+    failing: an error of the scorer leaves its query's scores null instead of ending the job.
     """
     listed = rows.groupBy("query_id", "query").agg(F.sort_array(F.collect_list(F.struct("original_index", "text"))).alias("docs"))
 
     def run(batches):
         for batch in batches:
-            for query_id, query, docs in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                values = scorer(query or "", [d["text"] or "" for d in docs])
-                yield pa.RecordBatch.from_pydict({"query_id": [query_id] * len(docs), "original_index": [d["original_index"] for d in docs], "_score": list(map(float, values))})
+            for i, query, docs in zip(range(batch.num_rows), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                try:
+                    values = list(map(float, scorer(query or "", [d["text"] or "" for d in docs])))
+                except Exception:
+                    if not failing:
+                        raise
+                    values = [None] * len(docs)
+                ids = batch.column(0).take(pa.array([i] * len(docs)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([d["original_index"] for d in docs], pa.int64()), pa.array(values, pa.float64())], names=["query_id", "original_index", "_score"])
+
+    schema = T.StructType([T.StructField("query_id", rows.schema["query_id"].dataType), T.StructField("original_index", T.LongType()), T.StructField("_score", T.DoubleType())])
+    return rows.join(listed.mapInArrow(run, schema), ["query_id", "original_index"])
+
+
+def score_with(rows: DataFrame, scorer, top_k: int = 5) -> DataFrame:
+    """rerank() by a scorer. Texts that are equal get the score of their own place."""
+    return rerank(_scored(rows, scorer, False), F.col("_score"), top_k).drop("_score")
+
+
+#: Scorers by the names of their providers: each a function of a query and its documents that gives their scores.
+PROVIDERS: dict = {}
+
+
+def register(name: str, scorer) -> None:
+    PROVIDERS[name.lower()] = scorer
+
 
-    scored = listed.mapInArrow(run, "query_id long, original_index long, _score double")
-    return rerank(rows.join(scored, ["query_id", "original_index"]), F.col("_score"), top_k).drop("_score")
+def rerank_by(rows: DataFrame, provider: str | None, top_k: int = 5) -> DataFrame:
+    """Rerank by the scorer of a provider; without one, or for queries at which it fails, keep_order() and its warning."""
+    scorer = PROVIDERS.get((provider or "disabled").lower())
+    if scorer is None:
+        return keep_order(rows, top_k)
+    out = _scored(rows, scorer, True)
+    score = F.coalesce("_score", F.greatest(F.lit(0.0), 1 - 0.001 * F.col("original_index")))
+    return rerank(out.withColumn("warning", F.when(F.col("_score").isNull(), "reranker_degraded")), score, top_k).drop("_score")

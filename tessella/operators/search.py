@@ -116,22 +116,38 @@ def postings(docs: DataFrame, id_col: str = "doc_id", content: str = "text") ->
     return docs.select(id_col, F.explode(X.terms(content)).alias("_t")).groupBy(id_col, X.term_index("_t").alias("term")).agg(F.count("*").alias("tf"))
 
 
-def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
-    """Top-k by the dot product of term counts. queries: (query_id, text); corpus: (doc_id, text). No text, no result."""
+def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "doc_id", only: Column | None = None) -> DataFrame:
+    """Top-k by the dot product of term counts. queries: (query_id, text); corpus: (doc_id, text). No text, no result.
+
+    only: a condition on query_id and the document's id that pairs have to meet; an equality becomes part of the join.
+    """
     q = postings(queries, "query_id").withColumnRenamed("tf", "q_tf")
-    out = postings(corpus, id_col).join(q, "term").groupBy("query_id", id_col).agg(F.sum(F.col("tf") * F.col("q_tf")).cast("double").alias("score"))
+    out = postings(corpus, id_col).join(q, "term").where(F.lit(True) if only is None else only).groupBy("query_id", id_col).agg(F.sum(F.col("tf") * F.col("q_tf")).cast("double").alias("score"))
     return ranked(out.where("score > 0"), k, id_col)
 
 
-def fallback_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
+def fallback_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "doc_id", only: Column | None = None) -> DataFrame:
     """Top-k without a sparse index: each occurrence of a query's token that a text holds adds 1 + its share of the text."""
     tokens = lambda df, i: df.select(i, F.explode(X.terms("text")).alias("token")).groupBy(i, "token").agg(F.count("*").alias("tf"))
     size = corpus.select(id_col, F.size(X.terms("text")).alias("_n"))
     q = tokens(queries, "query_id").withColumnRenamed("tf", "q_tf")
-    out = tokens(corpus, id_col).join(q, "token").join(size, id_col).groupBy("query_id", id_col).agg(F.round(F.sum(F.col("q_tf") * (1 + F.col("tf") / F.col("_n"))), 6).alias("score"))
+    out = tokens(corpus, id_col).join(q, "token").where(F.lit(True) if only is None else only).join(size, id_col).groupBy("query_id", id_col).agg(F.round(F.sum(F.col("q_tf") * (1 + F.col("tf") / F.col("_n"))), 6).alias("score"))
     return ranked(out.where("score > 0"), k, id_col)
 
 
+def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, layout: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """sparse_topk() in collections that have a sparse index, fallback_topk() in those that have none.
+
+    queries and corpus bear a `collection`, in which a query is asked alone; layout: catalog.vector_layout().
+    """
+    known = layout.select("collection", "has_sparse")
+    asked = queries.join(known, "collection").select(F.struct("collection", "query_id").alias("query_id"), "text", "has_sparse")
+    held = corpus.join(known, "collection").select(F.struct("collection", F.col(id_col).alias("id")).alias("_id"), "text", "has_sparse")
+    inside = F.col("query_id.collection") == F.col("_id.collection")
+    legs = [search(asked.where(F.col("has_sparse") == has), held.where(F.col("has_sparse") == has), k, "_id", inside) for has, search in ((True, sparse_topk), (False, fallback_topk))]
+    return legs[0].unionByName(legs[1]).select("query_id.collection", "query_id.query_id", F.col("_id.id").alias(id_col), "score", "rank")
+
+
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
     """Top-k by BM25 proper (k1 = 1.2, b = 0.75), which the plain product of counts is not."""
     terms = postings(corpus, id_col)

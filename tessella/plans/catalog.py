@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import catalog
+from tessella.operators import catalog, metrics
 from tessella.plans._tables import table
 
 
@@ -57,10 +57,7 @@ def latest_version(spark: SparkSession, d: str) -> DataFrame:
 
 def version_list(spark: SparkSession, d: str) -> DataFrame:
     """All versions, each with its place from the newest of its document."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy(F.desc("created_at"), "version_id")
-    return _versions(spark, d).select("doc_id", "version_id", F.row_number().over(w).cast("long").alias("place"))
+    return catalog.placed_versions(_versions(spark, d)).select("doc_id", "version_id", F.col("place").cast("long").alias("place"))
 
 
 def _points(spark, d):
@@ -102,12 +99,17 @@ def doc_page(spark: SparkSession, d: str) -> DataFrame:
 
 def latency_p95(spark: SparkSession, d: str) -> DataFrame:
     """Count, sum and p95 of the events' values by type, p95 as the value at place max(1, 95 % of n, rounded down)."""
-    from pyspark.sql import Window
+    return metrics.summary(table(spark, d, "events"), "event_type").select("event_type", "n", F.round("total", 3).alias("total"), F.col("percentile").alias("p95"))
+
 
-    w = Window.partitionBy("event_type").orderBy("value", "event_id")
-    n = F.count("*").over(Window.partitionBy("event_type"))
-    rows = table(spark, d, "events").where("value is not null").withColumns({"_r": F.row_number().over(w), "_n": n})
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"), F.max(F.when(F.col("_r") == F.greatest(F.lit(1), F.floor(F.col("_n") * 0.95)), F.col("value"))).alias("p95"))
+def vector_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """How the vectors of each document's collection are laid out, where every label is one; some are of older kinds or unknown."""
+    labels = table(spark, d, "embeddings").select(F.concat(F.lit("label"), F.col("label").cast("string")).alias("collection"), "label").distinct()
+    kind = F.col("label") % 4
+    vectors = F.when(kind == 0, F.array(F.lit("dense"), F.lit("title"))).when(kind == 1, F.array(F.lit("text")))
+    held = labels.where(kind != 3).select("collection", vectors.alias("vector_names"), F.when(kind == 0, F.array(F.lit("sparse"))).alias("sparse_names"))
+    named = table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("label"), F.col("label").cast("string")).alias("collection"))
+    return catalog.vector_layout(named, held)
 
 
 _IN = "inc AS (SELECT doc_id, lang AS collection, source, md5(text) AS content_hash FROM documents)"
@@ -116,7 +118,7 @@ _ACT = _META + ", act AS (SELECT inc.*, m.content_hash AS previous_hash, CASE WH
 _VER = "v AS (SELECT conv_id || '-' || turn AS version_id, conv_id AS doc_id, 'chat' AS collection, md5(text) AS content_hash, turn AS created_at FROM conversations)"
 _DEL = _META + ", ids AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, min(doc_id) AS position FROM labels GROUP BY doc_id UNION ALL SELECT 'x', 0 FROM (SELECT count(*) AS c FROM labels) WHERE c > 0), st AS (SELECT doc_id, position, CASE WHEN m.k IS NOT NULL THEN 'deleted' ELSE 'not_found' END AS status, CASE WHEN m.k IS NOT NULL THEN coalesce(p.n, 0) ELSE 0 END AS deleted_points FROM ids LEFT JOIN (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS doc_id, 1 AS k FROM meta WHERE collection = 'en') m USING (doc_id) LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY 1) p USING (doc_id))"
 
-QUERIES = {f.__name__: f for f in (ingest_action, ingest_totals, meta_upsert, version_append, version_summary, latest_version, version_list, orphan_prune, orphan_summary, batch_delete, batch_delete_totals, delete_rows, collection_list, doc_page, latency_p95)}
+QUERIES = {f.__name__: f for f in (ingest_action, ingest_totals, meta_upsert, version_append, version_summary, latest_version, version_list, orphan_prune, orphan_summary, batch_delete, batch_delete_totals, delete_rows, collection_list, doc_page, latency_p95, vector_layouts)}
 SQL = {
     "ingest_action": f"WITH {_ACT} SELECT doc_id, collection, action, previous_hash FROM act",
     "ingest_totals": f"WITH {_ACT} SELECT collection, action, count(*) AS n FROM act GROUP BY ALL",
@@ -131,6 +133,7 @@ SQL = {
     "batch_delete_totals": f"WITH {_DEL} SELECT count(*) AS requested, count(*) FILTER (status = 'deleted') AS deleted, count(*) FILTER (status <> 'deleted') AS failed, CAST(coalesce(sum(deleted_points), 0) AS BIGINT) AS deleted_points FROM st",
     "delete_rows": "SELECT lang AS collection, count(*) AS points FROM documents d WHERE NOT (lang = 'fr' AND doc_id IN (SELECT doc_id FROM labels)) GROUP BY lang",
     "collection_list": "SELECT *, row_number() OVER (ORDER BY collection <> 'label3', collection) - 1 AS position FROM (SELECT 'label' || label AS collection, count(*) AS points_count, count(embedding) AS vectors_count, max(len(embedding)) AS dim FROM embeddings GROUP BY label)",
+    "vector_layouts": "SELECT vec_id, 'label' || label AS collection, CASE label % 4 WHEN 1 THEN 'text' WHEN 2 THEN NULL ELSE 'dense' END AS dense_name, label % 4 IN (0, 3) AS has_sparse FROM embeddings",
     "doc_page": "SELECT doc_id, n_chars AS ingested_at, source, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 20",
     "latency_p95": "SELECT event_type, count(*) AS n, round(sum(value), 3) AS total, list_sort(list(value))[greatest(1, CAST(floor(count(*) * 0.95::DOUBLE) AS BIGINT))] AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type",
 }

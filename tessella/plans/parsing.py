@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import layout as Y
@@ -87,8 +87,24 @@ def neighbor_links_by_category(spark: SparkSession, d: str) -> DataFrame:
 
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
     """Places of all turns in the order of page (the turn's half) and index, within their conversation."""
-    w = Window.partitionBy("doc_id").orderBy(F.floor(F.col("chunk_index") / 2), "chunk_index")
-    return _turns(spark, d).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), (F.row_number().over(w) - 1).cast("long").alias("logic_idx"))
+    rows = _turns(spark, d).withColumns({"page": F.floor(F.col("chunk_index") / 2), "logic_idx": F.lit(None).cast("int")})
+    return chunking.reading_order(rows).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("position").cast("long").alias("logic_idx"))
+
+
+def chunk_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """All turns as chunks, turned into payloads and read back."""
+    rows = _turns(spark, d).withColumns({"source": F.lit("chat"), "page": F.floor(F.col("chunk_index") / 2).cast("int"), "heading_path": F.array("category", F.lit("turns")), "extra": F.create_map(F.lit("mark"), F.col("category"), F.lit("_hidden"), F.lit("x"))})
+    out = chunking.from_payload(chunking.payload(rows).select("payload"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), "category", F.col("page").cast("long").alias("page"), F.array_join("heading_path", "/").alias("path"), F.md5("content").alias("content_md5"), F.concat_ws(",", F.array_sort(F.map_keys("extra"))).alias("extra_keys"), F.col("extra")["mark"].alias("mark"))
+
+
+def dispatched_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents chunked by the default strategy of a type that depends on their language."""
+    docs = _docs(spark, d)
+    kind = F.when(F.col("lang") == "en", "md").when(F.col("lang") == "de", "pdf").otherwise("txt")
+    own = docs.select("doc_id", chunking.strategy_of(kind, F.when(F.col("lang") == "fr", "semantic")).alias("strategy"))
+    out = chunking.chunk_each(elements.plain_text(docs).join(own, "doc_id"))
+    return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "category", F.length("content").cast("long").alias("chars"), "prev_view_id", "next_view_id")
 
 
 def short_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +171,7 @@ def heading_levels(spark: SparkSession, d: str) -> DataFrame:
 
 _CHUNKS = "w AS (SELECT doc_id, i, regexp_replace(substr(text, i * 450 + 1, 500), '^\\s+|\\s+$', '', 'g') AS content FROM (SELECT doc_id, text, unnest(range(0, 1 + greatest(0, CAST(ceil((length(text) - 500) / 450::DOUBLE) AS BIGINT)))) AS i FROM documents))"
 _T = "t AS (SELECT conv_id AS doc_id, turn AS chunk_index, text AS content, role AS category, conv_id || ':' || turn AS chunk_id FROM conversations)"
-QUERIES = {f.__name__: f for f in (doc_identity, term_hash_tf, compare_tokens, fixed_chunks, plain_elements, markdown_elements, structured_chunks, semantic_chunks, markdown_chunks, clean_texts, sentence_split, neighbor_links, neighbor_links_by_category, reading_order, short_merge, layout_summary, layout_json_elements, file_type_detect, address_parts, secret_redact, table_cell_norm, table_markdown, block_categories, heading_levels)}
+QUERIES = {f.__name__: f for f in (doc_identity, term_hash_tf, compare_tokens, fixed_chunks, plain_elements, markdown_elements, structured_chunks, semantic_chunks, markdown_chunks, clean_texts, sentence_split, neighbor_links, neighbor_links_by_category, reading_order, chunk_payloads, dispatched_chunks, short_merge, layout_summary, layout_json_elements, file_type_detect, address_parts, secret_redact, table_cell_norm, table_markdown, block_categories, heading_levels)}
 SQL = {
     "doc_identity": "SELECT doc_id, substr(md5(text), 1, 12) AS content_id, md5(text) AS content_hash FROM documents",
     "term_hash_tf": r"""WITH p AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 2147483648 AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t FROM documents) GROUP BY ALL)
@@ -166,6 +182,7 @@ SELECT doc_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_tokens, max(tf)
     "neighbor_links": f"WITH {_T} SELECT doc_id, chunk_index, chunk_id, lag(chunk_id) OVER w AS prev_view_id, lead(chunk_id) OVER w AS next_view_id FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)",
     "neighbor_links_by_category": f"WITH {_T} SELECT doc_id, chunk_index, lag(chunk_id) OVER w AS prev_view_id, lead(chunk_id) OVER w AS next_view_id FROM t WINDOW w AS (PARTITION BY doc_id, category ORDER BY chunk_index)",
     "reading_order": f"WITH {_T} SELECT doc_id, chunk_index, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index // 2, chunk_index) - 1 AS logic_idx FROM t",
+    "chunk_payloads": f"WITH {_T} SELECT doc_id, chunk_index, category, chunk_index // 2 AS page, category || '/turns' AS path, md5(content) AS content_md5, 'mark' AS extra_keys, category AS mark FROM t",
     "short_merge": rf"""WITH {_T}, b AS (SELECT *, CASE WHEN length(content) < 200 AND lag(category) OVER w = category THEN 0 ELSE 1 END AS n FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)),
 g AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS g FROM b)
 SELECT doc_id, CAST(g - 1 AS BIGINT) AS chunk_index, md5(regexp_replace(string_agg(content, ' ' ORDER BY chunk_index), '^\s+|\s+$', '', 'g')) AS content_md5 FROM g GROUP BY doc_id, g""",

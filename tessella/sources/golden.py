@@ -25,12 +25,21 @@ def read_golden(spark: SparkSession, path: str, strict: bool = True) -> DataFram
     return row.select("s.*").withColumn("use_hyde", F.coalesce("use_hyde", F.lit(False)))
 
 
-def write_report(metrics: DataFrame, folder: str, stamp: str) -> None:
-    """One JSON report, named by its time so that names sort as times do."""
-    metrics.withColumns({"schema_version": F.lit(VERSION), "finished_at": F.lit(stamp)}).coalesce(1).write.json(f"{folder}/retrieval_eval_{stamp}")
+def write_report(metrics: DataFrame, folder: str, stamp: str, samples: DataFrame | None = None, config: dict | None = None) -> str:
+    """One JSON report, named by its time so that names sort as times do: a row of averages with the run's settings, and its
+    samples, if given, beside it as a table of their own. Gives the report's folder."""
+    path = f"{folder}/retrieval_eval_{stamp}"
+    said = {"schema_version": F.lit(VERSION), "finished_at": F.lit(stamp)} | {k: F.lit(v) for k, v in (config or {}).items()}
+    if samples is not None:
+        samples.write.json(f"{folder}/samples_{stamp}")
+    metrics.withColumns(said).coalesce(1).write.json(path)  # one row
+    return path
 
 
 def latest_report(spark: SparkSession, folder: str) -> DataFrame:
-    """The report whose name is the last."""
-    reports = spark.read.json(f"{folder}/retrieval_eval_*").withColumn("_at", F.regexp_extract(F.input_file_name(), r"retrieval_eval_(\d+_\d+)", 1))
-    return reports.join(reports.agg(F.max("_at").alias("_at")), "_at", "left_semi").drop("_at")
+    """The report whose name is the last; names are listed, and one report is read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/retrieval_eval_*")
+    names = sorted(str(f.getPath().toString()) for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or [])
+    if not names:
+        raise LookupError(f"no report in {folder}")
+    return spark.read.json(names[-1])

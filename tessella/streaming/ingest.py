@@ -30,7 +30,9 @@ def current_meta(spark: SparkSession, store: str) -> DataFrame:
 
 
 def ingest_batch(batch: DataFrame, number: int, store: str) -> None:
-    """One micro-batch. A batch that is run again writes its own folders again, so nothing is doubled."""
+    """One micro-batch: chunks, versions and metadata of what is new or changed. A batch that is run again writes its own
+    folders again, so nothing is doubled. A document without chunks is listed under failed and keeps its last version; a
+    version's time is the document's sent_at, or the batch's number where it has none, so that a rerun gives the same."""
     spark = batch.sparkSession
     w = Window.partitionBy("doc_id", "collection").orderBy(F.desc("sent_at"))
     latest = batch.withColumn("doc_id", F.coalesce("doc_id", X.doc_id("text"))).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").withColumn("content_hash", X.content_hash("text"))
@@ -41,7 +43,14 @@ def ingest_batch(batch: DataFrame, number: int, store: str) -> None:
     chunks = chunks.withColumns({"collection": F.split_part("doc_id", F.lit("\x01"), F.lit(1)), "doc_id": F.split_part("doc_id", F.lit("\x01"), F.lit(2)), "batch": F.lit(number).cast("long")})
     chunks.write.mode("overwrite").parquet(f"{store}/chunks/number={number}")
     counts = spark.read.parquet(f"{store}/chunks/number={number}").groupBy("collection", "doc_id").agg(F.count("*").alias("chunk_count"))
-    rows = work.join(counts, ["collection", "doc_id"], "left").select("doc_id", "collection", "source", "content_hash", F.coalesce("chunk_count", F.lit(0).cast("long")).alias("chunk_count"), "action", F.lit(number).cast("long").alias("batch"))
+    counted = work.join(counts, ["collection", "doc_id"], "left")
+    failed = counted.where("chunk_count is null").select("doc_id", "collection", "source", "content_hash", F.lit("no chunks").alias("reason"), F.lit(number).cast("long").alias("batch"))
+    failed.write.mode("overwrite").parquet(f"{store}/failed/number={number}")
+    done = counted.where("chunk_count is not null")
+    versions = catalog.new_versions(done, F.coalesce(F.col("sent_at"), F.timestamp_seconds(F.lit(number)))).withColumn("batch", F.lit(number).cast("long"))
+    versions.write.mode("overwrite").parquet(f"{store}/versions/number={number}")
+    # Metadata comes last: a batch that is cut short leaves no document that counts as ingested.
+    rows = done.select("doc_id", "collection", "source", "content_hash", "chunk_count", "action", F.lit(number).cast("long").alias("batch"))
     rows.write.mode("overwrite").parquet(f"{store}/meta/number={number}")
 
 

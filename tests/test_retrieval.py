@@ -3,8 +3,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.evaluate import evaluate
 from tessella.functions import text as X
-from tessella.operators import catalog, evaluation, fusion, rerank, search
+from tessella.operators import catalog, evaluation, fusion, metrics, rerank, search
+from tessella.sources import golden
 
 
 def leg(spark, rows):
@@ -157,3 +159,54 @@ def test_catalog(spark):
     assert catalog.create_collection(cat, "c1", 9).first().vector_dim == 8 and catalog.collection_exists(cat, "c1")
     with pytest.raises(LookupError):
         catalog.collection_exists(catalog.drop_collection(cat, "c1"), "c1", required=True)
+
+
+def test_rerank_by_provider(spark):
+    rows = spark.createDataFrame([(str(q), "q", i, t) for q in (1, 2) for i, t in enumerate(["aa", "bb"])], "query_id string, query string, original_index long, text string")
+    order = lambda df: [(r.query_id, r.text, r.warning) for r in df.orderBy("query_id", "new_rank").collect()]
+    rerank.register("Last", lambda q, docs: [float(i) for i, _ in enumerate(docs)])
+    rerank.register("broken", lambda q, docs: 1 / 0)
+    assert order(rerank.rerank_by(rows, "last")) == [(q, t, None) for q in "12" for t in ("bb", "aa")]
+    kept = [(q, t, "reranker_degraded") for q in "12" for t in ("aa", "bb")]
+    assert order(rerank.rerank_by(rows, "broken")) == kept and order(rerank.rerank_by(rows, None)) == kept
+
+
+def test_lexical_search_by_layout(spark):
+    names = spark.createDataFrame([("new",), ("old",), ("odd",)], "collection string")
+    held = spark.createDataFrame([("old", None, None), ("odd", ["text"], ["sparse"])], "collection string, vector_names array<string>, sparse_names array<string>")
+    layout = catalog.vector_layout(names, held)
+    assert {tuple(r) for r in layout.collect()} == {("new", "dense", True), ("old", None, False), ("odd", "text", True)}
+    corpus = spark.createDataFrame([(c, i, t) for c in ("new", "old") for i, t in enumerate(["fox fox den", "sky"])], "collection string, doc_id long, text string")
+    queries = spark.createDataFrame([("new", 7, "fox"), ("old", 7, "fox")], "collection string, query_id long, text string")
+    out = {(r.collection, r.doc_id): (round(r.score, 4), r["rank"]) for r in search.lexical_topk(queries, corpus, 5, layout).collect()}
+    assert out == {("new", 0): (2.0, 0), ("old", 0): (1.6667, 0)}
+
+
+def test_a_single_delete_needs_its_document(spark):
+    meta = spark.createDataFrame([("a", "c"), ("b", "c")], "doc_id string, collection string")
+    left = catalog.delete_document(meta, meta, "a", "c")
+    assert [[r.doc_id for r in t.collect()] for t in left] == [["b"], ["b"]]
+    with pytest.raises(LookupError):
+        catalog.delete_document(meta, meta, "a", "other")
+
+
+def test_percentiles(spark):
+    rows = [("a", float(v)) for v in range(1, 101)] + [("b", 7.0)] * 30 + [("c", float("nan")), ("c", None), (None, 1.0), ("d", 5.0)]
+    out = {r[0]: tuple(r)[1:] for r in metrics.summary(spark.createDataFrame(rows, "name string, value double")).collect()}
+    assert out == {"a": (100, 5050.0, 95.0), "b": (30, 210.0, 7.0), "d": (1, 5.0, 5.0)}
+
+
+def test_evaluation_from_file_to_report(spark, tmp_path):
+    corpus = [("d1", 0, "c", "a/fox.md", "red fox den", "x"), ("d2", 3, "c", "sky.md", "blue sky", "y"), ("d3", 0, "other", "z.md", "red fox", "x")]
+    corpus = spark.createDataFrame(corpus, "doc_id string, chunk_index int, collection string, source string, text string, kind string").withColumn("embedding", search.hashed_embedding("text", 8))
+    lines = ['{"query": "fox", "collection": "c", "relevant": ["fox#0"], "tags": ["t"]}', '{"query": "sky", "collection": "c", "relevant": ["d1#0"], "filters": {"kind": "y"}}', '{"query": "fox", "collection": "none", "relevant": ["d1#0"], "use_hyde": true}']
+    (tmp_path / "g.jsonl").write_text("\n".join(lines))
+    path, averages = evaluate(spark, str(tmp_path / "g.jsonl"), corpus, str(tmp_path / "r"), top_k=5, ks=(1, 3), stamp="20260101_000000")
+    row = averages.first()
+    assert (row.sample_count, row.recall_1, row.mrr, row.mode, row.top_k) == (3, 0.333333, 0.333333, "hybrid", 5)
+    assert golden.latest_report(spark, str(tmp_path / "r")).first() == row and path.endswith("retrieval_eval_20260101_000000")
+    samples = {(r.text, r.collection): r for r in spark.read.json(str(tmp_path / "r" / "samples_20260101_000000")).collect()}
+    fox, sky, none = (samples[k] for k in (("fox", "c"), ("sky", "c"), ("fox", "none")))
+    assert (fox.first_hit_rank, fox.failure_stage, fox.retrieved[0], "d3#0" in fox.retrieved) == (1, "hit", "fox#0", False)
+    assert (sky.hit, sky.failure_stage, sky.retrieved) == (False, "retrieval_missing", ["d2#3"])
+    assert (none.hit, none.retrieved, none.hybrid_count, none.warning) == (False, [], 0, "hyde_not_configured")
