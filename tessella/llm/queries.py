@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: The modules that have queries, by the number of their operator.
-MODULES = ("decontamination", "bpe", "language", "chat", "sharding", "lm_scoring", "quality", "token_files", "line_dedup", "jaccard_join")
+MODULES = ("decontamination", "bpe", "language", "chat", "sharding", "lm_scoring", "quality", "token_files", "line_dedup", "jaccard_join", "packing", "centroids", "alignment")
 
 
 def collected() -> tuple[dict, dict]:
