@@ -23,9 +23,9 @@ from tessella.llm._shared import documents, give_back, materialise, portions, se
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 1024, 2
 #: Pieces of a block on average. Each block may leave one sequence half empty.
-BLOCK = 8192
+BLOCK = 32_768
 #: Islands of a block, epochs with a migration between them, chromosomes of an island, children of an epoch.
-ISLANDS, EPOCHS, POPULATION, CHILDREN = 3, 2, 6, 24
+ISLANDS, EPOCHS, POPULATION, CHILDREN = 3, 2, 6, 40
 SEED = 11
 PIECES = {"piece": "int", "start": "long", "length": "long", "ids": "array<int>", "sequence_id": "long", "offset": "long"}
 
