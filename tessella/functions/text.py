@@ -53,7 +53,9 @@ def _bigrams(chars: Column) -> Column:
 def terms(text: Column | str) -> Column:
     """The sparse index's tokens: words of the lower-case text, and pairs of neighbouring CJK characters."""
     low = F.lower(_c(text))
-    return F.concat(F.regexp_extract_all(low, F.lit(TERM), 0), _bigrams(F.regexp_extract_all(low, F.lit(CJK), 0)))
+    words = F.regexp_extract_all(low, F.lit(TERM), 0)
+    # A text of ASCII alone has no such pairs and is not searched for them.
+    return F.when(F.octet_length(_c(text)) == F.length(_c(text)), words).otherwise(F.concat(words, _bigrams(F.regexp_extract_all(low, F.lit(CJK), 0))))
 
 
 def compare_tokens(text: Column | str) -> Column:

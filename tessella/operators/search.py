@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions import text as X
+from tessella.operators import conditions, lexical, stored
 
 #: Rows that are multiplied at once: of the corpus, and queries.
 CORPUS_BLOCK, QUERY_BLOCK = 8192, 256
 #: Most bytes of query vectors that are broadcast, and keys that the corpus is dealt to beyond it.
 BROADCAST_BYTES = 16_000_000
 SALTS = 64
-K1, B = 1.2, 0.75
 
 
 def equality_filter(df: DataFrame, filters: dict | None) -> DataFrame:
@@ -44,8 +44,8 @@ def ranked(df: DataFrame, k: int | None, id_col: str = "doc_id", by: str = "quer
     return out if k is None else out.where(F.col("rank") < k)
 
 
-def _blocks(df: DataFrame, id_col: str, vector: str, rows: int, prefix: str) -> DataFrame:
-    """Vectors stacked to matrices, a block's rows in the order of their ids: ids of any type, and the rows of a matrix as bytes of doubles."""
+def _blocks(df: DataFrame, id_col: str, vector: str, rows: int, prefix: str, where: str | None = None) -> DataFrame:
+    """Vectors stacked to matrices, a block's rows in the order of their ids: ids of any type, the rows of a matrix as bytes of doubles, and the rows' maps of conditions."""
 
     def run(batches):
         for batch in batches:
@@ -57,23 +57,25 @@ def _blocks(df: DataFrame, id_col: str, vector: str, rows: int, prefix: str) ->
                     own = part.filter(pa.array([n == dim for n in sizes]))
                     matrix = np.array(own.column(1).flatten().to_numpy(zero_copy_only=False), np.float64)
                     ids = pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), own.column(0))
-                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), ids, pa.array([matrix.tobytes()], pa.binary())], names=[f"{prefix}_dim", f"{prefix}_ids", f"{prefix}_rows"])
+                    maps = pa.array([own.column(2).to_pylist() if where else None], pa.list_(pa.map_(pa.string(), pa.string())))
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), ids, pa.array([matrix.tobytes()], pa.binary()), maps], names=[f"{prefix}_{c}" for c in ("dim", "ids", "rows", "where")])
 
-    schema = T.StructType([T.StructField(f"{prefix}_dim", T.IntegerType()), T.StructField(f"{prefix}_ids", T.ArrayType(df.schema[id_col].dataType)), T.StructField(f"{prefix}_rows", T.BinaryType())])
-    return df.select(id_col, vector).sortWithinPartitions(id_col).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField(f"{prefix}_dim", T.IntegerType()), T.StructField(f"{prefix}_ids", T.ArrayType(df.schema[id_col].dataType)), T.StructField(f"{prefix}_rows", T.BinaryType()), T.StructField(f"{prefix}_where", T.ArrayType(T.MapType(T.StringType(), T.StringType())))])
+    return df.select(id_col, vector, *[where] * bool(where)).sortWithinPartitions(id_col).mapInArrow(run, schema)
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, distance: str = "cosine", id_col: str = "doc_id", vector: str = "embedding") -> DataFrame:
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, distance: str = "cosine", id_col: str = "doc_id", vector: str = "embedding", where: str | None = None) -> DataFrame:
     """query_id, doc_id, score, rank: the k nearest rows of corpus for each row of queries (query_id, vector).
 
     Exact; ids may be of any type that Spark can order, structs too. Blocks of queries meet blocks of the corpus, each
     pair is one matrix product, and only the k best of a pair go on. Query blocks are broadcast if they have few bytes;
     else the corpus blocks are dealt to SALTS keys, at each of which all query blocks pass by. Distances: cosine, dot,
     euclid (as a negative distance). A zero vector has cosine 0 with everything. Scores are rounded to 6 digits before
-    they are ranked, so results do not depend on the order of additions.
+    they are ranked, so results do not depend on the order of additions. where: a column that both have, of queries a map
+    of conditions, of corpus the map that has to meet them.
     """
     distance = {"cos": "cosine"}.get(distance.lower(), distance.lower())
-    asked, held = _blocks(queries, "query_id", vector, QUERY_BLOCK, "q"), _blocks(corpus, id_col, vector, CORPUS_BLOCK, "c")
+    asked, held = _blocks(queries, "query_id", vector, QUERY_BLOCK, "q", where), _blocks(corpus, id_col, vector, CORPUS_BLOCK, "c", where)
     if _few_bytes(queries, vector):
         pairs = held.join(F.broadcast(asked), F.col("c_dim") == F.col("q_dim"))
     else:
@@ -84,7 +86,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float |
 
     def run(batches):
         for batch in batches:
-            for q_ids, c_ids, q_rows, c_rows in zip(*(batch.column(i) for i in range(4))):
+            for q_ids, c_ids, q_rows, c_rows, q_where, c_where in zip(*(batch.column(i) for i in range(6))):
                 q_ids, c_ids = q_ids.values, c_ids.values
                 c = np.frombuffer(c_rows.as_py()).reshape(len(c_ids), -1)
                 q = np.frombuffer(q_rows.as_py()).reshape(len(q_ids), -1)
@@ -95,12 +97,16 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float |
                 elif distance == "euclid":
                     score = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * score, 0))
                 score = np.round(score, 6)
+                if where:
+                    masks = conditions.Matcher(c_where.as_py()).masks(q_where.as_py())
+                    score = score if masks is None else np.where(masks, score, -np.inf)
                 order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # rows lie in the order of ids, which so decides ties
                 found = np.take_along_axis(score, order, 1)
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(np.repeat(np.arange(len(q_ids)), order.shape[1]))), c_ids.take(pa.array(order.ravel())), pa.array(found.ravel())], names=["query_id", id_col, "score"])
+                row, place = np.nonzero(found > -np.inf)
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(row)), c_ids.take(pa.array(order[row, place])), pa.array(found[row, place])], names=["query_id", id_col, "score"])
 
     schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField(id_col, kinds[1]), T.StructField("score", T.DoubleType())])
-    out = pairs.select("q_ids", "c_ids", "q_rows", "c_rows").mapInArrow(run, schema)
+    out = pairs.select("q_ids", "c_ids", "q_rows", "c_rows", "q_where", "c_where").mapInArrow(run, schema)
     if threshold is not None:
         out = out.where(F.col("score") >= threshold)
     return ranked(out, k, id_col)
@@ -116,23 +122,17 @@ def postings(docs: DataFrame, id_col: str = "doc_id", content: str = "text") ->
     return docs.select(id_col, F.explode(X.terms(content)).alias("_t")).groupBy(id_col, X.term_index("_t").alias("term")).agg(F.count("*").alias("tf"))
 
 
-def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "doc_id", only: Column | None = None) -> DataFrame:
+def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "doc_id", where: str | None = None) -> DataFrame:
     """Top-k by the dot product of term counts. queries: (query_id, text); corpus: (doc_id, text). No text, no result.
 
-    only: a condition on query_id and the document's id that pairs have to meet; an equality becomes part of the join.
+    where: a column that both have, of queries a map of conditions, of corpus the map that has to meet them.
     """
-    q = postings(queries, "query_id").withColumnRenamed("tf", "q_tf")
-    out = postings(corpus, id_col).join(q, "term").where(F.lit(True) if only is None else only).groupBy("query_id", id_col).agg(F.sum(F.col("tf") * F.col("q_tf")).cast("double").alias("score"))
-    return ranked(out.where("score > 0"), k, id_col)
+    return ranked(lexical.topk(queries, lexical.blocks(corpus, id_col, where=where), k, "counts", where, id_col=id_col), k, id_col)
 
 
-def fallback_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "doc_id", only: Column | None = None) -> DataFrame:
+def fallback_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "doc_id", where: str | None = None) -> DataFrame:
     """Top-k without a sparse index: each occurrence of a query's token that a text holds adds 1 + its share of the text."""
-    tokens = lambda df, i: df.select(i, F.explode(X.terms("text")).alias("token")).groupBy(i, "token").agg(F.count("*").alias("tf"))
-    size = corpus.select(id_col, F.size(X.terms("text")).alias("_n"))
-    q = tokens(queries, "query_id").withColumnRenamed("tf", "q_tf")
-    out = tokens(corpus, id_col).join(q, "token").where(F.lit(True) if only is None else only).join(size, id_col).groupBy("query_id", id_col).agg(F.round(F.sum(F.col("q_tf") * (1 + F.col("tf") / F.col("_n"))), 6).alias("score"))
-    return ranked(out.where("score > 0"), k, id_col)
+    return ranked(lexical.topk(queries, lexical.blocks(corpus, id_col, where=where, exact=True), k, "shares", where, True, id_col), k, id_col)
 
 
 def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, layout: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -141,24 +141,17 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, layout: DataFram
     queries and corpus bear a `collection`, in which a query is asked alone; layout: catalog.vector_layout().
     """
     known = layout.select("collection", "has_sparse")
-    asked = queries.join(known, "collection").select(F.struct("collection", "query_id").alias("query_id"), "text", "has_sparse")
-    held = corpus.join(known, "collection").select(F.struct("collection", F.col(id_col).alias("id")).alias("_id"), "text", "has_sparse")
-    inside = F.col("query_id.collection") == F.col("_id.collection")
-    legs = [search(asked.where(F.col("has_sparse") == has), held.where(F.col("has_sparse") == has), k, "_id", inside) for has, search in ((True, sparse_topk), (False, fallback_topk))]
+    inside = conditions.attributes(queries, ["collection"]).alias("_where")
+    asked = queries.join(known, "collection").select(F.struct("collection", "query_id").alias("query_id"), "text", "has_sparse", inside)
+    held = corpus.join(known, "collection").select(F.struct("collection", F.col(id_col).alias("id")).alias("_id"), "text", "has_sparse", inside)
+    legs = [search(asked.where(F.col("has_sparse") == has), held.where(F.col("has_sparse") == has), k, "_id", "_where") for has, search in ((True, sparse_topk), (False, fallback_topk))]
     return legs[0].unionByName(legs[1]).select("query_id.collection", "query_id.query_id", F.col("_id.id").alias(id_col), "score", "rank")
 
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
-    """Top-k by BM25 proper (k1 = 1.2, b = 0.75), which the plain product of counts is not."""
-    terms = postings(corpus, id_col)
-    size = terms.groupBy(id_col).agg(F.sum("tf").alias("_len"))
-    stats = size.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
-    df = terms.groupBy("term").agg(F.count("*").alias("_df"))
-    q = postings(queries, "query_id").withColumnRenamed("tf", "q_tf").join(df, "term").join(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    part = idf * F.col("q_tf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    out = terms.join(q, "term").join(size, id_col).groupBy("query_id", id_col).agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(out, k, id_col)
+    """Top-k by BM25 proper (k1 = 1.2, b = 0.75), which the plain product of counts is not. The index is written, as it is read three times."""
+    index = stored.written(lexical.blocks(corpus, id_col))
+    return ranked(lexical.topk(queries, index, k, "bm25", id_col=id_col), k, id_col)
 
 
 def hashed_embedding(text: Column | str, dim: int = 64) -> Column:
