@@ -157,7 +157,9 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "doc_
 def hashed_embedding(text: Column | str, dim: int = 64) -> Column:
     """A deterministic stand-in for an embedding model: signed counts of terms, hashed to `dim` places. Not a trained model."""
     index = F.transform(X.terms(text), lambda t: X.term_index(t))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(index, lambda h: h % dim == d), F.lit(0.0), lambda acc, h: acc + F.when(F.floor(h / dim) % 2 == 0, 1.0).otherwise(-1.0)).cast("float"))
+    sign = lambda h: F.when(F.floor(h / dim) % 2 == 0, 1.0).otherwise(-1.0)
+    places = lambda ix: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(ix, lambda h: h % dim == d), F.lit(0.0), lambda acc, h: acc + sign(h)).cast("float"))
+    return X.let(F.coalesce(index, F.array().cast("array<bigint>")), places)
 
 
 def embed(texts: DataFrame, encode, dim: int, column: str = "text", out: str = "embedding", batch: int = 64) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import catalog, metrics
+from tessella.operators import catalog, chunking, metrics, search, stored
+from tessella.operators.point_store import PointStore, page_after, pages
 from tessella.plans._tables import table
+from tessella.plans.parsing import _CHUNKS
+from tessella.plans.retrieval import _IDX, _TOK
 
 
 def _incoming(spark, d):
@@ -112,13 +117,44 @@ def vector_layouts(spark: SparkSession, d: str) -> DataFrame:
     return catalog.vector_layout(named, held)
 
 
+def _stored(spark, d):
+    """A store after two batches, of which the second is sent twice, and a delete. The first has other texts of the documents of quality 0; toxic ones are deleted."""
+    labels = table(spark, d, "labels")
+    docs = table(spark, d, "documents").join(labels.select("doc_id", "quality"), "doc_id", "left").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("lang", F.lit("none")).alias("collection"), "source", "text", "quality")
+    old = docs.withColumn("text", F.when(F.col("quality") == 0, F.concat(F.lit("old "), "text")).otherwise(F.col("text")))
+    store = PointStore(spark, stored.shared_folder(spark), 16)
+    chunked = lambda work: chunking.fixed_windows(work).join(work.select("doc_id", "collection", "source"), "doc_id")
+    embed = lambda chunks: chunks.withColumn("embedding", search.hashed_embedding("content", 8))
+    for number, rows in enumerate((old, docs, docs)):
+        store.ingest(rows.withColumn("content_hash", X.content_hash("text")), chunked, embed, F.timestamp_seconds(F.lit(number)), min(number, 1))
+    toxic = docs.join(labels.where("toxic = 1").select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_semi")
+    store.remove(toxic.select("collection", "doc_id"))
+    return store
+
+
+def point_store(spark: SparkSession, d: str) -> DataFrame:
+    """The current points of the store, each with what its vectors and payload hold."""
+    store = _stored(spark, d)
+    action = store.meta().select("collection", "doc_id", "action")
+    terms = F.aggregate("sparse.values", F.lit(0.0), lambda a, x: a + x).cast("long")
+    return store.points().join(action, ["collection", "doc_id"]).select("collection", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.size("sparse.indices").cast("long").alias("n_terms"), terms.alias("n_tokens"), F.element_at("sparse.indices", 1).alias("first_term"), F.size("embedding").cast("long").alias("dim"), F.md5(F.col("payload")["content"]).alias("content_md5"), F.col("payload")["source"].alias("source"), "action")
+
+
+def point_scroll(spark: SparkSession, d: str) -> DataFrame:
+    """All documents page by page with a cursor of (collection, doc_id): pages of 10,000 rows, put together again, each with its page."""
+    rows = table(spark, d, "documents").select(F.col("lang").alias("collection"), "doc_id")
+    cursors = [(i, after) for i, (_, after) in enumerate(pages(rows, ["collection", "doc_id"], 10_000))]
+    parts = [page_after(rows, ["collection", "doc_id"], cursors[i - 1][1] if i else None, 10_000).withColumn("page", F.lit(i).cast("long")) for i, _ in cursors]
+    return reduce(DataFrame.unionByName, parts) if parts else rows.withColumn("page", F.lit(0).cast("long"))
+
+
 _IN = "inc AS (SELECT doc_id, lang AS collection, source, md5(text) AS content_hash FROM documents)"
 _META = _IN + ", meta AS (SELECT doc_id, collection, source, CASE quality WHEN 1 THEN content_hash ELSE md5(content_hash) END AS content_hash FROM inc JOIN labels USING (doc_id))"
 _ACT = _META + ", act AS (SELECT inc.*, m.content_hash AS previous_hash, CASE WHEN m.content_hash IS NULL THEN 'created' WHEN m.content_hash = inc.content_hash THEN 'noop' ELSE 'updated' END AS action FROM inc LEFT JOIN meta m USING (doc_id, collection))"
 _VER = "v AS (SELECT conv_id || '-' || turn AS version_id, conv_id AS doc_id, 'chat' AS collection, md5(text) AS content_hash, turn AS created_at FROM conversations)"
 _DEL = _META + ", ids AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, min(doc_id) AS position FROM labels GROUP BY doc_id UNION ALL SELECT 'x', 0 FROM (SELECT count(*) AS c FROM labels) WHERE c > 0), st AS (SELECT doc_id, position, CASE WHEN m.k IS NOT NULL THEN 'deleted' ELSE 'not_found' END AS status, CASE WHEN m.k IS NOT NULL THEN coalesce(p.n, 0) ELSE 0 END AS deleted_points FROM ids LEFT JOIN (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS doc_id, 1 AS k FROM meta WHERE collection = 'en') m USING (doc_id) LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY 1) p USING (doc_id))"
 
-QUERIES = {f.__name__: f for f in (ingest_action, ingest_totals, meta_upsert, version_append, version_summary, latest_version, version_list, orphan_prune, orphan_summary, batch_delete, batch_delete_totals, delete_rows, collection_list, doc_page, latency_p95, vector_layouts)}
+QUERIES = {f.__name__: f for f in (ingest_action, ingest_totals, meta_upsert, version_append, version_summary, latest_version, version_list, orphan_prune, orphan_summary, batch_delete, batch_delete_totals, delete_rows, collection_list, doc_page, latency_p95, vector_layouts, point_store, point_scroll)}
 SQL = {
     "ingest_action": f"WITH {_ACT} SELECT doc_id, collection, action, previous_hash FROM act",
     "ingest_totals": f"WITH {_ACT} SELECT collection, action, count(*) AS n FROM act GROUP BY ALL",
@@ -134,6 +170,9 @@ SQL = {
     "delete_rows": "SELECT lang AS collection, count(*) AS points FROM documents d WHERE NOT (lang = 'fr' AND doc_id IN (SELECT doc_id FROM labels)) GROUP BY lang",
     "collection_list": "SELECT *, row_number() OVER (ORDER BY collection <> 'label3', collection) - 1 AS position FROM (SELECT 'label' || label AS collection, count(*) AS points_count, count(embedding) AS vectors_count, max(len(embedding)) AS dim FROM embeddings GROUP BY label)",
     "vector_layouts": "SELECT vec_id, 'label' || label AS collection, CASE label % 4 WHEN 1 THEN 'text' WHEN 2 THEN NULL ELSE 'dense' END AS dense_name, label % 4 IN (0, 3) AS has_sparse FROM embeddings",
+    "point_store": f"""WITH {_CHUNKS} SELECT coalesce(lang, 'none') AS collection, CAST(w.doc_id AS VARCHAR) AS doc_id, w.i AS chunk_index, CAST(len(list_distinct(x)) AS BIGINT) AS n_terms, CAST(len(x) AS BIGINT) AS n_tokens, list_min(x) AS first_term, CAST(8 AS BIGINT) AS dim, md5(content) AS content_md5, source, CASE WHEN quality = 0 THEN 'updated' ELSE 'created' END AS action
+FROM (SELECT *, list_transform({_TOK.replace('text', 'content')}, lambda t: {_IDX}) AS x FROM w WHERE content <> '') w JOIN documents d USING (doc_id) LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) <> 1""",
+    "point_scroll": "SELECT lang AS collection, doc_id, (row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST) - 1) // 10000 AS page FROM documents",
     "doc_page": "SELECT doc_id, n_chars AS ingested_at, source, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 20",
     "latency_p95": "SELECT event_type, count(*) AS n, round(sum(value), 3) AS total, list_sort(list(value))[greatest(1, CAST(floor(count(*) * 0.95::DOUBLE) AS BIGINT))] AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type",
 }

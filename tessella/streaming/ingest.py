@@ -1,4 +1,4 @@
-"""Idempotent ingest of a stream of documents: each micro-batch is compared with the metadata, written and versioned."""
+"""Idempotent ingest of a stream of documents into a store of points: each micro-batch is compared with the metadata, embedded, written and versioned."""
 
 from __future__ import annotations
 
@@ -7,56 +7,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessella.functions import text as X
-from tessella.operators import catalog, chunking
+from tessella.operators import chunking, search
+from tessella.operators.point_store import PointStore
 from tessella.sources import elements
 
 DOCUMENT = "doc_id string, collection string, source string, content_type string, text string, sent_at timestamp"
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All appended rows of a store; none before the first batch."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if found else spark.createDataFrame([], schema)
+def chunked(documents: DataFrame) -> DataFrame:
+    """The chunks of documents (collection, doc_id, text, source, content_type), by type."""
+    keyed = documents.withColumn("_key", F.to_json(F.struct("collection", "doc_id")))
+    parsed = elements.parse(keyed.select(F.col("_key").alias("doc_id"), "text", "source", "content_type")).drop("warning")
+    chunks = chunking.chunk(parsed, "markdown_structure").withColumn("_key", F.col("doc_id")).drop("doc_id")
+    return chunks.join(keyed.select("_key", "collection", "doc_id", "source"), "_key").drop("_key")
 
 
-META = "doc_id string, collection string, source string, content_hash string, chunk_count long, action string, batch long"
+def embedded(chunks: DataFrame) -> DataFrame:
+    """The stand-in for an embedding model."""
+    return chunks.withColumn("embedding", search.hashed_embedding("content"))
 
 
-def current_meta(spark: SparkSession, store: str) -> DataFrame:
-    """The newest row of each document in the append-only metadata."""
-    w = Window.partitionBy("doc_id", "collection").orderBy(F.desc("batch"))
-    return _read(spark, f"{store}/meta", META).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def ingest_batch(batch: DataFrame, number: int, store: str, embed=embedded, layout: DataFrame | None = None) -> None:
+    """One micro-batch into a PointStore: points with vectors and payload, versions and metadata of what is new or changed.
 
-
-def ingest_batch(batch: DataFrame, number: int, store: str) -> None:
-    """One micro-batch: chunks, versions and metadata of what is new or changed. A batch that is run again writes its own
-    folders again, so nothing is doubled. A document without chunks is listed under failed and keeps its last version; a
-    version's time is the document's sent_at, or the batch's number where it has none, so that a rerun gives the same."""
-    spark = batch.sparkSession
-    w = Window.partitionBy("doc_id", "collection").orderBy(F.desc("sent_at"))
-    latest = batch.withColumn("doc_id", F.coalesce("doc_id", X.doc_id("text"))).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").withColumn("content_hash", X.content_hash("text"))
-    meta = current_meta(spark, store).where(F.col("batch") < number)
-    work = catalog.ingest_actions(latest, meta).where("action <> 'noop'")
-    keyed = work.withColumn("_key", F.concat_ws("\x01", "collection", "doc_id"))
-    chunks = chunking.chunk(elements.parse(keyed.select(F.col("_key").alias("doc_id"), "text", "source", "content_type")).drop("warning"), "markdown_structure")
-    chunks = chunks.withColumns({"collection": F.split_part("doc_id", F.lit("\x01"), F.lit(1)), "doc_id": F.split_part("doc_id", F.lit("\x01"), F.lit(2)), "batch": F.lit(number).cast("long")})
-    chunks.write.mode("overwrite").parquet(f"{store}/chunks/number={number}")
-    counts = spark.read.parquet(f"{store}/chunks/number={number}").groupBy("collection", "doc_id").agg(F.count("*").alias("chunk_count"))
-    counted = work.join(counts, ["collection", "doc_id"], "left")
-    failed = counted.where("chunk_count is null").select("doc_id", "collection", "source", "content_hash", F.lit("no chunks").alias("reason"), F.lit(number).cast("long").alias("batch"))
-    failed.write.mode("overwrite").parquet(f"{store}/failed/number={number}")
-    done = counted.where("chunk_count is not null")
-    versions = catalog.new_versions(done, F.coalesce(F.col("sent_at"), F.timestamp_seconds(F.lit(number)))).withColumn("batch", F.lit(number).cast("long"))
-    versions.write.mode("overwrite").parquet(f"{store}/versions/number={number}")
-    # Metadata comes last: a batch that is cut short leaves no document that counts as ingested.
-    rows = done.select("doc_id", "collection", "source", "content_hash", "chunk_count", "action", F.lit(number).cast("long").alias("batch"))
-    rows.write.mode("overwrite").parquet(f"{store}/meta/number={number}")
-
-
-def current_chunks(spark: SparkSession, store: str) -> DataFrame:
-    """The chunks of each document's newest version."""
-    return spark.read.parquet(f"{store}/chunks").drop("number").join(current_meta(spark, store).select("doc_id", "collection", "batch"), ["doc_id", "collection", "batch"], "left_semi")
+    Only buckets that the batch's documents fall into are read and rewritten; a batch that is run again changes nothing.
+    Of rows of one document the last sent counts, and of those sent together the one of the greatest content hash. A
+    version's time is the document's sent_at, or the batch's number where it has none, so that a rerun gives the same.
+    """
+    w = Window.partitionBy("doc_id", "collection").orderBy(F.desc("sent_at"), F.desc("content_hash"))
+    named = batch.withColumns({"doc_id": F.coalesce("doc_id", X.doc_id("text")), "collection": F.coalesce("collection", F.lit("default")), "content_hash": X.content_hash(F.coalesce("text", F.lit("")))})
+    latest = named.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    at = F.coalesce(F.col("sent_at"), F.timestamp_seconds(F.lit(number)))
+    PointStore(batch.sparkSession, store).ingest(latest, chunked, embed, at, number, layout)
 
 
 def start(spark: SparkSession, source: str, store: str, checkpoint: str) -> StreamingQuery:

@@ -168,23 +168,6 @@ def test_golden(spark, tmp_path):
     assert golden.latest_report(spark, str(tmp_path / "r")).first().m == "20260102_000000"
 
 
-def test_streaming_ingest_is_idempotent(spark, tmp_path):
-    first = [("d1", "c", "a.md", None, "# T\ntext here", None), ("d2", "c", "b.txt", None, "plain", None)]
-    for number, rows in enumerate([first, [("d1", "c", "a.md", None, "# T\nother", None), first[1]]]):
-        spark.createDataFrame(rows, ingest.DOCUMENT).write.parquet(f"{tmp_path}/in/{number}")
-        ingest.start(spark, f"{tmp_path}/in/*", f"{tmp_path}/store", f"{tmp_path}/ck").awaitTermination()
-    meta = {r.doc_id: (r.action, r.batch) for r in ingest.current_meta(spark, f"{tmp_path}/store").collect()}
-    assert meta == {"d1": ("updated", 1), "d2": ("created", 0)}
-    texts = {r.content for r in ingest.current_chunks(spark, f"{tmp_path}/store").collect()}
-    assert texts == {"# T", "# T\n\nother", "plain"} or "# T other" in {t.replace("\n\n", " ") for t in texts}
-    versions = spark.read.parquet(f"{tmp_path}/store/versions").orderBy("doc_id", "created_at").collect()
-    assert [(r.doc_id, r.note[:12]) for r in versions] == [("d1", "initial"), ("d1", "updated from"), ("d2", "initial")]
-    spark.createDataFrame([("d2", "c", "b.txt", None, "  ", None)], ingest.DOCUMENT).write.parquet(f"{tmp_path}/in/2")
-    ingest.start(spark, f"{tmp_path}/in/*", f"{tmp_path}/store", f"{tmp_path}/ck").awaitTermination()
-    assert [r.doc_id for r in spark.read.parquet(f"{tmp_path}/store/failed").collect()] == ["d2"]
-    assert "plain" in {r.content for r in ingest.current_chunks(spark, f"{tmp_path}/store").collect()}
-
-
 def test_each_document_by_its_own_strategy(spark):
     rows = [("a", 0, "x. " * 300, "paragraph", ["H"], 1, {}, "fixed"), ("b", 0, "T", "title", ["T"], 1, {}, "structure_aware"), ("b", 1, "one paragraph that is long enough to stay", "paragraph", ["T"], 1, {}, "structure_aware"), ("c", 0, "one paragraph that is long enough to stay", "paragraph", [], 1, {}, "unknown")]
     df = spark.createDataFrame(rows, "doc_id string, chunk_index int, content string, category string, heading_path array<string>, page int, extra map<string,string>, strategy string")
