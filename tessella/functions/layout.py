@@ -48,7 +48,8 @@ def _dots(text: Column) -> Column:
 def heading_level(level: Column | str, title: Column | str) -> Column:
     """A given level, else the depth of the title's number, else 1."""
     level, head = _c(level).cast("string"), _number_head(_c(title))
-    return F.when(level.rlike(r"^[0-9]+$"), F.greatest(F.lit(1), level.cast("int"))).when(head != "", F.least(F.lit(6), _dots(head) + 1)).otherwise(1)
+    given = F.when(level.rlike(r"^[0-9]+$"), F.coalesce(level.try_cast("int"), F.lit(2**31 - 1)))  # longer numbers are no integers here
+    return F.when(given.isNotNull(), F.greatest(F.lit(1), given)).when(head != "", F.least(F.lit(6), _dots(head) + 1)).otherwise(1)
 
 
 def numbered_heading(text: Column | str) -> Column:

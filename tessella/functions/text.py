@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,9 +28,13 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: White space of any script.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column | str) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(_c(text), r"^(?U)\s+|(?U)\s+$", "")
+    return F.btrim(_c(text), F.lit(WHITE))
 
 
 def content_hash(text: Column | str) -> Column:
@@ -77,16 +82,16 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column | str) -> Column:
-    """Compatibility composition, in Python only for texts beyond ASCII."""
+    """Compatibility composition. Texts of ASCII have it and are not sent to Python: a null goes in their place."""
     text = _c(text)
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(_nfkc(text))
+    return F.coalesce(_nfkc(F.when(F.octet_length(text) != F.length(text), text)), text)
 
 
 def clean_plain(text: Column | str) -> Column:
-    """Prose: hyphenated line ends joined, line ends to blanks, blanks collapsed, noise out, NFKC, stripped."""
-    out = F.regexp_replace(F.regexp_replace(_c(text), "-\n", ""), r"[ \t]*\n[ \t]*", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), f"[{OCR_NOISE}]", "")
-    return strip(nfkc(out))
+    """Prose as one line: words that a hyphen parts at a line's end are joined, any run of blanks, tabs and line ends is one
+    blank, noise goes and leaves what stood around it, characters are composed, and the ends are stripped."""
+    joined = F.translate(F.replace(_c(text), F.lit("-\n"), F.lit("")), "\n\t", "  ")
+    return strip(nfkc(F.translate(F.regexp_replace(joined, " {2,}", " "), OCR_NOISE, "")))
 
 
 def clean_structured(text: Column | str) -> Column:
@@ -113,8 +118,8 @@ def heading_prefix(content: Column | str, path: Column | str) -> Column:
     return F.when((head == "") | F.startswith(_c(content), head), _c(content)).otherwise(F.concat(head, F.lit("\n\n"), _c(content)))
 
 
-#: Names of map entries whose values are secrets. Fixed value.
-SECRET_NAME = r"(?i)(api[_-]?key|token|password|secret|authorization|bearer)"
+#: What the names of map entries hold whose values are secrets, in any case of letters. Fixed values.
+SECRET_NAMES = ("api_key", "api-key", "apikey", "token", "password", "secret", "authorization", "bearer")
 
 
 def redact_secret(value: Column | str, head: int = 4, tail: int = 4) -> Column:
@@ -132,7 +137,11 @@ def redact_url(url: Column | str) -> Column:
 
 def redact_map(payload: Column | str) -> Column:
     """A map whose secret-named entries are redacted; empty values stay."""
-    return F.transform_values(_c(payload), lambda k, v: F.when(k.rlike(SECRET_NAME) & (F.coalesce(v, F.lit("")) != ""), redact_secret(v)).otherwise(v))
+
+    def secret(name: Column) -> Column:
+        return reduce(Column.__or__, [F.contains(F.lower(name), F.lit(n)) for n in SECRET_NAMES])
+
+    return F.transform_values(_c(payload), lambda k, v: F.when(secret(k) & (F.coalesce(v, F.lit("")) != ""), redact_secret(v)).otherwise(v))
 
 
 def file_type(name: Column | str, content_type: Column | str) -> Column:

@@ -86,8 +86,9 @@ def neighbor_links_by_category(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
-    """Places of all turns in the order of page (the turn's half) and index, within their conversation."""
-    rows = _turns(spark, d).withColumns({"page": F.floor(F.col("chunk_index") / 2), "logic_idx": F.lit(None).cast("int")})
+    """Places of all turns within their conversation: those with a logical index (two of three turns, backwards) by it, the others by page (the turn's half) and index."""
+    index = F.when(F.col("chunk_index") % 3 != 0, 1000 - F.col("chunk_index"))
+    rows = _turns(spark, d).withColumns({"page": F.floor(F.col("chunk_index") / 2), "logic_idx": index.cast("int")})
     return chunking.reading_order(rows).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("position").cast("long").alias("logic_idx"))
 
 
@@ -132,6 +133,13 @@ def file_type_detect(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", X.file_type("name", "kind").alias("file_type"), X.text_type("html", "name").alias("text_type"))
 
 
+def parse_report(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of all pages as uploads, under names with and without a known ending and content types of all kinds."""
+    p = table(spark, d, "pages").withColumn("source", F.concat("url", F.element_at(F.array(*map(F.lit, (".pdf", ".MD", ".txt", ".doc", ""))), (F.col("page_id") % 5 + 1).cast("int"))))
+    p = p.withColumn("content_type", F.element_at(F.array(*map(F.lit, ("application/pdf", "text/markdown", "text/html", "", "image/png"))), (F.floor(F.col("page_id") / 5) % 5 + 1).cast("int")))
+    return elements.parse_report(p.select(F.col("page_id").alias("doc_id"), "source", "content_type", F.col("html").cast("binary").alias("content")))
+
+
 def address_parts(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages").select("page_id", "url", X.vector_url("url").alias("a"))
     return p.select("page_id", F.col("a.scheme").alias("scheme"), F.col("a.host").alias("host"), F.col("a.port").alias("port"), X.redact_url(F.replace("url", F.lit("://"), F.lit("://user:pw@"))).alias("redacted"))
@@ -158,9 +166,15 @@ def table_markdown(spark: SparkSession, d: str) -> DataFrame:
     return back.select("c_nationkey", F.md5("md").alias("md_md5"), F.md5("html").alias("html_md5"), (B.html_to_markdown("html") == F.col("md")).alias("same"), F.size(B.records(B.header("again"), "again")).cast("long").alias("n_records"))
 
 
+#: All types of blocks that are known, one that is not, and the empty one.
+_TYPES = [t for kinds in Y.CATEGORY_TYPES.values() for t in kinds] + [*Y.IGNORED_TYPES, "unknown", ""]
+
+
 def block_categories(spark: SparkSession, d: str) -> DataFrame:
-    """Event types as block types: most are unknown and so are paragraphs."""
-    return table(spark, d, "events").groupBy(F.coalesce(Y.category("event_type"), F.lit("none")).alias("category")).agg(F.count("*").alias("n"))
+    """All turns as blocks of all types in turn: the category of each."""
+    n = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(_TYPES) + 1)).cast("int")
+    turns = table(spark, d, "conversations").withColumn("kind", F.get(F.array(*map(F.lit, _TYPES)), n))
+    return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "kind", Y.category("kind").alias("category"))
 
 
 def heading_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +185,7 @@ def heading_levels(spark: SparkSession, d: str) -> DataFrame:
 
 _CHUNKS = "w AS (SELECT doc_id, i, regexp_replace(substr(text, i * 450 + 1, 500), '^\\s+|\\s+$', '', 'g') AS content FROM (SELECT doc_id, text, unnest(range(0, 1 + greatest(0, CAST(ceil((length(text) - 500) / 450::DOUBLE) AS BIGINT)))) AS i FROM documents))"
 _T = "t AS (SELECT conv_id AS doc_id, turn AS chunk_index, text AS content, role AS category, conv_id || ':' || turn AS chunk_id FROM conversations)"
-QUERIES = {f.__name__: f for f in (doc_identity, term_hash_tf, compare_tokens, fixed_chunks, plain_elements, markdown_elements, structured_chunks, semantic_chunks, markdown_chunks, clean_texts, sentence_split, neighbor_links, neighbor_links_by_category, reading_order, chunk_payloads, dispatched_chunks, short_merge, layout_summary, layout_json_elements, file_type_detect, address_parts, secret_redact, table_cell_norm, table_markdown, block_categories, heading_levels)}
+QUERIES = {f.__name__: f for f in (doc_identity, term_hash_tf, compare_tokens, fixed_chunks, plain_elements, markdown_elements, structured_chunks, semantic_chunks, markdown_chunks, clean_texts, sentence_split, neighbor_links, neighbor_links_by_category, reading_order, chunk_payloads, dispatched_chunks, short_merge, layout_summary, layout_json_elements, file_type_detect, parse_report, address_parts, secret_redact, table_cell_norm, table_markdown, block_categories, heading_levels)}
 SQL = {
     "doc_identity": "SELECT doc_id, substr(md5(text), 1, 12) AS content_id, md5(text) AS content_hash FROM documents",
     "term_hash_tf": r"""WITH p AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 2147483648 AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t FROM documents) GROUP BY ALL)
@@ -181,7 +195,7 @@ SELECT doc_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_tokens, max(tf)
     "plain_elements": r"WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents), s AS (SELECT doc_id, p, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM r) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS chunk_index, md5(x) AS content_md5 FROM s WHERE x <> ''",
     "neighbor_links": f"WITH {_T} SELECT doc_id, chunk_index, chunk_id, lag(chunk_id) OVER w AS prev_view_id, lead(chunk_id) OVER w AS next_view_id FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)",
     "neighbor_links_by_category": f"WITH {_T} SELECT doc_id, chunk_index, lag(chunk_id) OVER w AS prev_view_id, lead(chunk_id) OVER w AS next_view_id FROM t WINDOW w AS (PARTITION BY doc_id, category ORDER BY chunk_index)",
-    "reading_order": f"WITH {_T} SELECT doc_id, chunk_index, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index // 2, chunk_index) - 1 AS logic_idx FROM t",
+    "reading_order": f"WITH {_T} SELECT doc_id, chunk_index, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN chunk_index % 3 <> 0 THEN 1000 - chunk_index ELSE 99999 END, chunk_index // 2, chunk_index) - 1 AS logic_idx FROM t",
     "chunk_payloads": f"WITH {_T} SELECT doc_id, chunk_index, category, chunk_index // 2 AS page, category || '/turns' AS path, md5(content) AS content_md5, 'mark' AS extra_keys, category AS mark FROM t",
     "short_merge": rf"""WITH {_T}, b AS (SELECT *, CASE WHEN length(content) < 200 AND lag(category) OVER w = category THEN 0 ELSE 1 END AS n FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)),
 g AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS g FROM b)
@@ -193,11 +207,27 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(s, '|')) AS sent
 s AS (SELECT *, lower(regexp_extract(name, '\.([^.]+)$', 1)) AS x FROM p)
 SELECT page_id, CASE WHEN kind = 'application/pdf' THEN 'pdf' WHEN kind = 'text/markdown' THEN 'md' WHEN kind LIKE 'text/%' THEN 'txt' WHEN x = 'pdf' THEN 'pdf' WHEN x IN ('md', 'markdown') THEN 'md' WHEN x IN ('txt', 'text') THEN 'txt' END AS file_type,
 CASE WHEN x IN ('md', 'markdown') THEN 'md' WHEN x IN ('txt', 'text') THEN 'txt' WHEN regexp_matches(html, '(?m)^\s*#{1,3} ') THEN 'md' ELSE 'txt' END AS text_type FROM s""",
+    "parse_report": r"""WITH p AS (SELECT page_id, html, url || ['.pdf', '.MD', '.txt', '.doc', ''][page_id % 5 + 1] AS name, ['application/pdf', 'text/markdown', 'text/html', '', 'image/png'][(page_id // 5) % 5 + 1] AS kind FROM pages),
+s AS (SELECT *, lower(regexp_extract(name, '\.([^.]+)$', 1)) AS x FROM p),
+t AS (SELECT *, CASE WHEN kind = 'application/pdf' THEN 'pdf' WHEN kind = 'text/markdown' THEN 'md' WHEN kind LIKE 'text/%' THEN 'txt' WHEN x = 'pdf' THEN 'pdf' WHEN x IN ('md', 'markdown') THEN 'md' WHEN x IN ('txt', 'text') THEN 'txt' END AS file_type FROM s)
+SELECT page_id AS doc_id, file_type, CASE WHEN file_type IS NULL THEN 'unsupported' WHEN regexp_matches(coalesce(html, ''), '^\s*$') THEN 'empty' WHEN file_type = 'pdf' THEN 'degraded' ELSE 'parsed' END AS outcome,
+CASE WHEN file_type IS NULL THEN 'UnsupportedFormat: ' || trim(coalesce(name, '') || ' ' || kind) WHEN file_type = 'pdf' THEN 'parser_degraded: UnsupportedFormat' END AS warning FROM t""",
+    "clean_texts": r"""SELECT doc_id, length(regexp_replace(translate(regexp_replace(translate(replace(text, '-' || chr(10), ''), chr(10) || chr(9), '  '), ' {2,}', ' ', 'g'), '□■◆◇▪▫●○☐', ''), '^\s+|\s+$', '', 'g')) AS plain_chars,
+length(regexp_replace(regexp_replace(translate(replace(text, chr(13) || chr(10), chr(10)), '□■◆◇▪▫●○☐', ''), '[ \t]+(\n|$)', '\1', 'g'), '^\s+|\s+$', '', 'g')) AS structured_chars FROM documents""",
+    "structured_chunks": r"""WITH RECURSIVE l AS (SELECT doc_id, p, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents)),
+e AS MATERIALIZED (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM l WHERE x <> ''),
+k AS (SELECT doc_id, i, length(x) + 2 AS chars, 0 AS pack FROM e WHERE i = 1 UNION ALL
+ SELECT e.doc_id, e.i, CASE WHEN k.chars + length(x) > 800 THEN 0 ELSE k.chars END + length(x) + 2, pack + CASE WHEN k.chars + length(x) > 800 THEN 1 ELSE 0 END FROM k JOIN e ON e.doc_id = k.doc_id AND e.i = k.i + 1),
+j AS (SELECT doc_id, pack, string_agg(x, chr(10) || chr(10) ORDER BY i) AS x FROM e JOIN k USING (doc_id, i) GROUP BY ALL),
+c AS (SELECT doc_id, pack, regexp_replace(translate(regexp_replace(translate(replace(x, '-' || chr(10), ''), chr(10) || chr(9), '  '), ' {2,}', ' ', 'g'), '□■◆◇▪▫●○☐', ''), '^\s+|\s+$', '', 'g') AS x FROM j),
+b AS (SELECT *, sum(CASE WHEN length(x) < 30 AND pos > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pack) AS pos FROM c WHERE x <> '')),
+m AS (SELECT doc_id, g - 1 AS chunk_index, length(regexp_replace(string_agg(x, ' ' ORDER BY pos), '^\s+|\s+$', '', 'g')) AS chars FROM b GROUP BY doc_id, g)
+SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, chars, lag(doc_id || ':' || CAST(chunk_index AS BIGINT)) OVER w AS prev_view_id, lead(doc_id || ':' || CAST(chunk_index AS BIGINT)) OVER w AS next_view_id FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)""",
     "address_parts": r"""SELECT page_id, CASE WHEN contains(url, '://') THEN split_part(url, '://', 1) END AS scheme, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^([^:]*)', 1) ELSE url END AS host,
 CASE WHEN contains(url, '://') THEN TRY_CAST(nullif(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^:]*:(\d+)$', 1), '') AS INTEGER) END AS port, url AS redacted FROM pages""",
     "secret_redact": "WITH r AS (SELECT *, CASE WHEN p_name = '' THEN '(empty)' WHEN length(p_name) <= 8 THEN '***' ELSE left(p_name, 4) || '...' || right(p_name, 4) END AS s FROM part) SELECT p_partkey, s AS secret, CASE WHEN p_brand = '' THEN '(empty)' WHEN length(p_brand) <= 8 THEN '***' ELSE left(p_brand, 4) || '...' || right(p_brand, 4) END AS short, s AS key_entry, p_brand AS brand_entry FROM r",
     "table_cell_norm": r"SELECT p_partkey, regexp_replace(regexp_replace(format('{:.3f}', p_retailprice), '0+$', ''), '\.$', '') AS price, p_size || '%' AS share, p_brand || ',' || p_type AS words, true AS numeric FROM part",
-    "block_categories": "SELECT CASE WHEN event_type = '' OR event_type IS NULL THEN 'none' ELSE 'paragraph' END AS category, count(*) AS n FROM events GROUP BY 1",
+    "block_categories": f"SELECT conv_id, turn, kind, CASE WHEN kind IS NULL OR kind = '' OR kind IN {Y.IGNORED_TYPES} THEN NULL {' '.join(f'WHEN kind IN ({chr(44).join(map(repr, kinds))}) THEN {name!r}' for name, kinds in Y.CATEGORY_TYPES.items())} ELSE 'paragraph' END AS category FROM (SELECT conv_id, CAST(turn AS BIGINT) AS turn, {_TYPES}[(conv_id * 7 + turn) % {len(_TYPES) + 1} + 1] AS kind FROM conversations)",
     "table_markdown": r"""WITH c AS (SELECT c_nationkey, c_mktsegment AS s, count(*) AS n FROM customer GROUP BY ALL)
 SELECT c_nationkey, md5('| segment | n |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || s || ' | ' || n || ' |', chr(10) ORDER BY s)) AS md_md5,
 md5('<table><thead><tr><th>segment</th><th>n</th></tr></thead><tbody>' || string_agg('<tr><td>' || s || '</td><td>' || n || '</td></tr>', '' ORDER BY s) || '</tbody></table>') AS html_md5, true AS same, count(*) AS n_records FROM c GROUP BY c_nationkey""",

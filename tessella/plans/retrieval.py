@@ -121,6 +121,12 @@ def hyde_warning(spark: SparkSession, d: str) -> DataFrame:
     return fusion.hypothetical(_text_queries(spark, d)).select("query_id", F.length("text").cast("long").alias("chars"), "warning")
 
 
+def hyde_rewritten(spark: SparkSession, d: str) -> DataFrame:
+    """A rewriter that fails for every third length of a text and else gives the text in capitals."""
+    out = fusion.hypothetical(_text_queries(spark, d), lambda t: F.when(F.length(t) % 3 != 0, F.upper(t)))
+    return out.select("query_id", F.md5("text").alias("text_md5"), "warning")
+
+
 def hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The stand-in encoder over all conversation turns: the number of nonzero places and the squared length of each vector."""
     v = table(spark, d, "conversations").select("conv_id", "turn", search.hashed_embedding("text").alias("v"))
@@ -147,7 +153,12 @@ legs AS (SELECT *, row_number() OVER (PARTITION BY leg, query_id ORDER BY score
 _MM = "CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END"
 _FUSED = f"""f AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM (SELECT query_id, doc_id, CASE leg WHEN 0 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END * {_MM} AS part FROM legs WINDOW w AS (PARTITION BY query_id, leg)) GROUP BY ALL)"""
 
-QUERIES = {f.__name__: f for f in (dense_topk, dense_topk_threshold, dense_topk_dot, dense_topk_euclid, dense_topk_filtered, sparse_topk, sparse_fallback_topk, bm25_topk, hybrid_rrf, hybrid_minmax, hybrid_diversity, visibility, result_dedup, retrieve_hybrid, retrieve_chunks, hyde_warning, hashed_vectors)}
+#: Of the results t (query_id, doc_id, rank, score) in their order: u, with whether each stays beside those that stayed before it.
+_KEPT = r"""n AS MATERIALIZED (SELECT query_id, t.doc_id, score, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{{2,}}')) AS w FROM t JOIN documents d ON d.doc_id = t.doc_id),
+u AS (SELECT query_id, doc_id, score, rank, i, true AS stays, [w] AS held FROM n WHERE i = 1 UNION ALL
+ SELECT query_id, doc_id, score, rank, i, stays, CASE WHEN stays THEN list_append(held, w) ELSE held END FROM (SELECT n.*, u.held, len(list_filter(u.held, lambda x: len(x) > 0 AND len(w) > 0 AND len(list_intersect(x, w)) / (len(x) + len(w) - len(list_intersect(x, w)))::DOUBLE >= {least})) = 0 AS stays FROM u JOIN n ON n.query_id = u.query_id AND n.i = u.i + 1))"""
+
+QUERIES = {f.__name__: f for f in (dense_topk, dense_topk_threshold, dense_topk_dot, dense_topk_euclid, dense_topk_filtered, sparse_topk, sparse_fallback_topk, bm25_topk, hybrid_rrf, hybrid_minmax, hybrid_diversity, visibility, result_dedup, retrieve_hybrid, retrieve_chunks, hyde_warning, hyde_rewritten, hashed_vectors)}
 SQL = {
     "dense_topk": _dense(_COS),
     "dense_topk_threshold": _dense(_COS, f"AND round({_COS}, 6) >= 0.3"),
@@ -180,6 +191,19 @@ s AS (SELECT *, 'hybrid' AS actual_mode, CAST(NULL AS VARCHAR) AS warning FROM g
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) - 1 AS rank FROM s QUALIFY rank < {K})
 SELECT r.query_id, r.doc_id, r.chunk_index, r.score, r.rank, md5(c.text) AS text_md5, actual_mode, warning FROM r JOIN c USING (doc_id, chunk_index) WHERE NOT EXISTS (SELECT 1 FROM labels) OR r.doc_id IN (SELECT doc_id FROM labels)""",
     "hyde_warning": "SELECT doc_id AS query_id, length(text) AS chars, 'hyde_not_configured' AS warning FROM documents WHERE doc_id % 100 = 0",
+    "hyde_rewritten": "SELECT doc_id AS query_id, md5(CASE WHEN length(text) % 3 <> 0 THEN upper(text) ELSE text END) AS text_md5, CASE WHEN length(text) % 3 <> 0 THEN NULL ELSE 'hyde_failed' END AS warning FROM documents WHERE doc_id % 100 = 0",
+    "result_dedup": f"WITH RECURSIVE {_POST}, s AS ({_SPARSE}), t AS MATERIALIZED ({_TOP.format(k=K)}), {_KEPT.format(least=0.7)} SELECT query_id, doc_id, score, rank FROM u JOIN t USING (query_id, doc_id, score, rank) WHERE stays",
+    "retrieve_hybrid": f"""WITH RECURSIVE {_POST}, e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+dn AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round({_COS}, 6) AS score FROM e q, e c WHERE q.vec_id % 100 = 0 AND round({_COS}, 6) >= 0.3),
+sp AS ({_SPARSE}),
+legs AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY leg, query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM (SELECT *, 0 AS leg FROM dn UNION ALL SELECT *, 1 AS leg FROM sp) QUALIFY rank < 20), {_FUSED},
+g AS (SELECT query_id, doc_id, round(score * CASE WHEN coalesce(source, '') = '' THEN 1.0::DOUBLE ELSE greatest(0.5::DOUBLE, 1 - 0.1::DOUBLE * (n - 1)) END + 1e-10::DOUBLE, 6) AS score
+ FROM (SELECT f.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, f.doc_id) AS n FROM f LEFT JOIN documents USING (doc_id))),
+s AS (SELECT * FROM g WHERE query_id IN (SELECT vec_id FROM e) UNION ALL SELECT query_id, doc_id, score FROM legs WHERE leg = 1 AND query_id NOT IN (SELECT vec_id FROM e)),
+r AS ({_TOP.format(k=K)}),
+t AS MATERIALIZED (SELECT query_id, doc_id, score, rank FROM r WHERE NOT EXISTS (SELECT 1 FROM labels) OR doc_id IN (SELECT doc_id FROM labels)), {_KEPT.format(least=0.85)}
+SELECT query_id, doc_id, score, rank, CASE WHEN query_id IN (SELECT vec_id FROM e) THEN 'hybrid' ELSE 'bm25' END AS actual_mode, CASE WHEN query_id IN (SELECT vec_id FROM e) THEN NULL ELSE 'embedder_unavailable' END AS warning
+FROM u JOIN t USING (query_id, doc_id, score, rank) WHERE stays""",
     "hashed_vectors": rf"""WITH h AS (SELECT conv_id, turn, {_IDX} AS h FROM (SELECT conv_id, turn, unnest({_TOK}) AS t FROM conversations)),
 v AS (SELECT conv_id, turn, h % 64 AS d, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM h GROUP BY ALL)
 SELECT c.conv_id, c.turn, count(*) FILTER (x <> 0) AS n_nonzero, coalesce(sum(x * x), 0)::DOUBLE AS squared FROM conversations c LEFT JOIN v ON v.conv_id = c.conv_id AND v.turn = c.turn GROUP BY ALL""",
