@@ -21,43 +21,44 @@ def normalised_line(line: Column) -> Column:
 
 
 def line_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """doc_id, at, key: the hash of each run of `lines` consecutive lines that have a word. `at` counts such lines from 0.
+    """doc_id, copy, at, key: the hash of each run of `lines` consecutive lines that have a word. `at` counts such lines from 0.
 
-    Lines without a word are no lines here. A document with fewer lines than that has no window.
+    Lines without a word are no lines here. A document with fewer lines than that has no window. copy, the hash of the
+    text, tells apart rows that share a doc_id.
     """
     line = F.filter(F.transform(F.split("text", "\n"), normalised_line), lambda x: x != "")
-    row = docs.select("doc_id", F.transform(line, lambda x: F.xxhash64(x)).alias("_h")).where(F.size("_h") >= lines)
+    row = docs.select("doc_id", F.xxhash64("text").alias("copy"), F.transform(line, lambda x: F.xxhash64(x)).alias("_h")).where(F.size("_h") >= lines)
     hashed = F.transform(F.sequence(F.lit(0), F.size("_h") - lines), lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(lines)]))
-    return row.select("doc_id", F.posexplode(hashed).alias("at", "key"))
+    return row.select("doc_id", "copy", F.posexplode(hashed).alias("at", "key"))
 
 
 def later_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """doc_id, starts: the sorted places of those windows of a document that occur at a smaller (doc_id, place) too.
+    """doc_id, copy, starts: the sorted places of those windows of a row that occur at a smaller (doc_id, copy, place) too.
 
     The first place of each window is a minimum, which is taken before the shuffle where rows are read, so a window
     that a third of the documents hold costs one row a task. Windows found once end there; only the places of the
     others are joined, and Spark splits the places of a frequent one.
     """
-    found = line_windows(docs, lines)
-    first = found.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    found, place = line_windows(docs, lines), F.struct("doc_id", "copy", "at")
+    first = found.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
     first = materialise(first)
-    later = found.join(first, "key").where(F.struct("doc_id", "at") != F.col("first"))
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    later = found.join(first, "key").where(place != F.col("first"))
+    return later.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set("at")).alias("starts"))
 
 
 def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """docs with every later occurrence of a window cut out of `text`, and `n_lines`, `n_removed` (lines with a word).
 
     The removed places are the union of the windows' places: overlapping windows merge. Which occurrence stays is
-    decided by the smallest (doc_id, place): ties cannot occur while doc_id is a key. Rows that repeat a doc_id and
-    text are copies of one document and are treated alike; rows without doc_id are passed through whole, as are null
+    decided by the smallest (doc_id, hash of the text, place). Rows that share a doc_id but not the text are rows of
+    their own; rows that repeat both are one document and are treated alike; rows without doc_id are passed through whole, as are null
     texts (no lines), empty ones and those with fewer lines than a window. A text's work grows in proportion to its
     lines. An empty table gives an empty result. Further columns are kept; one that has a result's name is given back
     as `<name>_in`.
     """
     work, back = set_aside(docs, ["doc_id", "text"], RESULTS)
-    starts = later_windows(work.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), lines).select(F.col("doc_id").alias("_id"), F.col("starts").alias("_starts"))
-    row = work.join(starts, F.col("doc_id") == F.col("_id"), "left")
+    starts = later_windows(work.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), lines).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("starts").alias("_starts"))
+    row = work.join(starts, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_copy")), "left")
     split, has_word = F.split("text", "\n"), lambda x: normalised_line(x) != ""
     # The lines with a word that go, as places among such lines and then among all lines.
     gone = F.array_distinct(F.flatten(F.transform("_starts", lambda i: F.sequence(i, i + lines - 1))))

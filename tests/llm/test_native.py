@@ -8,6 +8,8 @@ from collections import Counter
 import pytest
 from oracle import same
 
+from pyspark.sql import functions as F
+
 from tessella.llm import decontamination, line_dedup, quality, sharding
 
 FOLDER = "/root/testdata/sf0.001"
@@ -132,6 +134,20 @@ def test_line_dedup_edges(spark, frame):
     assert [r.n_removed for r in line_dedup.dedup_lines(lost).collect()] == [0, 0]
 
 
+def test_line_dedup_where_a_doc_id_has_two_texts(spark):
+    """Each row loses what is its own and nothing is lost altogether, in the operator and in the stage of the pipeline."""
+    import corpus_pipeline as P
+
+    short, long = "a\nb\nc", "x\ny\nz\na\nb\nc"
+    df = spark.createDataFrame([(1, short), (1, long), (1, long), (2, "d\n" + short)], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    rows = line_dedup.dedup_lines(df).collect()
+    assert all(r.n_removed == r.n_lines - len((r.text or "").split()) for r in rows if r.n_removed)
+    left = [r.text for r in rows if r.doc_id == 1]
+    assert sorted(left) in (sorted([short, "x\ny\nz", "x\ny\nz"]), sorted(["", long, long])) and [r.text for r in rows if r.doc_id == 2] == ["d"]
+    kept = [r.text for r in P.lines(spark, df, FOLDER).collect()]
+    assert sorted(kept) in (sorted([short, "x\ny\nz", "x\ny\nz", "d"]), sorted([long, long, "d"]))
+
+
 def test_repeated_words_by_brute_force(spark, frame):
     rng = random.Random(7)
     texts = [" ".join(rng.choices("abcd", k=rng.randint(0, 40))) for _ in range(80)] + [None, "", "a b", "x " * 3000, "a\tb\nc a b c"]
