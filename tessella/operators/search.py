@@ -74,7 +74,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float |
     they are ranked, so results do not depend on the order of additions. where: a column that both have, of queries a map
     of conditions, of corpus the map that has to meet them.
     """
-    distance = {"cos": "cosine"}.get(distance.lower(), distance.lower())
+    distance = distance_name(distance)
     asked, held = _blocks(queries, "query_id", vector, QUERY_BLOCK, "q", where), _blocks(corpus, id_col, vector, CORPUS_BLOCK, "c", where)
     if _few_bytes(queries, vector):
         pairs = held.join(F.broadcast(asked), F.col("c_dim") == F.col("q_dim"))
@@ -82,7 +82,18 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float |
         asked = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         held = held.withColumn("_salt", F.pmod(F.xxhash64("c_rows"), F.lit(SALTS)).cast("int"))
         pairs = held.join(asked, (F.col("c_dim") == F.col("q_dim")) & (held["_salt"] == asked["_salt"]))
-    kinds = queries.schema["query_id"].dataType, corpus.schema[id_col].dataType
+    out = multiplied(pairs, queries.schema["query_id"].dataType, corpus.schema[id_col].dataType, k, distance, id_col, where is not None)
+    if threshold is not None:
+        out = out.where(F.col("score") >= threshold)
+    return ranked(out, k, id_col)
+
+
+def distance_name(distance: str) -> str:
+    return {"cos": "cosine"}.get(distance.lower(), distance.lower())
+
+
+def multiplied(pairs: DataFrame, query_type: T.DataType, id_type: T.DataType, k: int, distance: str, id_col: str, conditional: bool = False) -> DataFrame:
+    """query_id, id, score: the k best of each pair of a block of queries (q_...) and one of the corpus (c_...)."""
 
     def run(batches):
         for batch in batches:
@@ -97,7 +108,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float |
                 elif distance == "euclid":
                     score = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * score, 0))
                 score = np.round(score, 6)
-                if where:
+                if conditional:
                     masks = conditions.Matcher(c_where.as_py()).masks(q_where.as_py())
                     score = score if masks is None else np.where(masks, score, -np.inf)
                 order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # rows lie in the order of ids, which so decides ties
@@ -105,11 +116,8 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float |
                 row, place = np.nonzero(found > -np.inf)
                 yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(row)), c_ids.take(pa.array(order[row, place])), pa.array(found[row, place])], names=["query_id", id_col, "score"])
 
-    schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField(id_col, kinds[1]), T.StructField("score", T.DoubleType())])
-    out = pairs.select("q_ids", "c_ids", "q_rows", "c_rows", "q_where", "c_where").mapInArrow(run, schema)
-    if threshold is not None:
-        out = out.where(F.col("score") >= threshold)
-    return ranked(out, k, id_col)
+    schema = T.StructType([T.StructField("query_id", query_type), T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())])
+    return pairs.select("q_ids", "c_ids", "q_rows", "c_rows", "q_where", "c_where").mapInArrow(run, schema)
 
 
 def _few_bytes(queries: DataFrame, vector: str) -> bool:

@@ -9,7 +9,7 @@ from tessella.functions import layout as Y
 from tessella.functions import tables as B
 from tessella.functions import text as X
 from tessella.operators import chunking
-from tessella.sources import elements, layout_json
+from tessella.sources import elements, layout_json, pages
 from tessella.plans._tables import table
 
 
@@ -126,6 +126,19 @@ def layout_json_elements(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "category", F.col("page").cast("long").alias("page"), F.size("heading_path").cast("long").alias("depth"), F.col("logic_idx").cast("long").alias("logic_idx"))
 
 
+def extracted_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as matrices of cells: four pages are a document, a page's lines its rows, cut at blanks into three cells; those that go on are united.
+
+    Every third page repeats the header of the page before it, in capitals; pages without text are no tables.
+    """
+    line = lambda x: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.split_part(x, F.lit(" "), i))
+    p = table(spark, d, "pages").select(F.expr("page_id div 4").alias("doc_id"), (F.col("page_id") % 4).cast("int").alias("page"), F.lit(0).alias("place"), F.filter(F.split("html", "\n"), lambda x: x != "").alias("l"))
+    head = F.when(F.col("page") % 3 == 0, F.array(F.concat(F.lit("Head "), F.col("doc_id").cast("string")), F.lit("b\nb"), F.lit(" c "))).otherwise(F.array(F.concat(F.lit("HEAD "), F.col("doc_id").cast("string")), F.lit("B B"), F.when(F.col("page") == 2, F.lit("d")).otherwise(F.lit("C"))))
+    made = pages.tables_of(p.select("doc_id", "page", "place", F.when(F.size("l") > 0, F.concat(F.array(head), F.transform("l", line))).alias("matrix")))
+    out = pages.merge_tables(made.where("error IS NULL").select("doc_id", "page", "place", "header", "rows"))
+    return out.select("doc_id", F.col("page").cast("long").alias("page"), F.array_join("header", "|").alias("header"), "parts", F.size("rows").cast("long").alias("n_rows"), F.md5(F.array_join(F.flatten("rows"), "|")).alias("rows_md5"))
+
+
 def file_type_detect(spark: SparkSession, d: str) -> DataFrame:
     """Names made of pages' addresses, with and without a content type."""
     p = table(spark, d, "pages").withColumn("name", F.concat("url", F.element_at(F.array(*map(F.lit, (".pdf", ".MD", ".txt", ".doc", ""))), (F.col("page_id") % 5 + 1).cast("int"))))
@@ -185,7 +198,7 @@ def heading_levels(spark: SparkSession, d: str) -> DataFrame:
 
 _CHUNKS = "w AS (SELECT doc_id, i, regexp_replace(substr(text, i * 450 + 1, 500), '^\\s+|\\s+$', '', 'g') AS content FROM (SELECT doc_id, text, unnest(range(0, 1 + greatest(0, CAST(ceil((length(text) - 500) / 450::DOUBLE) AS BIGINT)))) AS i FROM documents))"
 _T = "t AS (SELECT conv_id AS doc_id, turn AS chunk_index, text AS content, role AS category, conv_id || ':' || turn AS chunk_id FROM conversations)"
-QUERIES = {f.__name__: f for f in (doc_identity, term_hash_tf, compare_tokens, fixed_chunks, plain_elements, markdown_elements, structured_chunks, semantic_chunks, markdown_chunks, clean_texts, sentence_split, neighbor_links, neighbor_links_by_category, reading_order, chunk_payloads, dispatched_chunks, short_merge, layout_summary, layout_json_elements, file_type_detect, parse_report, address_parts, secret_redact, table_cell_norm, table_markdown, block_categories, heading_levels)}
+QUERIES = {f.__name__: f for f in (doc_identity, term_hash_tf, compare_tokens, fixed_chunks, plain_elements, markdown_elements, structured_chunks, semantic_chunks, markdown_chunks, clean_texts, sentence_split, neighbor_links, neighbor_links_by_category, reading_order, chunk_payloads, dispatched_chunks, short_merge, layout_summary, layout_json_elements, extracted_tables, file_type_detect, parse_report, address_parts, secret_redact, table_cell_norm, table_markdown, block_categories, heading_levels)}
 SQL = {
     "doc_identity": "SELECT doc_id, substr(md5(text), 1, 12) AS content_id, md5(text) AS content_hash FROM documents",
     "term_hash_tf": r"""WITH p AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 2147483648 AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t FROM documents) GROUP BY ALL)
@@ -207,6 +220,14 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(s, '|')) AS sent
 s AS (SELECT *, lower(regexp_extract(name, '\.([^.]+)$', 1)) AS x FROM p)
 SELECT page_id, CASE WHEN kind = 'application/pdf' THEN 'pdf' WHEN kind = 'text/markdown' THEN 'md' WHEN kind LIKE 'text/%' THEN 'txt' WHEN x = 'pdf' THEN 'pdf' WHEN x IN ('md', 'markdown') THEN 'md' WHEN x IN ('txt', 'text') THEN 'txt' END AS file_type,
 CASE WHEN x IN ('md', 'markdown') THEN 'md' WHEN x IN ('txt', 'text') THEN 'txt' WHEN regexp_matches(html, '(?m)^\s*#{1,3} ') THEN 'md' ELSE 'txt' END AS text_type FROM s""",
+    "extracted_tables": r"""WITH l AS (SELECT page_id // 4 AS doc_id, page_id % 4 AS page, list_filter(string_split(html, chr(10)), lambda x: x <> '') AS l FROM pages),
+h AS (SELECT doc_id, page, CASE WHEN page = 2 THEN 'd' ELSE 'c' END AS k, CASE WHEN page % 3 = 0 THEN 'Head ' || doc_id || '|b b|c' ELSE 'HEAD ' || doc_id || '|B B|' || CASE WHEN page = 2 THEN 'd' ELSE 'C' END END AS header,
+ list_transform(l, lambda x: list_transform([1, 2, 3], lambda i: regexp_replace(split_part(x, ' ', i), '^\s+|\s+$', '', 'g'))) AS m FROM l WHERE len(l) > 0),
+g AS (SELECT *, sum(CASE WHEN before = k THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page) AS g FROM (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY page) AS before FROM h))
+SELECT doc_id, min(page) AS page, arg_min(header, page) AS header, count(*) AS parts, CAST(sum(len(m)) AS BIGINT) AS n_rows, md5(array_to_string(flatten(flatten(list(m ORDER BY page))), '|')) AS rows_md5 FROM g GROUP BY doc_id, g""",
+    "layout_json_elements": r"""WITH b AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 'title' WHEN 'user' THEN 'paragraph' ELSE 'formula' END AS category, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text FROM conversations),
+p AS (SELECT *, max(CASE WHEN category = 'title' AND text <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS depth FROM b)
+SELECT CAST(conv_id AS VARCHAR) AS doc_id, row_number() OVER w - 1 AS chunk_index, category, turn // 2 + 1 AS page, CAST(depth AS BIGINT) AS depth, row_number() OVER w - 1 AS logic_idx FROM p WHERE text <> '' OR category <> 'paragraph' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
     "parse_report": r"""WITH p AS (SELECT page_id, html, url || ['.pdf', '.MD', '.txt', '.doc', ''][page_id % 5 + 1] AS name, ['application/pdf', 'text/markdown', 'text/html', '', 'image/png'][(page_id // 5) % 5 + 1] AS kind FROM pages),
 s AS (SELECT *, lower(regexp_extract(name, '\.([^.]+)$', 1)) AS x FROM p),
 t AS (SELECT *, CASE WHEN kind = 'application/pdf' THEN 'pdf' WHEN kind = 'text/markdown' THEN 'md' WHEN kind LIKE 'text/%' THEN 'txt' WHEN x = 'pdf' THEN 'pdf' WHEN x IN ('md', 'markdown') THEN 'md' WHEN x IN ('txt', 'text') THEN 'txt' END AS file_type FROM s)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import fusion, search
+from tessella.operators import fusion, search, stored
+from tessella.operators.vector_index import VectorIndex
 from tessella.plans._tables import table
 
 K = 10
@@ -52,6 +53,18 @@ def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _out(search.dense_topk(_vector_queries(spark, d), search.equality_filter(_vectors(spark, d), {"must": {"label": 1}}), K))
 
 
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The results of an index over all vectors, which looks into a part of its lists."""
+    index = VectorIndex.build(_vectors(spark, d), stored.shared_folder(spark))
+    return _out(index.topk(_vector_queries(spark, d), K))
+
+
+def vector_index_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same with all lists looked into, which is exact."""
+    index = VectorIndex.build(_vectors(spark, d), stored.shared_folder(spark), 32)
+    return _out(index.topk(_vector_queries(spark, d), K, probes=32))
+
+
 def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
     return _out(search.sparse_topk(_text_queries(spark, d), _texts(spark, d), K))
 
@@ -158,9 +171,10 @@ _KEPT = r"""n AS MATERIALIZED (SELECT query_id, t.doc_id, score, rank, row_numbe
 u AS (SELECT query_id, doc_id, score, rank, i, true AS stays, [w] AS held FROM n WHERE i = 1 UNION ALL
  SELECT query_id, doc_id, score, rank, i, stays, CASE WHEN stays THEN list_append(held, w) ELSE held END FROM (SELECT n.*, u.held, len(list_filter(u.held, lambda x: len(x) > 0 AND len(w) > 0 AND len(list_intersect(x, w)) / (len(x) + len(w) - len(list_intersect(x, w)))::DOUBLE >= {least})) = 0 AS stays FROM u JOIN n ON n.query_id = u.query_id AND n.i = u.i + 1))"""
 
-QUERIES = {f.__name__: f for f in (dense_topk, dense_topk_threshold, dense_topk_dot, dense_topk_euclid, dense_topk_filtered, sparse_topk, sparse_fallback_topk, bm25_topk, hybrid_rrf, hybrid_minmax, hybrid_diversity, visibility, result_dedup, retrieve_hybrid, retrieve_chunks, hyde_warning, hyde_rewritten, hashed_vectors)}
+QUERIES = {f.__name__: f for f in (dense_topk, dense_topk_threshold, dense_topk_dot, dense_topk_euclid, dense_topk_filtered, vector_index_topk, vector_index_whole, sparse_topk, sparse_fallback_topk, bm25_topk, hybrid_rrf, hybrid_minmax, hybrid_diversity, visibility, result_dedup, retrieve_hybrid, retrieve_chunks, hyde_warning, hyde_rewritten, hashed_vectors)}
 SQL = {
     "dense_topk": _dense(_COS),
+    "vector_index_whole": _dense(_COS),
     "dense_topk_threshold": _dense(_COS, f"AND round({_COS}, 6) >= 0.3"),
     "dense_topk_dot": _dense("list_inner_product(q.v, c.v)"),
     "dense_topk_euclid": _dense("-list_distance(q.v, c.v)"),

@@ -61,6 +61,21 @@ def layout_counts(block: DataFrame) -> DataFrame:
     return block.groupBy("doc_id", "page", "category").agg(F.count("*").alias("n"))
 
 
+def tables_of(matrices: DataFrame) -> DataFrame:
+    """matrices (doc_id, page, place, matrix: array<array<string>>) as tables: header, rows, cells, markdown, html, error.
+
+    The first row is the header, whatever the widths; line ends in a cell are blanks, null cells empty, ends stripped. A
+    null or empty matrix and a null row are no table: everything is empty, and error says why.
+    """
+    cell = lambda c: X.strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")))
+    error = F.when(F.coalesce(F.size("matrix"), F.lit(0)) <= 0, "no rows").when(F.exists("matrix", lambda r: r.isNull()), "a row is missing")
+    none = F.array().cast("array<array<string>>")
+    row = matrices.withColumn("error", error).withColumn("_m", F.when(F.col("error").isNull(), F.transform("matrix", lambda r: F.transform(r, cell))).otherwise(none))
+    row = row.withColumns({"header": F.coalesce(F.get("_m", F.lit(0)), F.array().cast("array<string>")), "rows": F.slice("_m", 2, F.greatest(F.size("_m") - 1, F.lit(0)))})
+    listed = F.flatten(F.transform("_m", lambda r, i: F.transform(r, lambda c, j: F.struct(i.alias("row"), j.alias("col"), c.alias("text")))))
+    return row.withColumns({"cells": listed, "markdown": B.to_markdown("header", "rows"), "html": B.to_html("header", "rows")}).drop("_m", "matrix")
+
+
 def merge_tables(tables: DataFrame) -> DataFrame:
     """tables (doc_id, page, place, header, rows) with those that go on from the one before united: equal headers, without case."""
     order = Window.partitionBy("doc_id").orderBy("page", "place")
