@@ -135,8 +135,8 @@ def hyde_warning(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hyde_rewritten(spark: SparkSession, d: str) -> DataFrame:
-    """A rewriter that fails for every third length of a text and else gives the text in capitals."""
-    out = fusion.hypothetical(_text_queries(spark, d), lambda t: F.when(F.length(t) % 3 != 0, F.upper(t)))
+    """A rewriter that fails for every third length of a text and else puts a word before the text."""
+    out = fusion.hypothetical(_text_queries(spark, d), lambda t: F.when(F.length(t) % 3 != 0, F.concat(F.lit("passage "), t)))
     return out.select("query_id", F.md5("text").alias("text_md5"), "warning")
 
 
@@ -205,7 +205,7 @@ s AS (SELECT *, 'hybrid' AS actual_mode, CAST(NULL AS VARCHAR) AS warning FROM g
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) - 1 AS rank FROM s QUALIFY rank < {K})
 SELECT r.query_id, r.doc_id, r.chunk_index, r.score, r.rank, md5(c.text) AS text_md5, actual_mode, warning FROM r JOIN c USING (doc_id, chunk_index) WHERE NOT EXISTS (SELECT 1 FROM labels) OR r.doc_id IN (SELECT doc_id FROM labels)""",
     "hyde_warning": "SELECT doc_id AS query_id, length(text) AS chars, 'hyde_not_configured' AS warning FROM documents WHERE doc_id % 100 = 0",
-    "hyde_rewritten": "SELECT doc_id AS query_id, md5(CASE WHEN length(text) % 3 <> 0 THEN upper(text) ELSE text END) AS text_md5, CASE WHEN length(text) % 3 <> 0 THEN NULL ELSE 'hyde_failed' END AS warning FROM documents WHERE doc_id % 100 = 0",
+    "hyde_rewritten": "SELECT doc_id AS query_id, md5(CASE WHEN length(text) % 3 <> 0 THEN 'passage ' || text ELSE text END) AS text_md5, CASE WHEN length(text) % 3 <> 0 THEN NULL ELSE 'hyde_failed' END AS warning FROM documents WHERE doc_id % 100 = 0",
     "result_dedup": f"WITH RECURSIVE {_POST}, s AS ({_SPARSE}), t AS MATERIALIZED ({_TOP.format(k=K)}), {_KEPT.format(least=0.7)} SELECT query_id, doc_id, score, rank FROM u JOIN t USING (query_id, doc_id, score, rank) WHERE stays",
     "retrieve_hybrid": f"""WITH RECURSIVE {_POST}, e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
 dn AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round({_COS}, 6) AS score FROM e q, e c WHERE q.vec_id % 100 = 0 AND round({_COS}, 6) >= 0.3),
