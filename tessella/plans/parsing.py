@@ -244,6 +244,20 @@ c AS (SELECT doc_id, pack, regexp_replace(translate(regexp_replace(translate(rep
 b AS (SELECT *, sum(CASE WHEN length(x) < 30 AND pos > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pack) AS pos FROM c WHERE x <> '')),
 m AS (SELECT doc_id, g - 1 AS chunk_index, length(regexp_replace(string_agg(x, ' ' ORDER BY pos), '^\s+|\s+$', '', 'g')) AS chars FROM b GROUP BY doc_id, g)
 SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, chars, lag(doc_id || ':' || CAST(chunk_index AS BIGINT)) OVER w AS prev_view_id, lead(doc_id || ':' || CAST(chunk_index AS BIGINT)) OVER w AS next_view_id FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)""",
+    "markdown_chunks": r"""WITH RECURSIVE l AS (SELECT doc_id, p, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM (SELECT doc_id, unnest(string_split(t, chr(10) || chr(10))) AS x, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS p FROM (SELECT doc_id, replace(text, chr(13) || chr(10), chr(10)) AS t FROM documents))),
+e AS MATERIALIZED (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM l WHERE x <> ''),
+k AS (SELECT doc_id, i, length(x) + 2 AS chars, 0 AS pack FROM e WHERE i = 1 UNION ALL
+ SELECT e.doc_id, e.i, CASE WHEN k.chars + length(x) > 1200 THEN 0 ELSE k.chars END + length(x) + 2, pack + CASE WHEN k.chars + length(x) > 1200 THEN 1 ELSE 0 END FROM k JOIN e ON e.doc_id = k.doc_id AND e.i = k.i + 1),
+j AS MATERIALIZED (SELECT doc_id, pack, string_agg(x, chr(10) || chr(10) ORDER BY i) AS x FROM e JOIN k USING (doc_id, i) GROUP BY ALL),
+o AS (SELECT doc_id, pack, regexp_extract_all(x, '[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+$') AS w FROM j WHERE length(x) > 1200),
+s AS MATERIALIZED (SELECT doc_id, pack, x, row_number() OVER (PARTITION BY doc_id, pack ORDER BY p) AS i FROM (SELECT doc_id, pack, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x, p FROM (SELECT doc_id, pack, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM o)) WHERE x <> ''),
+q AS (SELECT doc_id, pack, i, length(x) AS chars, 0 AS part FROM s WHERE i = 1 UNION ALL
+ SELECT s.doc_id, s.pack, s.i, CASE WHEN q.chars + length(x) + 1 > 1200 THEN length(x) ELSE q.chars + 1 + length(x) END, part + CASE WHEN q.chars + length(x) + 1 > 1200 THEN 1 ELSE 0 END FROM q JOIN s ON s.doc_id = q.doc_id AND s.pack = q.pack AND s.i = q.i + 1),
+u AS (SELECT doc_id, pack, part, string_agg(x, ' ' ORDER BY i) AS x FROM s JOIN q USING (doc_id, pack, i) GROUP BY ALL),
+v AS (SELECT doc_id, pack, part, piece, regexp_replace(substr(x, piece + 1, 1200), '^\s+|\s+$', '', 'g') AS x FROM (SELECT *, unnest(range(0, length(x), 1200)) AS piece FROM u) UNION ALL SELECT doc_id, pack, 0, 0, x FROM j WHERE length(x) <= 1200),
+c AS (SELECT doc_id, pack, part, piece, regexp_replace(translate(regexp_replace(translate(replace(x, '-' || chr(10), ''), chr(10) || chr(9), '  '), ' {2,}', ' ', 'g'), '□■◆◇▪▫●○☐', ''), '^\s+|\s+$', '', 'g') AS x FROM v WHERE x <> ''),
+b AS (SELECT *, sum(CASE WHEN length(x) < 30 AND pos > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pack, part, piece) AS pos FROM c WHERE x <> ''))
+SELECT doc_id, CAST(g - 1 AS BIGINT) AS chunk_index, 'paragraph' AS category, length(regexp_replace(string_agg(x, ' ' ORDER BY pos), '^\s+|\s+$', '', 'g')) AS chars FROM b GROUP BY doc_id, g""",
     "address_parts": r"""SELECT page_id, CASE WHEN contains(url, '://') THEN split_part(url, '://', 1) END AS scheme, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^([^:]*)', 1) ELSE url END AS host,
 CASE WHEN contains(url, '://') THEN TRY_CAST(nullif(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^:]*:(\d+)$', 1), '') AS INTEGER) END AS port, url AS redacted FROM pages""",
     "secret_redact": "WITH r AS (SELECT *, CASE WHEN p_name = '' THEN '(empty)' WHEN length(p_name) <= 8 THEN '***' ELSE left(p_name, 4) || '...' || right(p_name, 4) END AS s FROM part) SELECT p_partkey, s AS secret, CASE WHEN p_brand = '' THEN '(empty)' WHEN length(p_brand) <= 8 THEN '***' ELSE left(p_brand, 4) || '...' || right(p_brand, 4) END AS short, s AS key_entry, p_brand AS brand_entry FROM r",
