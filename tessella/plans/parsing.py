@@ -198,6 +198,10 @@ def heading_levels(spark: SparkSession, d: str) -> DataFrame:
 
 _CHUNKS = "w AS (SELECT doc_id, i, regexp_replace(substr(text, i * 450 + 1, 500), '^\\s+|\\s+$', '', 'g') AS content FROM (SELECT doc_id, text, unnest(range(0, 1 + greatest(0, CAST(ceil((length(text) - 500) / 450::DOUBLE) AS BIGINT)))) AS i FROM documents))"
 _T = "t AS (SELECT conv_id AS doc_id, turn AS chunk_index, text AS content, role AS category, conv_id || ':' || turn AS chunk_id FROM conversations)"
+#: Where a piece of x that begins at `cut` ends: at the last full stop, or else blank, of the second half of 400 characters.
+_CUT = r"""CASE WHEN {cut} + 400 >= length(x) THEN {cut} + 400
+ WHEN contains(substr(x, {cut} + 1, 400), '。') AND length(regexp_extract(substr(x, {cut} + 1, 400), '(?s)^(.*)。', 1)) >= 200 THEN {cut} + length(regexp_extract(substr(x, {cut} + 1, 400), '(?s)^(.*)。', 1))
+ WHEN contains(substr(x, {cut} + 1, 400), ' ') AND length(regexp_extract(substr(x, {cut} + 1, 400), '(?s)^(.*) ', 1)) >= 200 THEN {cut} + length(regexp_extract(substr(x, {cut} + 1, 400), '(?s)^(.*) ', 1)) ELSE {cut} + 400 END"""
 QUERIES = {f.__name__: f for f in (doc_identity, term_hash_tf, compare_tokens, fixed_chunks, plain_elements, markdown_elements, structured_chunks, semantic_chunks, markdown_chunks, clean_texts, sentence_split, neighbor_links, neighbor_links_by_category, reading_order, chunk_payloads, dispatched_chunks, short_merge, layout_summary, layout_json_elements, extracted_tables, file_type_detect, parse_report, address_parts, secret_redact, table_cell_norm, table_markdown, block_categories, heading_levels)}
 SQL = {
     "doc_identity": "SELECT doc_id, substr(md5(text), 1, 12) AS content_id, md5(text) AS content_hash FROM documents",
@@ -258,6 +262,19 @@ v AS (SELECT doc_id, pack, part, piece, regexp_replace(substr(x, piece + 1, 1200
 c AS (SELECT doc_id, pack, part, piece, regexp_replace(translate(regexp_replace(translate(replace(x, '-' || chr(10), ''), chr(10) || chr(9), '  '), ' {2,}', ' ', 'g'), '□■◆◇▪▫●○☐', ''), '^\s+|\s+$', '', 'g') AS x FROM v WHERE x <> ''),
 b AS (SELECT *, sum(CASE WHEN length(x) < 30 AND pos > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pack, part, piece) AS pos FROM c WHERE x <> ''))
 SELECT doc_id, CAST(g - 1 AS BIGINT) AS chunk_index, 'paragraph' AS category, length(regexp_replace(string_agg(x, ' ' ORDER BY pos), '^\s+|\s+$', '', 'g')) AS chars FROM b GROUP BY doc_id, g""",
+    "semantic_chunks": r"""WITH RECURSIVE l AS (SELECT doc_id, p, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM (SELECT doc_id, unnest(string_split(t, chr(10) || chr(10))) AS x, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS p FROM (SELECT doc_id, replace(text, chr(13) || chr(10), chr(10)) AS t FROM documents))),
+t AS (SELECT doc_id, string_agg(x, chr(10) || chr(10) ORDER BY p) AS x FROM l WHERE x <> '' GROUP BY doc_id),
+w AS (SELECT doc_id, regexp_extract_all(x, '[^。！？!?；;\n]*[。！？!?；;\n]|[^。！？!?；;\n]+$') AS w FROM t),
+s AS MATERIALIZED (SELECT *, length(x) AS n, list_distinct(list_filter(regexp_extract_all(lower(x), '[\p{L}\p{N}_]+'), lambda y: length(y) > 1)) AS k FROM (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM (SELECT doc_id, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x, p FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM w)) WHERE x <> '')),
+r AS (SELECT doc_id, i, 1 AS g, n AS chars, k AS seen FROM s WHERE i = 1 UNION ALL
+ SELECT doc_id, i, CASE WHEN new THEN g + 1 ELSE g END, CASE WHEN new THEN n ELSE chars + n END, CASE WHEN new THEN k ELSE list_distinct(list_concat(seen, k)) END
+ FROM (SELECT s.doc_id, s.i, s.n, s.k, r.g, r.chars, r.seen, len(seen) = 0 OR len(k) = 0 OR len(list_intersect(seen, k)) / (len(seen) + len(k) - len(list_intersect(seen, k)))::DOUBLE < 0.2::DOUBLE OR chars + n > 800 AS new FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1)),
+u AS MATERIALIZED (SELECT doc_id, g, string_agg(x, ' ' ORDER BY i) AS x FROM s JOIN r USING (doc_id, i) GROUP BY ALL),
+z AS (SELECT doc_id, g, x, 0 AS a, FIRST_CUT AS b FROM u WHERE length(x) > 800 UNION ALL SELECT doc_id, g, x, b AS a, NEXT_CUT AS b FROM z WHERE b < length(x)),
+v AS (SELECT doc_id, g, a, regexp_replace(substr(x, a + 1, b - a), '^\s+|\s+$', '', 'g') AS x FROM z UNION ALL SELECT doc_id, g, 0, x FROM u WHERE length(x) <= 800),
+c AS (SELECT doc_id, g, a, regexp_replace(translate(regexp_replace(translate(replace(x, '-' || chr(10), ''), chr(10) || chr(9), '  '), ' {2,}', ' ', 'g'), '□■◆◇▪▫●○☐', ''), '^\s+|\s+$', '', 'g') AS x FROM v WHERE x <> ''),
+b AS (SELECT doc_id, x, pos, sum(CASE WHEN length(x) < 30 AND pos > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS m FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g, a) AS pos FROM c WHERE x <> ''))
+SELECT doc_id, CAST(m - 1 AS BIGINT) AS chunk_index, length(regexp_replace(string_agg(x, ' ' ORDER BY pos), '^\s+|\s+$', '', 'g')) AS chars FROM b GROUP BY doc_id, m""".replace("FIRST_CUT", _CUT.format(cut="0")).replace("NEXT_CUT", _CUT.format(cut="b")),
     "address_parts": r"""SELECT page_id, CASE WHEN contains(url, '://') THEN split_part(url, '://', 1) END AS scheme, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^([^:]*)', 1) ELSE url END AS host,
 CASE WHEN contains(url, '://') THEN TRY_CAST(nullif(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^:]*:(\d+)$', 1), '') AS INTEGER) END AS port, url AS redacted FROM pages""",
     "secret_redact": "WITH r AS (SELECT *, CASE WHEN p_name = '' THEN '(empty)' WHEN length(p_name) <= 8 THEN '***' ELSE left(p_name, 4) || '...' || right(p_name, 4) END AS s FROM part) SELECT p_partkey, s AS secret, CASE WHEN p_brand = '' THEN '(empty)' WHEN length(p_brand) <= 8 THEN '***' ELSE left(p_brand, 4) || '...' || right(p_brand, 4) END AS short, s AS key_entry, p_brand AS brand_entry FROM r",
