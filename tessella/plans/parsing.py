@@ -287,3 +287,22 @@ md5('<table><thead><tr><th>segment</th><th>n</th></tr></thead><tbody>' || string
 n AS (SELECT *, p_partkey % 2 = 0 AS num FROM p)
 SELECT p_partkey, CASE WHEN num THEN 2 ELSE 1 END::BIGINT AS level, num AS numbered, CASE WHEN num THEN 2 WHEN p_size / 25.0::DOUBLE >= 1.8::DOUBLE THEN 1 WHEN p_size / 25.0::DOUBLE >= 1.5::DOUBLE THEN 2 WHEN p_size / 25.0::DOUBLE >= 1.3::DOUBLE THEN 3 ELSE 4 END::BIGINT AS page_level FROM n""",
 }
+
+
+def _dispatched() -> str:
+    """The chunks of each strategy for the documents that have it; text between blank lines is an element."""
+    lines = SQL["markdown_chunks"].partition("e AS MATERIALIZED")[0]
+    structured = lines + "e AS MATERIALIZED" + SQL["structured_chunks"].partition("e AS MATERIALIZED")[2]
+    clean = SQL["structured_chunks"].partition("c AS (SELECT doc_id, pack, ")[2].partition(" AS x FROM j)")[0]
+    strip = r"'^\s+|\s+$', '', 'g')"
+    fixed = rf"""{lines} t AS (SELECT doc_id, string_agg(x, chr(10) || chr(10) ORDER BY p) AS x FROM l WHERE x <> '' GROUP BY doc_id),
+f AS (SELECT doc_id, i, regexp_replace(substr(x, i * 450 + 1, 500), {strip} AS x FROM (SELECT doc_id, x, unnest(range(0, 1 + greatest(0, CAST(ceil((length(x) - 500) / 450::DOUBLE) AS BIGINT)))) AS i FROM t)),
+c AS (SELECT doc_id, i, {clean} AS x FROM f WHERE x <> ''),
+b AS (SELECT *, sum(CASE WHEN length(x) < 30 AND pos > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM c WHERE x <> ''))
+SELECT doc_id, CAST(g - 1 AS BIGINT) AS chunk_index, length(regexp_replace(string_agg(x, ' ' ORDER BY pos), {strip}) AS chars FROM b GROUP BY doc_id, g"""
+    parts = {"lang = 'en'": SQL["markdown_chunks"], "lang = 'de'": structured, "lang = 'fr'": SQL["semantic_chunks"], "lang IS NULL OR lang NOT IN ('en', 'de', 'fr')": fixed}
+    union = " UNION ALL ".join(f"SELECT doc_id, chunk_index, chars FROM ({sql}) JOIN documents USING (doc_id) WHERE {where}" for where, sql in parts.items())
+    return f"SELECT doc_id, chunk_index, 'paragraph' AS category, chars, lag(doc_id || ':' || chunk_index) OVER w AS prev_view_id, lead(doc_id || ':' || chunk_index) OVER w AS next_view_id FROM ({union}) WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)"
+
+
+SQL["dispatched_chunks"] = _dispatched()
