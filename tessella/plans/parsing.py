@@ -275,6 +275,14 @@ v AS (SELECT doc_id, g, a, regexp_replace(substr(x, a + 1, b - a), '^\s+|\s+$',
 c AS (SELECT doc_id, g, a, regexp_replace(translate(regexp_replace(translate(replace(x, '-' || chr(10), ''), chr(10) || chr(9), '  '), ' {2,}', ' ', 'g'), '□■◆◇▪▫●○☐', ''), '^\s+|\s+$', '', 'g') AS x FROM v WHERE x <> ''),
 b AS (SELECT doc_id, x, pos, sum(CASE WHEN length(x) < 30 AND pos > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS m FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g, a) AS pos FROM c WHERE x <> ''))
 SELECT doc_id, CAST(m - 1 AS BIGINT) AS chunk_index, length(regexp_replace(string_agg(x, ' ' ORDER BY pos), '^\s+|\s+$', '', 'g')) AS chars FROM b GROUP BY doc_id, m""".replace("FIRST_CUT", _CUT.format(cut="0")).replace("NEXT_CUT", _CUT.format(cut="b")),
+    "markdown_elements": r"""WITH t AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(regexp_replace(html, '<h1[^>]*>', chr(10) || chr(10) || '# ', 'gi'), '<li[^>]*>', chr(10) || '- ', 'gi'), '<[^>]+>', chr(10), 'g') AS text FROM pages WHERE html IS NOT NULL),
+l AS (SELECT doc_id, p, regexp_replace(x, '\s+$', '') AS x FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS p FROM (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS t FROM t))),
+k AS (SELECT *, length(regexp_extract(x, '^(#{1,6})\s+\S', 1)) AS level FROM l),
+n AS (SELECT *, CASE WHEN level > 0 THEN 'title' WHEN regexp_matches(x, '^\s*([*+-]|[0-9]+\.)\s') THEN 'list' WHEN x = '' THEN 'blank' ELSE 'paragraph' END AS kind FROM k),
+g AS (SELECT *, CASE WHEN kind IN ('list', 'paragraph') THEN 'text' ELSE kind END AS grp, last_value(CASE WHEN level > 0 THEN level END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS depth FROM n),
+b AS (SELECT *, sum(CASE WHEN grp = before AND grp <> 'title' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS block FROM (SELECT *, lag(grp) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM g)),
+e AS (SELECT doc_id, block, CASE WHEN any_value(grp) = 'title' THEN 'title' ELSE arg_max(kind, p) END AS category, coalesce(max(depth), 0) AS depth, CASE WHEN any_value(grp) = 'title' THEN max(level) + 1 + length(regexp_replace(max(x), '^#+\s+', '')) ELSE length(regexp_replace(string_agg(x, chr(10) ORDER BY p), '^\s+|\s+$', '', 'g')) END AS chars FROM b WHERE grp <> 'blank' GROUP BY doc_id, block)
+SELECT doc_id, category, count(*) AS n, CAST(max(depth) AS BIGINT) AS depth, CAST(sum(chars) AS BIGINT) AS chars FROM e GROUP BY doc_id, category""",
     "address_parts": r"""SELECT page_id, CASE WHEN contains(url, '://') THEN split_part(url, '://', 1) END AS scheme, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^([^:]*)', 1) ELSE url END AS host,
 CASE WHEN contains(url, '://') THEN TRY_CAST(nullif(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^:]*:(\d+)$', 1), '') AS INTEGER) END AS port, url AS redacted FROM pages""",
     "secret_redact": "WITH r AS (SELECT *, CASE WHEN p_name = '' THEN '(empty)' WHEN length(p_name) <= 8 THEN '***' ELSE left(p_name, 4) || '...' || right(p_name, 4) END AS s FROM part) SELECT p_partkey, s AS secret, CASE WHEN p_brand = '' THEN '(empty)' WHEN length(p_brand) <= 8 THEN '***' ELSE left(p_brand, 4) || '...' || right(p_brand, 4) END AS short, s AS key_entry, p_brand AS brand_entry FROM r",
