@@ -22,8 +22,10 @@ def ingest_actions(incoming: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """rows replace those of the same key and are added otherwise; of rows that share a key any one is taken."""
-    return table.join(rows.select(*key).distinct(), key, "left_anti").unionByName(rows.dropDuplicates(key))
+    """rows replace those of the same key and are added otherwise; of rows that share a key the one that is greatest as JSON is taken, so a rerun gives the same."""
+    rest = F.struct(*[c for c in rows.columns if c not in key])
+    one = rows.groupBy(*key).agg(F.max_by(rest, F.to_json(rest)).alias("_r")).select(*key, "_r.*") if len(rows.columns) > len(key) else rows.distinct()
+    return table.join(rows.select(*key).distinct(), key, "left_anti").unionByName(one.select(rows.columns))
 
 
 def version_note(note, previous_hash):

@@ -161,6 +161,15 @@ def test_catalog(spark):
         catalog.collection_exists(catalog.drop_collection(cat, "c1"), "c1", required=True)
 
 
+def test_upsert_of_equal_keys_is_the_same_every_time(spark):
+    schema = "doc_id string, collection string, extra map<string,string>, n int"
+    table = spark.createDataFrame([("a", "c", {"k": "0"}, 0), ("b", "c", None, 0)], schema)
+    rows = spark.createDataFrame([("a", "c", {"k": str(i)}, i) for i in range(9)] + [("z", "c", None, None)], schema)
+    found = [sorted((r.doc_id, r.n) for r in catalog.upsert(table, rows.repartition(k)).collect() if r.doc_id != "z") for k in (1, 7)]
+    assert found[0] == found[1] == [("a", 8), ("b", 0)] and catalog.upsert(table, rows).count() == 3
+    assert catalog.upsert(table.select("doc_id"), rows.select("doc_id"), ["doc_id"]).count() == 3
+
+
 def test_rerank_by_provider(spark):
     rows = spark.createDataFrame([(str(q), "q", i, t) for q in (1, 2) for i, t in enumerate(["aa", "bb"])], "query_id string, query string, original_index long, text string")
     order = lambda df: [(r.query_id, r.text, r.warning) for r in df.orderBy("query_id", "new_rank").collect()]
