@@ -3,18 +3,22 @@
 Similar documents are put into groups of bounded size, and each group's union of tokens is written once. The matrix
 says which groups hold a token; a document asks it with the few tokens of which a similar document must have one, and so
 finds the groups that can hold a partner. Its overlap with such a group's union is counted next, and only where it
-reaches what a link needs are the group's members fetched and compared, until one links: a group hangs together, so one
-link joins the document with all of it. The union of a group of one is that document, so nothing more is fetched there.
+reaches what a link needs are the group's members fetched and compared with it, all at once: one link with each component
+of the group is enough. The union of a group of one is that document, so nothing more is fetched there.
 
 1. Each text becomes a set of hashed shingles; texts of one set are one node.
 2. The tokens that a node asks with are its rarest ones, by a table of fixed size of how many documents hold a token.
 3. Of the nodes that ask with a token the smallest is its leader; each node is compared with the leader that it shares
-   most with. Nodes so linked make up components, and these, cut into pieces, are the groups.
-4. Each node asks the matrix for the groups of other components. Components of all links are the result.
+   most with. Nodes so linked make up components, cut into pieces. Pieces that meet at crowded tokens are put together
+   by the leader of most of these, whether they link or not: these families, in parts, and the other pieces are the groups.
+4. Groups ask the matrix for other groups: of two that can hold a link the nodes of the smaller ask the larger. Nodes of
+   a family are compared with each other. Components of all links are the result.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +31,11 @@ from tessella.llm._shared import documents, drop_since, fixed_table, mark, mater
 #: Words of a shingle, and the similarity of a link in hundredths.
 WORDS = 5
 PERCENT = 80
-#: Documents of a group at most; queries that are compared with one copy of a group at most.
+#: Documents of a group, and shingles of all of them, or so; queries that are compared with one copy of a group at most.
 GROUP = 256
+GROUP_SHINGLES = 1_000_000
+#: Pieces of components that ask with a token at least, for these to be put together as a family. It changes speed only.
+CROWD = 8
 QUERIES_A_COPY = 4096
 #: A task counts the tokens that so many of some thousands of documents read together hold; the counts, added up by slot,
 #: order tokens. Any order gives the same links, so neither the bound nor crowded slots lose one; the table has this size
@@ -209,13 +216,12 @@ def _comparable(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
-def _least_common(n: str, m: str):
+def _least_common(n, m):
     """How many of the tokens that both ask with sets of n and m shingles share at least, if they link.
 
     Of the two, take the one whose asking tokens end first. It has needed() - 1 other tokens, so the overlap that a
     link takes is reached only if these few and the shared asking tokens make it up.
     """
-    n, m = F.col(n), F.col(m)
     overlap = F.ceil(PERCENT * (n + m) / (100 + PERCENT))
     return overlap - F.ceil(F.greatest(n, m) * PERCENT / 100) + 1
 
@@ -224,7 +230,7 @@ def leader_pairs(shared: DataFrame) -> DataFrame:
     """gid, node: each node with the leader of most of its tokens, and the leaders of a token's parts with the first of them."""
     near = shared.where((F.col("node") != F.col("leader")) & _comparable("n", "leader_n")).groupBy("node", "leader", "n", "leader_n").agg(F.count_distinct("token").alias("c"))
     # This step need not find all links, as the matrix does; pairs that share less than half of what links do are left to it.
-    near = near.where(2 * F.col("c") >= _least_common("n", "leader_n"))
+    near = near.where(2 * F.col("c") >= _least_common(F.col("n"), F.col("leader_n")))
     best = near.groupBy("node").agg(F.max(F.struct("c", "leader"))["leader"].alias("gid"))
     heads = shared.where("part != 0").select("token", "leader", "leader_n").distinct()
     first = heads.groupBy("token").agg(F.min(F.struct("leader", "leader_n")).alias("_f"))
@@ -313,28 +319,71 @@ def _dealt(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return copies, queries.join(copies, "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), "node")
 
 
-def open_groups(members: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: for each query (gid, node) a member (gid, node) of its group that it links with, if there is one, as a written table."""
-    copies, asked = _dealt(queries)
-    held = members.join(copies, "gid").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("gid", "copy", F.lit(0).alias("kind"), "node")
-    rows = held.union(asked.select("gid", "copy", F.lit(1), "node")).join(sets, "node").select("gid", "copy", "kind", "node", "n", "tokens").repartition("gid", "copy").sortWithinPartitions("gid", "copy", "kind")
+class _Opened:
+    """The members of a group, for counts of what a set shares with each of them at once.
+
+    It remembers which components its links have joined so far, and gives no link between what hangs together already.
+    """
+
+    def __init__(self, members: list[tuple[int, int, int, bytes]]):
+        self.nodes, self.components, self.sizes = [x[0] for x in members], [x[1] for x in members], np.array([x[2] for x in members])
+        tokens = [_numbers(x[3]) for x in members]
+        self.union, self.places = np.unique(np.concatenate(tokens), return_inverse=True)
+        self.starts = np.concatenate([[0], np.cumsum([len(x) for x in tokens])[:-1]])
+        self.joined: dict[int, int] = {}
+
+    def _root(self, component: int) -> int:
+        while (up := self.joined.get(component, component)) != component:
+            self.joined[component] = component = self.joined.get(up, up)
+        return component
+
+    def links(self, node: int, component: int, n: int, own: np.ndarray) -> list[tuple[int, int]]:
+        at = np.minimum(np.searchsorted(self.union, own), len(self.union) - 1)
+        held = np.zeros(len(self.union), np.int64)
+        held[at[self.union[at] == own]] = 1
+        common = np.add.reduceat(held[self.places], self.starts)
+        out = []
+        for i in np.nonzero(100 * common >= PERCENT * (n + self.sizes - common))[0].tolist():
+            x, y = self._root(component), self._root(self.components[i])
+            if x != y:
+                self.joined[max(x, y)] = min(x, y)
+                out.append((node, self.nodes[i]))
+        return out
+
+    def inner(self) -> list[tuple[int, int]]:
+        """Links between the members."""
+        ends = [*self.starts[1:].tolist(), len(self.places)]
+        return [x for i, a in enumerate(self.starts.tolist()) for x in self.links(self.nodes[i], self.components[i], int(self.sizes[i]), self.union[self.places[a : ends[i]]])]
+
+
+def open_groups(members: DataFrame, queries: DataFrame, families: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links of each query (gid, node, component) with members (gid, node, component) of its group, and of the members of `families` (gid) with each other; as a written table.
+
+    Links between what those given join already are left out, so there are fewer than queries and members together.
+    """
+    copies = queries.select("gid", F.lit(1).alias("asks")).union(families.select("gid", F.lit(0))).groupBy("gid").agg(F.greatest(F.lit(1), F.ceil(F.sum("asks") / QUERIES_A_COPY)).cast("int").alias("copies"), (F.min("asks") == 0).alias("family"))
+    asked = queries.join(copies, "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), F.lit(2).alias("kind"), "node", "component")
+    held = members.join(copies, "gid").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("gid", "copy", (F.col("family") & (F.col("copy") == 0)).cast("int").alias("kind"), "node", "component")
+    rows = held.union(asked).join(sets, "node").select("gid", "copy", "kind", "node", "component", "n", "tokens").repartition("gid", "copy").sortWithinPartitions("gid", "copy", "kind", "node")
 
     def run(batches):
-        at, group = None, []
-        for batch in batches:
-            found = []
-            for gid, copy, kind, node, n, tokens in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if (gid, copy) != at:
-                    at, group = (gid, copy), []
-                own = _numbers(tokens)
-                if kind == 0:
-                    group.append((node, n, own))
-                    continue
-                for other, m, its in group:
-                    if min(n, m) * 100 >= max(n, m) * PERCENT and 100 * (c := _common(its, own)) >= PERCENT * (n + m - c):
-                        found.append((node, other))
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
+        found, group = [], None
+
+        def taken():
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
+
+        each = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(7))))
+        for (_, _, kind), some in groupby(each, lambda row: row[:3]):
+            if kind < 2:  # they come before the group's queries
+                group = _Opened([row[3:] for row in some])
+                found += group.inner() if kind else []
+            else:
+                for row in some:
+                    found += group.links(*row[3:6], _numbers(row[6]))
+            if len(found) > 10_000:
+                yield taken()
+                found = []
+        yield taken()
 
     return materialise(rows.mapInArrow(run, "a long, b long"))
 
@@ -373,6 +422,54 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return whole.select(F.col("x").alias("node"), F.col("root").alias("component"))
 
 
+def _pieces(nodes, shingles):
+    """Into how many groups so many nodes with so many shingles together are dealt."""
+    return F.ceil(F.greatest(nodes / GROUP, shingles / GROUP_SHINGLES)).cast("long")
+
+
+def families(rows: DataFrame) -> DataFrame:
+    """A written table: unit, gid for the units of rows (token, node, n, unit) that crowded tokens put together.
+
+    Units that share a passage but do not link would meet in pairs at each of its tokens. The smallest unit of a crowded
+    token is its leader; a unit goes with the leader of most of its crowded tokens, and what goes with one leader is dealt to
+    groups. Where a unit goes changes no link, as groups are compared within and with each other.
+    """
+    held = rows.select("token", "unit").distinct()
+    crowded = held.groupBy("token").agg(F.count("*").alias("units"), F.min("unit").alias("leader")).where(F.col("units") >= CROWD).select("token", "leader")
+    led = held.join(crowded, "token").groupBy("unit", "leader").agg(F.count("*").alias("c"))
+    best = materialise(led.groupBy("unit").agg(F.max(F.struct("c", "leader"))["leader"].alias("leader")))
+    nodes = rows.join(best, "unit").select("leader", "unit", "node", "n").distinct()
+    pieces = nodes.groupBy("leader").agg(_pieces(F.count("*"), F.sum("n")).alias("pieces"))
+    return materialise(best.join(pieces, "leader").select("unit", F.xxhash64("leader", F.pmod(F.xxhash64("unit"), F.col("pieces")), F.lit("family")).alias("gid")))
+
+
+def group_pairs(rows: DataFrame) -> DataFrame:
+    """x, y: groups of rows (token, n, at, component, gid) between which a link is possible, x the smaller number."""
+    # Linked nodes of n and m shingles share an overlap o, so of the first n - o + l and m - o + l of their tokens l at
+    # least are common, for any l that the asking tokens reach. l is taken as half of the most: their places then say
+    # how large the other node may be, so that a token which many have behind more tokens of their own than a link
+    # allows brings no two of them together; and a few tokens that two texts share by chance are not enough.
+    reach = F.col("n") * (1 - _HALF_OVERLAP) - F.col("at") + 1e-6
+    columns = {"least": F.min("n"), "most": F.max("n"), "reach": F.max(reach), "low": F.min("component"), "high": F.max("component")}
+    matrix = materialise(rows.groupBy("token", "gid").agg(*[v.alias(k) for k, v in columns.items()]))
+    x, y = (matrix.select("token", F.col("gid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in "xy")
+    fits = F.lit(True)
+    for a, b in ("xy", "yx"):
+        fits &= (F.col(f"{a}_most") * 100 >= F.col(f"{b}_least") * PERCENT) & (F.col(f"{a}_reach") >= F.col(f"{b}_least") * (_HALF_OVERLAP + _HALF_NEEDED))
+    one = F.greatest("x_high", "y_high") == F.least("x_low", "y_low")
+    met = x.join(y, "token").where((F.col("x") < F.col("y")) & ~one & fits).groupBy("x", "y").agg(F.count("*").alias("c"), *[(F.min if c == "least" else F.max)(f"{s}_{c}").alias(f"{s}_{c}") for s in "xy" for c in ("least", "most")])
+
+    def fewest(a, b):
+        """If all of group a have one size: of b's sizes the least and the largest that can link ask for the fewest shared tokens."""
+        n = F.col(f"{a}_least")
+        low, high = F.greatest(F.col(f"{b}_least"), F.ceil(n * PERCENT / 100)), F.least(F.col(f"{b}_most"), F.floor(n * 100 / PERCENT))
+        # Between these sizes rounding may ask for one less.
+        return F.least(_least_common(n, low), _least_common(n, high)) - F.when(low < high, 1).otherwise(0)
+
+    even = lambda s: F.col(f"{s}_least") == F.col(f"{s}_most")
+    return met.where(F.col("c") >= F.floor(F.when(even("x"), fewest("x", "y")).when(even("y"), fewest("y", "x")).otherwise(0) / 2)).select("x", "y")
+
+
 def link(sets: DataFrame) -> DataFrame:
     """a, b: links between nodes that join exactly the nodes which all links join. sets: as of shingle_sets()."""
     start, spark = mark(), sets.sparkSession
@@ -382,35 +479,33 @@ def link(sets: DataFrame) -> DataFrame:
     near = sets_of(sets, pairs.select("node").union(heads.select("node")))
     first = ask_groups(near.join(heads, "node", "left_semi").select(F.col("node").alias("gid"), F.col("node").alias("sole"), "n", "tokens"), pairs, near)
     known = components(first)
-    # Groups: components, those of many nodes in pieces; a node without links is a group of its own.
-    size = known.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("pieces"))
+    # Units: components, those of many nodes in pieces; a node without links is a unit of its own.
+    known = known.join(near.select("node", "n"), "node")
+    size = known.groupBy("component").agg(_pieces(F.count("*"), F.sum("n")).alias("pieces"))
     grouped = materialise(known.join(size, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("pieces")).alias("piece")))
     rows = shared.join(grouped, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("component"), F.coalesce("piece", F.lit(0)).alias("piece"))
     open_tokens = rows.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("token")
-    rows = materialise(rows.join(open_tokens, "token", "left_semi").withColumn("gid", F.xxhash64("component", "piece")))
-    drop_since(spark, start, first, grouped, rows)
-    # Linked nodes of n and m shingles share an overlap o, so of the first n - o + l and m - o + l of their tokens l at
-    # least are common, for any l that the asking tokens reach. l is taken as half of the most: their places then say
-    # how large the other node may be, so that a token which many have behind more tokens of their own than a link
-    # allows brings no two of them together; and a few tokens that two texts share by chance are not enough.
-    reach = F.col("n") * (1 - _HALF_OVERLAP) - F.col("at") + 1e-6
-    matrix = rows.groupBy("token", "gid", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(reach).alias("reach"))
-    ask = rows.select("token", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_component"), reach.alias("q_reach"))
-    size_fits = (F.col("q_n") * 100 >= F.col("least") * PERCENT) & (F.col("most") * 100 >= F.col("q_n") * PERCENT)
-    place_fits = (F.col("reach") >= F.col("q_n") * (_HALF_OVERLAP + _HALF_NEEDED)) & (F.col("q_reach") >= F.col("least") * (_HALF_OVERLAP + _HALF_NEEDED))
-    met = ask.join(matrix, "token").where((F.col("component") < F.col("q_component")) & size_fits & place_fits).groupBy("gid", "q", "q_n").agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
-    # Of a group's sizes, the least and the largest that can link ask for the fewest shared tokens.
-    met = met.withColumns({"least": F.greatest("least", F.ceil(F.col("q_n") * PERCENT / 100)), "most": F.least("most", F.floor(F.col("q_n") * 100 / PERCENT))})
-    # Between these sizes rounding may ask for one less.
-    fewest = F.least(_least_common("q_n", "least"), _least_common("q_n", "most")) - F.when(F.col("least") < F.col("most"), 1).otherwise(0)
-    queries = materialise(met.where(F.col("c") >= F.floor(fewest / 2)).select("gid", F.col("q").alias("node")))
-    alone = rows.where(F.col("component") == F.col("node")).select("gid", "node")
-    members = materialise(alone.union(grouped.select(F.xxhash64("component", "piece").alias("gid"), "node")).distinct().join(queries.select("gid").distinct(), "gid", "left_semi"))
+    rows = materialise(rows.join(open_tokens, "token", "left_semi").select("token", "node", "n", "at", "component", F.xxhash64("component", "piece").alias("unit")))
+    drop_since(spark, start, first, rows)
+    in_family = families(rows)
+    rows = materialise(rows.join(in_family, "unit", "left").withColumn("gid", F.coalesce("gid", "unit")))
+    members = materialise(rows.select("gid", "node", "component").distinct())
+    sizes = members.groupBy("gid").agg(F.count("*").alias("size"), F.min("component").alias("_a"), F.max("component").alias("_b"))
+    mixed = materialise(sizes.where("_a < _b").select("gid"))
+    pairs = group_pairs(rows)
+    for side in "xy":
+        pairs = pairs.join(sizes.select(F.col("gid").alias(side), F.col("size").alias(f"{side}_size")), side)
+    swap = F.struct("x_size", "x") > F.struct("y_size", "y")
+    asked = materialise(pairs.select(F.when(swap, F.col("x")).otherwise(F.col("y")).alias("gid"), F.when(swap, F.col("y")).otherwise(F.col("x")).alias("asker")))
+    queries = materialise(asked.join(members.withColumnRenamed("gid", "asker"), "asker").select("gid", "node", "component"))
+    members = materialise(members.join(queries.select("gid").union(mixed).distinct(), "gid", "left_semi"))
     near = sets_of(sets, queries.select("node").union(members.select("node")))
-    asked = ask_groups(unions(members, near), queries, near)
-    opened = asked.where("b is null").select("gid", F.col("a").alias("node"))
-    second = open_groups(members.join(opened.select("gid").distinct(), "gid", "left_semi"), opened, near)
-    out = materialise(first.union(asked).where("b is not null").select("a", "b").union(second))
+    whole = members.join(queries.select("gid").distinct(), "gid", "left_semi").select("gid", "node")
+    met = ask_groups(unions(whole, near), queries.select("gid", "node"), near)
+    opened = queries.join(met.where("b is null").select("gid", F.col("a").alias("node")), ["gid", "node"], "left_semi")
+    shown = members.join(opened.select("gid").union(mixed).distinct(), "gid", "left_semi")
+    second = open_groups(shown, opened, mixed, near)
+    out = materialise(first.union(met).where("b is not null").select("a", "b").union(second))
     drop_since(spark, start, out)
     return out
 

@@ -35,8 +35,8 @@ def edited(rng, words, n):
     return words
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_by_brute_force(spark, frame, seed, monkeypatch):
+@pytest.mark.parametrize("seed,crowd", [(1, 8), (2, 2), (3, 1)])
+def test_by_brute_force(spark, frame, seed, crowd, monkeypatch):
     rng = random.Random(seed)
     passage = [f"p{i}" for i in range(40)]
     texts = [None, "", "one two", "One  two", "a b c d e", "A b c d e"]
@@ -47,6 +47,7 @@ def test_by_brute_force(spark, frame, seed, monkeypatch):
         texts.append(" ".join([f"u{i}x{k}" for k in range(rng.randint(2, 30))] + passage))
     rng.shuffle(texts)
     monkeypatch.setattr(J, "GROUP", 3)
+    monkeypatch.setattr(J, "CROWD", crowd)
     monkeypatch.setattr(J, "QUERIES_A_COPY", 2)
     out = J.similarity_classes(frame(*texts)).orderBy("doc_id").collect()
     assert [(r.n_shingles, r.component_id) for r in out] == brute(texts)
@@ -57,6 +58,23 @@ def test_sql(spark):
         same(spark, J.QUERIES[name], sql, "/root/testdata/sf0.001")
 
 
+def test_crowded_near_threshold(spark, frame):
+    """A family that shares a passage, of which some link and some do not, in several groups that are compared with each other."""
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(60)]
+    texts = [" ".join(edited(rng, base, rng.randrange(0, 5)) + [f"v{i % 40}x{k}" for k in range(rng.randrange(0, 14))]) for i in range(300)]
+    out = J.similarity_classes(frame(*texts)).orderBy("doc_id").collect()
+    assert [(r.n_shingles, r.component_id) for r in out] == brute(texts)
+
+
+def test_opened_group():
+    """Members are linked with each other, and a query with one of each component that is not joined yet."""
+    tokens = lambda *x: J._packed(J.np.array(x))
+    group = J._Opened([(1, 1, 5, tokens(1, 2, 3, 4, 5)), (2, 2, 5, tokens(1, 2, 3, 4, 5)), (3, 3, 2, tokens(8, 9)), (4, 4, 5, tokens(1, 2, 3, 4, 7))])
+    assert [set(x) for x in group.inner()] == [{1, 2}]
+    assert group.links(9, 9, 5, J._numbers(tokens(1, 2, 3, 4, 5))) == [(9, 1)] and group.links(10, 9, 5, J._numbers(tokens(1, 2, 3, 4, 5))) == []
+
+
 def test_long_chain(spark):
     """Neighbours link, the ends do not: the class is the whole chain."""
     words = [f"w{i}" for i in range(300)]
