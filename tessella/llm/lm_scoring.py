@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._shared import documents, drop_since, mark, materialise, most_frequent, narrowed, portions, set_aside, with_columns
+from tessella.llm._shared import distinct, documents, drop_since, mark, materialise, most_frequent, narrowed, portions, set_aside, with_columns
 
 #: Words of the shared vocabulary at most, the most frequent of both samples; others are one unknown word.
 VOCABULARY = 50_000
@@ -109,7 +109,7 @@ def count_pairs(sample: DataFrame, ids: dict[str, int]) -> DataFrame:
 
         def counted():
             found = [np.unique(np.concatenate(h or [np.zeros(0, np.int64)]), return_counts=True) for h in held]
-            every = np.union1d(found[0][0], found[1][0])
+            every = distinct(np.concatenate([found[0][0], found[1][0]]))
             columns = [np.zeros(len(every), np.int64) for _ in found]
             for c, (k, n) in zip(columns, found):
                 c[np.searchsorted(every, k)] = n
@@ -167,7 +167,9 @@ class Sides:
         """Words, and the mean loss of a word under the target and the background model (0 for a text without words)."""
         keys, whose = _paired(codes, sizes, self.size)
         before, word = keys // self.size, keys % self.size
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        # Each distinct pair is looked up once, in order.
+        own, which = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, own), max(len(self.keys) - 1, 0))[which]
         known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
         n = sizes - 1
         mean = lambda side: np.bincount(whose, side.loss(before, word, at, known), len(sizes)) / np.maximum(n, 1)
@@ -239,8 +241,8 @@ def asked_pairs(rows: DataFrame, size: int) -> DataFrame:
     def run(batches):
         chunk, held = None, []
 
-        def distinct():
-            keys = np.unique(np.concatenate(held))
+        def asked():
+            keys = distinct(np.concatenate(held))
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk, np.int64)), pa.array(keys)], names=["_chunk", "key"])
 
         for batch in batches:
@@ -248,13 +250,13 @@ def asked_pairs(rows: DataFrame, size: int) -> DataFrame:
             starts = np.nonzero(np.diff(own, prepend=-1))[0]
             for start, end in zip(starts, [*starts[1:], len(own)]):
                 if own[start] != chunk and held:
-                    yield distinct()
+                    yield asked()
                     held = []
                 chunk = own[start]
                 part = batch.column(0).slice(start, end - start)
-                held.append(np.unique(_paired(part.flatten().to_numpy(), part.value_lengths().to_numpy().astype(np.int64), size)[0]))
+                held.append(distinct(_paired(part.flatten().to_numpy(), part.value_lengths().to_numpy().astype(np.int64), size)[0]))
         if held:
-            yield distinct()
+            yield asked()
 
     return rows.select("_codes", "_chunk").mapInArrow(run, "_chunk long, key long")
 

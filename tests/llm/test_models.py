@@ -213,3 +213,29 @@ def test_cuts_are_those_of_the_pattern():
     for _ in range(3000):
         text = "".join(rng.choice("abXY 09'stmrevld\n\t  .,!\xe9\xdf\u2013\u2019\xa0\u3000\x85\u65e5\ud55c\u043a\u0661\xb2\U0001f600") for _ in range(rng.randrange(30)))
         assert coder.words_of(text) == cut(text)
+
+
+def test_distinct_pairs_by_sorting(monkeypatch):
+    """The pairs that a chunk asks for are found by sorting: numpy.unique() hashes values, which took most of the step's time."""
+    import pyarrow as pa
+    from tessella.llm import _shared
+
+    unique = np.unique
+
+    def only_with_more(values, **more):
+        assert more, "values alone are hashed"
+        return unique(values, **more)
+
+    class Rows:  # hands out the function that workers run
+        select = lambda self, *names: self
+        mapInArrow = lambda self, run, schema: run
+
+    rng, size = np.random.default_rng(1), 50
+    texts = [[0, *rng.integers(1, size, n).tolist()] for n in (0, 5, 900, 40)]
+    chunks, whole = [3, 3, 4, 4], pa.array(texts, pa.list_(pa.int32()))
+    batches = [pa.RecordBatch.from_arrays([whole.slice(i, 2), pa.array(chunks[i : i + 2], pa.int64())], names=["_codes", "_chunk"]) for i in (0, 2)]
+    monkeypatch.setattr(np, "unique", only_with_more)
+    out = {int(b.column(0)[0].as_py()): b.column(1).to_pylist() for b in lm_scoring.asked_pairs(Rows(), size)(batches)}
+    pairs = {c: sorted({a * size + b for t, k in zip(texts, chunks) if k == c for a, b in zip(t, t[1:])}) for c in chunks}
+    assert out == pairs
+    assert [_shared.distinct(np.array(x, np.int64)).tolist() for x in ([], [2], [3, 1, 3, 2, 1])] == [[], [2], [1, 2, 3]]
