@@ -59,7 +59,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no ids and decodes to an empty text; repeated rows give repeated rows; an empty table
     gives an empty result. Columns other than those named are left out, whatever their names are.
     """
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.build_lexicon(docs)).drop("text"))
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), bpe.build_lexicon(docs))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", hex_sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), hex_sha256("decoded").alias("decoded_sha256"))
 
 

@@ -53,6 +53,19 @@ def test_op2_rows(spark, frame, library):
     assert bpe.encode(docs.limit(0)).count() == 0
 
 
+def test_round_trip(spark, frame):
+    """The rows and columns of encode() and decode(), by one worker a task: two side by side took too much memory."""
+    import corpus_pipeline
+
+    docs = frame(*ODD, "word " * 300_000).withColumn("ids", bpe.F.lit(7)).withColumn("Decoded", bpe.F.lit("given"))
+    one, two = bpe.round_trip(docs, bpe.build_lexicon(docs)), bpe.decode(bpe.encode(docs, bpe.build_lexicon(docs)).drop("text"))
+    assert sorted(one.columns) == sorted(two.columns)
+    assert one.select(two.columns).orderBy("doc_id").collect() == two.orderBy("doc_id").collect()
+    assert bpe.round_trip(docs.limit(0)).count() == 0
+    for out in (bpe.op2_transducer_bpe(spark, FOLDER), corpus_pipeline.encode(spark, docs.drop("ids", "Decoded"), FOLDER)):
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 @pytest.mark.parametrize("values", [[0], [255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1], [], list(range(1000))])
 def test_packed_ranks(values):
     control, data = token_files.pack(np.array(values, np.uint32))
