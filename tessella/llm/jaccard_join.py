@@ -1,10 +1,10 @@
 """Similarity join of documents by the Jaccard similarity of their word shingles, with a token-group matrix.
 
-Similar documents are put into groups of bounded size, and each group's union of tokens is written once. The matrix
-says which groups hold a token; a document asks it with the few tokens of which a similar document must have one, and so
-finds the groups that can hold a partner. Its overlap with such a group's union is counted next, and only where it
-reaches what a link needs are the group's members fetched and compared with it, all at once: one link with each component
-of the group is enough. The union of a group of one is that document, so nothing more is fetched there.
+Similar documents are put into groups of bounded size. The matrix says which groups hold a token; a document asks it
+with the few tokens of which a similar document must have one, and so finds the groups that can hold a partner. Sets
+travel once to where their groups are, those of members and of documents that ask alike. There the overlap with the
+union of the group's tokens is counted, and only where it reaches what a link needs are the group's members compared
+with the document, all at once: one link with each component of the group is enough.
 
 1. Each text becomes a set of hashed shingles; texts of one set are one node.
 2. The tokens that a node asks with are its rarest ones, by a table of fixed size of how many documents hold a token.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from tessella.llm._shared import documents, drop_since, fixed_table, mark, materialise, narrowed, portions
+from tessella.llm._shared import distinct, documents, drop_since, fixed_table, mark, materialise, narrowed, portions
 
 #: Words of a shingle, and the similarity of a link in hundredths.
 WORDS = 5
@@ -95,7 +95,7 @@ def shingle_hashes(texts: list[str | None]) -> list[np.ndarray]:
         out = []
         for a, b in zip(first.tolist(), last.tolist()):
             if b - a >= WORDS:
-                out.append(np.unique(runs[a : b - WORDS + 1]))
+                out.append(distinct(runs[a : b - WORDS + 1]))
             elif b > a:
                 out.append(_mix((words[a:b] * _PLACE[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)))
             else:
@@ -104,7 +104,7 @@ def shingle_hashes(texts: list[str | None]) -> list[np.ndarray]:
 
 
 def _tokens(hashes: np.ndarray) -> bytes:
-    return _packed(np.unique(hashes >> np.uint64(64 - 8 * TOKEN)))
+    return _packed(distinct(hashes >> np.uint64(64 - 8 * TOKEN)))
 
 
 def _packed(tokens: np.ndarray) -> bytes:
@@ -238,85 +238,13 @@ def leader_pairs(shared: DataFrame) -> DataFrame:
     return best.select("gid", "node").union(across.select(F.col("_f.leader").alias("gid"), F.col("leader").alias("node"))).distinct()
 
 
-def sets_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, tokens for the nodes asked for, one row each, as a written table. Rows of others hardly get into a shuffle."""
-    nodes = materialise(nodes.distinct())
-    found = narrowed(sets.where("n > 0").select("node", "n", "tokens"), "node", nodes).join(nodes, "node", "left_semi")
-    return materialise(found.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+def with_sets(sets: DataFrame, places: DataFrame) -> DataFrame:
+    """places (node and more) with n and tokens of the nodes. Rows of sets of other nodes hardly get into a shuffle.
 
-
-def unions(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """A written table: gid, sole (the member of a group of one, else null), n, tokens (the union of the members' tokens).
-
-    members: gid, node, of which a group has GROUP or so, so a task holds few tokens at a time.
-    """
-
-    def run(batches):
-        gid, held, rows = None, [], []
-
-        def one():
-            node, n, tokens = held[0]
-            if len(held) > 1:
-                node, n, tokens = None, 0, _packed(np.unique(np.concatenate([_numbers(x) for _, _, x in held])))
-            return gid, node, n, tokens
-
-        def taken():
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["gid", "sole", "n", "tokens"])
-
-        for batch in batches:
-            for g, *member in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if g != gid and held:
-                    rows.append(one())
-                    held = []
-                gid = g
-                held.append(member)
-            if rows:
-                yield taken()
-                rows = []
-        if held:
-            rows.append(one())
-            yield taken()
-
-    rows = members.join(sets, "node").select("gid", "node", "n", "tokens").repartition("gid").sortWithinPartitions("gid", "node")
-    return materialise(rows.mapInArrow(run, "gid long, sole long, n int, tokens binary"))
-
-
-def ask_groups(groups: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
-    """A written table: gid, a, b for each query (gid, node) whose overlap with the group's union is enough for a link.
-
-    a is the query's node. b is the member of a group of one that it links with; it is null where the group has more
-    members, which then are to be opened. Of groups with many queries there are copies, each with a share of these; a
-    task holds one union at a time and the queries pass by.
+    The exchange that makes one row of a node's copies is that of the join as well, so tokens travel once.
     """
-    copies, asked = _dealt(queries)
-    held = groups.join(copies, "gid").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("gid", "copy", F.lit(0).alias("kind"), F.col("sole").alias("node"), "n", "tokens")
-    rows = held.union(asked.join(sets, "node").select("gid", "copy", F.lit(1), "node", "n", "tokens")).repartition("gid", "copy").sortWithinPartitions("gid", "copy", "kind")
-
-    def run(batches):
-        at, group = None, None
-        for batch in batches:
-            found = []
-            for gid, copy, kind, node, n, tokens in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if kind == 0:
-                    at, group = (gid, copy), (node, n, _numbers(tokens))
-                    continue
-                if (gid, copy) != at:
-                    continue
-                sole, m, its = group
-                if sole is not None and min(n, m) * 100 < max(n, m) * PERCENT:
-                    continue
-                c = _common(its, _numbers(tokens))
-                if c >= needed(n) if sole is None else 100 * c >= PERCENT * (n + m - c):
-                    found.append((gid, node, sole))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names=["gid", "a", "b"])
-
-    return materialise(rows.mapInArrow(run, "gid long, a long, b long"))
-
-
-def _dealt(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """gid, copies; and the queries (gid, node) with the copy of their group that each is compared with."""
-    copies = queries.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES_A_COPY).cast("int").alias("copies"))
-    return copies, queries.join(copies, "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), "node")
+    found = narrowed(sets.where("n > 0").select("node", "n", "tokens"), "node", places)
+    return places.join(found.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "node")
 
 
 class _Opened:
@@ -339,8 +267,11 @@ class _Opened:
 
     def links(self, node: int, component: int, n: int, own: np.ndarray) -> list[tuple[int, int]]:
         at = np.minimum(np.searchsorted(self.union, own), len(self.union) - 1)
+        at = at[self.union[at] == own]
+        if len(at) < needed(n):
+            return []
         held = np.zeros(len(self.union), np.int64)
-        held[at[self.union[at] == own]] = 1
+        held[at] = 1
         common = np.add.reduceat(held[self.places], self.starts)
         out = []
         for i in np.nonzero(100 * common >= PERCENT * (n + self.sizes - common))[0].tolist():
@@ -359,12 +290,14 @@ class _Opened:
 def open_groups(members: DataFrame, queries: DataFrame, families: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: links of each query (gid, node, component) with members (gid, node, component) of its group, and of the members of `families` (gid) with each other; as a written table.
 
-    Links between what those given join already are left out, so there are fewer than queries and members together.
+    Links between what those given join already are left out, so there are fewer than queries and members together. Of
+    groups with many queries there are copies, each with a share of these; a task holds one group at a time and the
+    queries pass by. Members of groups that nobody asks and that are no families stay where they are.
     """
     copies = queries.select("gid", F.lit(1).alias("asks")).union(families.select("gid", F.lit(0))).groupBy("gid").agg(F.greatest(F.lit(1), F.ceil(F.sum("asks") / QUERIES_A_COPY)).cast("int").alias("copies"), (F.min("asks") == 0).alias("family"))
     asked = queries.join(copies, "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), F.lit(2).alias("kind"), "node", "component")
     held = members.join(copies, "gid").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("gid", "copy", (F.col("family") & (F.col("copy") == 0)).cast("int").alias("kind"), "node", "component")
-    rows = held.union(asked).join(sets, "node").select("gid", "copy", "kind", "node", "component", "n", "tokens").repartition("gid", "copy").sortWithinPartitions("gid", "copy", "kind", "node")
+    rows = with_sets(sets, materialise(held.union(asked))).select("gid", "copy", "kind", "node", "component", "n", "tokens").repartition("gid", "copy").sortWithinPartitions("gid", "copy", "kind", "node")
 
     def run(batches):
         found, group = [], None
@@ -388,11 +321,6 @@ def open_groups(members: DataFrame, queries: DataFrame, families: DataFrame, set
     return materialise(rows.mapInArrow(run, "a long, b long"))
 
 
-def _common(sorted_tokens: np.ndarray, own: np.ndarray) -> int:
-    at = np.minimum(np.searchsorted(sorted_tokens, own), len(sorted_tokens) - 1)
-    return int((sorted_tokens[at] == own).sum())
-
-
 def _roots(edges: DataFrame) -> DataFrame:
     """x, root: each node points to its smallest neighbour if that is smaller; the end of the pointers, found by doubling them."""
     up = materialise(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("root")))
@@ -451,7 +379,8 @@ def group_pairs(rows: DataFrame) -> DataFrame:
     # allows brings no two of them together; and a few tokens that two texts share by chance are not enough.
     reach = F.col("n") * (1 - _HALF_OVERLAP) - F.col("at") + 1e-6
     columns = {"least": F.min("n"), "most": F.max("n"), "reach": F.max(reach), "low": F.min("component"), "high": F.max("component")}
-    matrix = materialise(rows.groupBy("token", "gid").agg(*[v.alias(k) for k, v in columns.items()]))
+    # One exchange, by token, serves the matrix and both sides of the join.
+    matrix = rows.select("token", "gid", "n", "at", "component").repartition("token").groupBy("token", "gid").agg(*[v.alias(k) for k, v in columns.items()])
     x, y = (matrix.select("token", F.col("gid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in "xy")
     fits = F.lit(True)
     for a, b in ("xy", "yx"):
@@ -475,12 +404,11 @@ def link(sets: DataFrame) -> DataFrame:
     start, spark = mark(), sets.sparkSession
     shared = shared_tokens(sets)
     pairs = materialise(leader_pairs(shared))
-    heads = pairs.select("gid", F.col("gid").alias("node")).distinct()
-    near = sets_of(sets, pairs.select("node").union(heads.select("node")))
-    first = ask_groups(near.join(heads, "node", "left_semi").select(F.col("node").alias("gid"), F.col("node").alias("sole"), "n", "tokens"), pairs, near)
+    heads = pairs.select("gid", F.col("gid").alias("node"), F.col("gid").alias("component")).distinct()
+    first = open_groups(heads, pairs.select("gid", "node", F.col("node").alias("component")), heads.select("gid").limit(0), sets)
     known = components(first)
     # Units: components, those of many nodes in pieces; a node without links is a unit of its own.
-    known = known.join(near.select("node", "n"), "node")
+    known = known.join(sets.where("n > 0").select("node", "n").dropDuplicates(["node"]), "node")
     size = known.groupBy("component").agg(_pieces(F.count("*"), F.sum("n")).alias("pieces"))
     grouped = materialise(known.join(size, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("pieces")).alias("piece")))
     rows = shared.join(grouped, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("component"), F.coalesce("piece", F.lit(0)).alias("piece"))
@@ -498,14 +426,7 @@ def link(sets: DataFrame) -> DataFrame:
     swap = F.struct("x_size", "x") > F.struct("y_size", "y")
     asked = materialise(pairs.select(F.when(swap, F.col("x")).otherwise(F.col("y")).alias("gid"), F.when(swap, F.col("y")).otherwise(F.col("x")).alias("asker")))
     queries = materialise(asked.join(members.withColumnRenamed("gid", "asker"), "asker").select("gid", "node", "component"))
-    members = materialise(members.join(queries.select("gid").union(mixed).distinct(), "gid", "left_semi"))
-    near = sets_of(sets, queries.select("node").union(members.select("node")))
-    whole = members.join(queries.select("gid").distinct(), "gid", "left_semi").select("gid", "node")
-    met = ask_groups(unions(whole, near), queries.select("gid", "node"), near)
-    opened = queries.join(met.where("b is null").select("gid", F.col("a").alias("node")), ["gid", "node"], "left_semi")
-    shown = members.join(opened.select("gid").union(mixed).distinct(), "gid", "left_semi")
-    second = open_groups(shown, opened, mixed, near)
-    out = materialise(first.union(met).where("b is not null").select("a", "b").union(second))
+    out = materialise(first.union(open_groups(members, queries, mixed, sets)))
     drop_since(spark, start, out)
     return out
 
