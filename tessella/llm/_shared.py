@@ -120,8 +120,8 @@ def as_given(out: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(*[F.col(out.columns[i]).alias(c) for i, c in enumerate(docs.columns)])
 
 
-def fixed_table(rows: DataFrame, slots: int, kind: str) -> np.ndarray:
-    """An array of `slots` numbers from rows (slot, v), a row a slot at most; slots without a row are 0.
+def fixed_table(rows: DataFrame, slots: int, kind: str, together: np.ufunc = np.add, last: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """An array of `slots` numbers from rows (slot, v), where `together` joins the rows of a slot, from 0; `last` may turn sums (long) into numbers of `kind`.
 
     Executors pack the rows into PACKS pieces, so what the driver gets are that many rows, of the array's size together.
     """
@@ -135,8 +135,8 @@ def fixed_table(rows: DataFrame, slots: int, kind: str) -> np.ndarray:
             slot, v = slot[order], v[order]
             packs, starts = np.unique(slot // width, return_index=True)
             for p, i, j in zip(packs.tolist(), starts, [*starts[1:], len(slot)]):
-                held.setdefault(p, np.zeros(width, kind))[slot[i:j] % width] = v[i:j]
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["pack", "data"])
+                together.at(held.setdefault(p, np.zeros(width, np.int64)), slot[i:j] % width, v[i:j])
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([(last(x) if last else x).astype(kind).tobytes() for x in held.values()], pa.binary())], names=["pack", "data"])
 
     dealt = rows.select(F.col("slot").cast("long"), F.col("v").cast("long")).repartition(F.expr(f"slot div {width}"))
     out = np.zeros(width * PACKS, kind)
@@ -150,8 +150,8 @@ def fixed_table(rows: DataFrame, slots: int, kind: str) -> np.ndarray:
 def id_filter(ids: DataFrame, name: str) -> np.ndarray:
     """FILTER_BITS bits as bytes, set where an id of a column falls."""
     slot = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
-    rows = ids.select(slot.alias("s")).groupBy(F.expr("s div 32").alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 32).cast("int"))).alias("v"))
-    return fixed_table(rows, FILTER_BITS // 32, "<u4").view(np.uint8)
+    rows = ids.select(slot.alias("s")).select(F.expr("s div 32").alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 32).cast("int")).alias("v"))
+    return fixed_table(rows, FILTER_BITS // 32, "<u4", np.bitwise_or).view(np.uint8)
 
 
 def narrowed(rows: DataFrame, name: str, ids: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import PUNCTUATION, as_given, ascii_lower, bound, documents, drop_since, hex_sha256, mark, materialise, set_aside, without, words_of
+from tessella.llm._shared import PUNCTUATION, as_given, ascii_lower, bound, documents, drop_since, fixed_table, hex_sha256, mark, materialise, set_aside, without, words_of
 
 #: Words in a window.
 WINDOW = 10
@@ -43,13 +43,10 @@ def _slot(hashes: list[Column]) -> Column:
 
 
 def _slot_table(windows: DataFrame, width: int) -> Column:
-    """A byte for each slot, 1 where a window of this width falls. At most SLOTS numbers come to the driver."""
+    """A byte for each slot, 1 where a window of this width falls. The table comes to the driver in pieces, by one job."""
     words = F.split("window", " ")
-    slots = windows.where(F.col("width") == width).select(_slot([F.xxhash64(words[i]) for i in range(width)]).alias("slot")).distinct()
-    table = bytearray(SLOTS)
-    for row in slots.toLocalIterator():
-        table[row.slot] = 1
-    return F.lit(bytes(table))
+    slots = windows.where(F.col("width") == width).select(_slot([F.xxhash64(words[i]) for i in range(width)]).alias("slot"), F.lit(1).alias("v")).distinct()
+    return F.lit(fixed_table(slots, SLOTS, "u1").tobytes())
 
 
 def candidates(windows: DataFrame, words: str, hashes: str) -> Column:

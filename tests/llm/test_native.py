@@ -228,3 +228,18 @@ def test_stages_on_odd_tables(spark):
         assert stage(spark, df.limit(0), FOLDER).count() == 0, name
     coded = P.STAGES[-1][1](spark, df, FOLDER).collect()
     assert len(coded) == 36 and {r.n_tokens for r in coded if r.doc_id in (2, 3)} == {0}
+
+
+def test_slot_table_by_few_jobs(spark):
+    """The table of windows comes to the driver by one query, not by a job for each partition."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", "40")
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    windows = decontamination.item_windows(session.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "x y")], "item_id long, text string"))
+    spark.sparkContext.setJobGroup("slots", "slots")
+    try:
+        decontamination._slot_table(windows, 10)
+        assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("slots")) < 10
+    finally:
+        for name in ("spark.job.description", "spark.jobGroup.id"):
+            spark.sparkContext.setLocalProperty(name, None)
