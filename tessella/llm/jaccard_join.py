@@ -12,7 +12,7 @@ with the document, all at once: one link with each component of the group is eno
    most with. Nodes so linked make up components, cut into pieces. Pieces that meet at crowded tokens are put together
    by the leader of most of these, whether they link or not: these families, in parts, and the other pieces are the groups.
 4. Groups ask the matrix for other groups: of two that can hold a link the nodes of the smaller ask the larger. Nodes of
-   a family are compared with each other. Components of all links are the result.
+   a family are compared with each other if the tokens they ask with allow a link. Components of all links are the result.
 """
 
 from __future__ import annotations
@@ -149,7 +149,7 @@ def token_levels(sets: DataFrame) -> np.ndarray:
         def counted():
             tokens, n = np.unique(np.concatenate([_numbers(x) for x in held.values()] or [np.zeros(0, np.int64)]), return_counts=True)
             often = n >= LOCALLY_FREQUENT
-            return pa.RecordBatch.from_arrays([pa.array(tokens[often] & (SLOTS - 1)), pa.array(n[often])], names=["slot", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(tokens[often] & (SLOTS - 1)), pa.array(n[often])], names=["slot", "v"])
 
         for batch in batches:
             for node, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -161,8 +161,8 @@ def token_levels(sets: DataFrame) -> np.ndarray:
                     held, size = {}, 0
         yield counted()
 
-    rows = sets.where("n > 0").select("node", "tokens").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    return fixed_table(rows.select("slot", (F.floor(F.log2(F.col("n").cast("double"))) + 1).alias("v")), SLOTS, "u1")
+    rows = sets.where("n > 0").select("node", "tokens").mapInArrow(run, "slot long, v long")
+    return fixed_table(rows, SLOTS, "u1", last=lambda n: np.where(n > 0, np.floor(np.log2(np.maximum(n, 1))) + 1, 0))
 
 
 def needed(n):
@@ -228,13 +228,13 @@ def _least_common(n, m):
 
 def leader_pairs(shared: DataFrame) -> DataFrame:
     """gid, node: each node with the leader of most of its tokens, and the leaders of a token's parts with the first of them."""
-    near = shared.where((F.col("node") != F.col("leader")) & _comparable("n", "leader_n")).groupBy("node", "leader", "n", "leader_n").agg(F.count_distinct("token").alias("c"))
+    # One exchange, by node, serves both sums; a node has a token once.
+    near = shared.where((F.col("node") != F.col("leader")) & _comparable("n", "leader_n")).select("node", "leader", "n", "leader_n").repartition("node").groupBy("node", "leader", "n", "leader_n").agg(F.count("*").alias("c"))
     # This step need not find all links, as the matrix does; pairs that share less than half of what links do are left to it.
     near = near.where(2 * F.col("c") >= _least_common(F.col("n"), F.col("leader_n")))
     best = near.groupBy("node").agg(F.max(F.struct("c", "leader"))["leader"].alias("gid"))
-    heads = shared.where("part != 0").select("token", "leader", "leader_n").distinct()
-    first = heads.groupBy("token").agg(F.min(F.struct("leader", "leader_n")).alias("_f"))
-    across = heads.join(first, "token").where((F.col("leader") != F.col("_f.leader")) & (F.col("leader_n") * 100 >= F.col("_f.leader_n") * PERCENT) & (F.col("_f.leader_n") * 100 >= F.col("leader_n") * PERCENT))
+    heads = shared.where((F.col("part") != 0) & (F.col("node") == F.col("leader"))).select("token", "leader", "leader_n")
+    across = heads.withColumn("_f", F.min(F.struct("leader", "leader_n")).over(Window.partitionBy("token"))).where((F.col("leader") != F.col("_f.leader")) & (F.col("leader_n") * 100 >= F.col("_f.leader_n") * PERCENT) & (F.col("_f.leader_n") * 100 >= F.col("leader_n") * PERCENT))
     return best.select("gid", "node").union(across.select(F.col("_f.leader").alias("gid"), F.col("leader").alias("node"))).distinct()
 
 
@@ -265,15 +265,22 @@ class _Opened:
             self.joined[component] = component = self.joined.get(up, up)
         return component
 
+    def _common(self, at: np.ndarray) -> np.ndarray:
+        """How many of the tokens at these places of the union each member holds."""
+        held = np.zeros(len(self.union), np.int64)
+        held[at] = 1
+        return np.add.reduceat(held[self.places], self.starts)
+
+    def _own(self) -> list[np.ndarray]:
+        """For each member the places of its tokens in the union."""
+        return np.split(self.places, self.starts[1:])
+
     def links(self, node: int, component: int, n: int, own: np.ndarray) -> list[tuple[int, int]]:
         at = np.minimum(np.searchsorted(self.union, own), len(self.union) - 1)
         at = at[self.union[at] == own]
         if len(at) < needed(n):
             return []
-        held = np.zeros(len(self.union), np.int64)
-        held[at] = 1
-        common = np.add.reduceat(held[self.places], self.starts)
-        out = []
+        common, out = self._common(at), []
         for i in np.nonzero(100 * common >= PERCENT * (n + self.sizes - common))[0].tolist():
             x, y = self._root(component), self._root(self.components[i])
             if x != y:
@@ -283,21 +290,51 @@ class _Opened:
 
     def inner(self) -> list[tuple[int, int]]:
         """Links between the members."""
-        ends = [*self.starts[1:].tolist(), len(self.places)]
-        return [x for i, a in enumerate(self.starts.tolist()) for x in self.links(self.nodes[i], self.components[i], int(self.sizes[i]), self.union[self.places[a : ends[i]]])]
+        return [x for i, at in enumerate(self._own()) for x in self.links(self.nodes[i], self.components[i], int(self.sizes[i]), self.union[at])]
+
+    def kin(self) -> list[tuple[int, int]]:
+        """Node and component of the members that may link with a member of another component, where the tokens are those asked with."""
+        components, out = np.array(self.components), []
+        for i, at in enumerate(self._own()):
+            n, m = self.sizes[i], self.sizes
+            most = np.maximum(n, m)
+            least = -(-PERCENT * (n + m) // (100 + PERCENT)) - needed(most) + 1  # as in _least_common(), and half of it as in group_pairs()
+            fits = (components != components[i]) & (100 * np.minimum(n, m) >= PERCENT * most) & (self._common(at) >= np.maximum(least // 2, 1))
+            if fits.any():
+                out.append((self.nodes[i], self.components[i]))
+        return out
+
+
+def kin(rows: DataFrame) -> DataFrame:
+    """gid, node, component of those nodes of rows (gid, node, component, n, token) that may link with a node of another component in their group, as a written table.
+
+    The tokens that nodes ask with decide, so the sets of most nodes of a family, which share a passage only, need not travel.
+    """
+    dealt = rows.select("gid", "node", "component", "n", "token").repartition("gid").sortWithinPartitions("gid", "node")
+
+    def run(batches):
+        each = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(5))))
+        for gid, some in groupby(each, lambda row: row[0]):
+            members = [(*member, _packed(np.array([row[4] for row in held]))) for member, held in groupby(some, lambda row: row[1:4])]
+            found = _Opened(members).kin()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([gid] * len(found), pa.int64()), *(pa.array([x[i] for x in found], pa.int64()) for i in range(2))], names=["gid", "node", "component"])
+
+    return materialise(dealt.mapInArrow(run, "gid long, node long, component long"))
 
 
-def open_groups(members: DataFrame, queries: DataFrame, families: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: links of each query (gid, node, component) with members (gid, node, component) of its group, and of the members of `families` (gid) with each other; as a written table.
+def open_groups(members: DataFrame, queries: DataFrame, near: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links of each query (gid, node, component) with members (gid, node, component) of its group, and of those in `near` (the same columns) with each other; as a written table.
 
     Links between what those given join already are left out, so there are fewer than queries and members together. Of
     groups with many queries there are copies, each with a share of these; a task holds one group at a time and the
-    queries pass by. Members of groups that nobody asks and that are no families stay where they are.
+    queries pass by. Members of groups that nobody asks stay where they are.
     """
-    copies = queries.select("gid", F.lit(1).alias("asks")).union(families.select("gid", F.lit(0))).groupBy("gid").agg(F.greatest(F.lit(1), F.ceil(F.sum("asks") / QUERIES_A_COPY)).cast("int").alias("copies"), (F.min("asks") == 0).alias("family"))
+    copies = queries.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES_A_COPY).cast("int").alias("copies"))
     asked = queries.join(copies, "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), F.lit(2).alias("kind"), "node", "component")
-    held = members.join(copies, "gid").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("gid", "copy", (F.col("family") & (F.col("copy") == 0)).cast("int").alias("kind"), "node", "component")
-    rows = with_sets(sets, materialise(held.union(asked))).select("gid", "copy", "kind", "node", "component", "n", "tokens").repartition("gid", "copy").sortWithinPartitions("gid", "copy", "kind", "node")
+    held = members.join(copies, "gid").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("gid", "copy", F.lit(0).alias("kind"), "node", "component")
+    within = near.select("gid", F.lit(-1).alias("copy"), F.lit(1).alias("kind"), "node", "component")
+    rows = with_sets(sets, materialise(held.union(asked).union(within))).select("gid", "copy", "kind", "node", "component", "n", "tokens").repartition("gid", "copy").sortWithinPartitions("gid", "copy", "kind", "node")
 
     def run(batches):
         found, group = [], None
@@ -355,19 +392,18 @@ def _pieces(nodes, shingles):
     return F.ceil(F.greatest(nodes / GROUP, shingles / GROUP_SHINGLES)).cast("long")
 
 
-def families(rows: DataFrame) -> DataFrame:
-    """A written table: unit, gid for the units of rows (token, node, n, unit) that crowded tokens put together.
+def families(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A written table: unit, gid for the units that crowded tokens put together, from rows (unit, crowd) and nodes (unit, node, n).
 
-    Units that share a passage but do not link would meet in pairs at each of its tokens. The smallest unit of a crowded
+    `crowd` is the smallest unit of a crowded token, in one row of each of its units, else null. Units that share a passage but do not link would meet in pairs at each of its tokens. The smallest unit of a crowded
     token is its leader; a unit goes with the leader of most of its crowded tokens, and what goes with one leader is dealt to
     groups. Where a unit goes changes no link, as groups are compared within and with each other.
     """
-    held = rows.select("token", "unit").distinct()
-    crowded = held.groupBy("token").agg(F.count("*").alias("units"), F.min("unit").alias("leader")).where(F.col("units") >= CROWD).select("token", "leader")
-    led = held.join(crowded, "token").groupBy("unit", "leader").agg(F.count("*").alias("c"))
-    best = materialise(led.groupBy("unit").agg(F.max(F.struct("c", "leader"))["leader"].alias("leader")))
-    nodes = rows.join(best, "unit").select("leader", "unit", "node", "n").distinct()
-    pieces = nodes.groupBy("leader").agg(_pieces(F.count("*"), F.sum("n")).alias("pieces"))
+    led = rows.where(F.col("crowd").isNotNull()).select("unit", F.col("crowd").alias("leader")).repartition("unit").groupBy("unit", "leader").agg(F.count("*").alias("c"))
+    best = led.groupBy("unit").agg(F.max(F.struct("c", "leader"))["leader"].alias("leader"))
+    held = nodes.groupBy("unit").agg(F.count("*").alias("nodes"), F.sum("n").alias("n"))
+    best = materialise(best.join(held, "unit"))
+    pieces = best.groupBy("leader").agg(_pieces(F.sum("nodes"), F.sum("n")).alias("pieces"))
     return materialise(best.join(pieces, "leader").select("unit", F.xxhash64("leader", F.pmod(F.xxhash64("unit"), F.col("pieces")), F.lit("family")).alias("gid")))
 
 
@@ -405,28 +441,33 @@ def link(sets: DataFrame) -> DataFrame:
     shared = shared_tokens(sets)
     pairs = materialise(leader_pairs(shared))
     heads = pairs.select("gid", F.col("gid").alias("node"), F.col("gid").alias("component")).distinct()
-    first = open_groups(heads, pairs.select("gid", "node", F.col("node").alias("component")), heads.select("gid").limit(0), sets)
+    first = open_groups(heads, pairs.select("gid", "node", F.col("node").alias("component")), heads.limit(0), sets)
     known = components(first)
     # Units: components, those of many nodes in pieces; a node without links is a unit of its own.
     known = known.join(sets.where("n > 0").select("node", "n").dropDuplicates(["node"]), "node")
     size = known.groupBy("component").agg(_pieces(F.count("*"), F.sum("n")).alias("pieces"))
     grouped = materialise(known.join(size, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("pieces")).alias("piece")))
     rows = shared.join(grouped, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("component"), F.coalesce("piece", F.lit(0)).alias("piece"))
-    open_tokens = rows.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("token")
-    rows = materialise(rows.join(open_tokens, "token", "left_semi").select("token", "node", "n", "at", "component", F.xxhash64("component", "piece").alias("unit")))
+    # One exchange, by token, tells which tokens are of more than one component and which are crowded.
+    rows = rows.select("token", "node", "n", "at", "component", F.xxhash64("component", "piece").alias("unit"))
+    whole = Window.partitionBy("token").orderBy("unit").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    new = F.coalesce(F.col("unit") != F.lag("unit").over(Window.partitionBy("token").orderBy("unit")), F.lit(True))
+    rows = rows.withColumn("_new", new).withColumns({"_a": F.min("component").over(whole), "_b": F.max("component").over(whole), "_units": F.count_if("_new").over(whole), "_first": F.min("unit").over(whole)})
+    crowd = F.when(F.col("_new") & (F.col("_units") >= CROWD), F.col("_first"))
+    rows = materialise(rows.where("_a < _b").select("token", "node", "n", "at", "component", "unit", crowd.alias("crowd")))
     drop_since(spark, start, first, rows)
-    in_family = families(rows)
-    rows = materialise(rows.join(in_family, "unit", "left").withColumn("gid", F.coalesce("gid", "unit")))
-    members = materialise(rows.select("gid", "node", "component").distinct())
-    sizes = members.groupBy("gid").agg(F.count("*").alias("size"), F.min("component").alias("_a"), F.max("component").alias("_b"))
-    mixed = materialise(sizes.where("_a < _b").select("gid"))
+    nodes = materialise(rows.select("unit", "node", "component", "n").distinct())
+    in_family = families(rows, nodes)
+    rows = materialise(rows.drop("crowd").join(in_family, "unit", "left").withColumns({"family": F.col("gid").isNotNull(), "gid": F.coalesce("gid", "unit")}))
+    members = materialise(nodes.join(in_family, "unit", "left").select(F.coalesce("gid", "unit").alias("gid"), "node", "component"))
+    sizes = materialise(members.groupBy("gid").agg(F.count("*").alias("size")))
     pairs = group_pairs(rows)
     for side in "xy":
         pairs = pairs.join(sizes.select(F.col("gid").alias(side), F.col("size").alias(f"{side}_size")), side)
     swap = F.struct("x_size", "x") > F.struct("y_size", "y")
     asked = materialise(pairs.select(F.when(swap, F.col("x")).otherwise(F.col("y")).alias("gid"), F.when(swap, F.col("y")).otherwise(F.col("x")).alias("asker")))
     queries = materialise(asked.join(members.withColumnRenamed("gid", "asker"), "asker").select("gid", "node", "component"))
-    out = materialise(first.union(open_groups(members, queries, mixed, sets)))
+    out = materialise(first.union(open_groups(members, queries, kin(rows.where("family")), sets)))
     drop_since(spark, start, out)
     return out
 

@@ -75,6 +75,14 @@ def test_opened_group():
     assert group.links(9, 9, 5, J._numbers(tokens(1, 2, 3, 4, 5))) == [(9, 1)] and group.links(10, 9, 5, J._numbers(tokens(1, 2, 3, 4, 5))) == []
 
 
+def test_kin(spark):
+    """Of a family that shares a passage's token only those members are compared that share enough tokens, whatever they have of their own."""
+    rows = [(1, i, i, 100, 7) for i in range(1, 21)] + [(1, i, c, 100, 50 + k) for i, c in ((30, 30), (31, 31), (32, 30)) for k in range(12)]
+    rows += [(1, 40, 40, 100, 200 + k) for k in range(12)] + [(1, 41, 41, 200, 200 + k) for k in range(12)] + [(2, 50, 30, 100, 50 + k) for k in range(12)]
+    df = spark.createDataFrame(rows, "gid long, node long, component long, n int, token long")
+    assert sorted(map(tuple, J.kin(df).collect())) == [(1, 30, 30), (1, 31, 31), (1, 32, 30)]
+
+
 def test_long_chain(spark):
     """Neighbours link, the ends do not: the class is the whole chain."""
     words = [f"w{i}" for i in range(300)]
