@@ -1,9 +1,9 @@
 """Benchmark decontamination: training texts are scanned for the word windows of test items.
 
-Windows of the test items form a hash set that is broadcast, as literals of the scan, behind a check of its bytes.
-Before a window of a training text is looked up there, a table of one byte a slot tells whether it can be in the set at
-all; the few that can are compared letter by letter with the windows of their bucket, so hits are exact. All that is
-done in the row: training texts are read once, and neither multiplied nor shuffled.
+Windows of the test items form a hash set that is broadcast, as scalar subqueries of the scan, behind a check of its
+bytes. Before a window of a training text is looked up there, a table of one byte a slot tells whether it can be in the
+set at all; the few that can are compared letter by letter with the windows of their bucket, so hits are exact. All that
+is done in the row: training texts are read once, and neither multiplied nor shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import PUNCTUATION, as_given, ascii_lower, bound, documents, drop_since, fixed_table, hex_sha256, mark, materialise, set_aside, without, words_of
+from tessella.llm._shared import PUNCTUATION, as_given, ascii_lower, bound, documents, drop_since, hex_sha256, mark, materialise, set_aside, without, words_of
 
 #: Words in a window.
 WINDOW = 10
@@ -20,9 +20,8 @@ SLOTS = 1 << 18
 BUCKETS = 1 << 14
 #: Most bytes of the set that is broadcast; windows of larger benchmarks are joined by a shuffle of what passes the first test.
 BROADCAST_BYTES = 32_000_000
-#: A window's head in the set: where its text and its items begin, and their lengths, as so many digits each.
-DIGITS = 9
-HEAD = 4 * DIGITS
+#: Bytes of a window in the set beside those of its text and its items.
+HEAD = 48
 RESULTS = ["n_words", "n_hit", "spans", "items"]
 
 
@@ -42,70 +41,54 @@ def _slot(hashes: list[Column]) -> Column:
     return F.xxhash64(*hashes).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
 
 
-def _slot_table(windows: DataFrame, width: int) -> Column:
-    """A byte for each slot, 1 where a window of this width falls. The table comes to the driver in pieces, by one job."""
+def _dense(rows: DataFrame, size: int, none: Column) -> DataFrame:
+    """The rows (at, v) as one array of `size`, by `at`, with `none` where no row is: a written table of one row, for scalar()."""
+    gap = lambda at, before: F.array_repeat(none, at - F.coalesce(before, F.lit(-1)) - 1)
+    held = rows.agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("x"))
+    parts = F.transform("x", lambda r, i: F.concat(gap(r["at"], F.get("x", i - 1)["at"]), F.array(r["v"])))
+    rest = gap(F.lit(size), F.get("x", F.size("x") - 1)["at"])
+    return materialise(held.select(F.flatten(F.concat(parts, F.array(rest))).alias("x")))
+
+
+def _slot_table(windows: DataFrame, width: int) -> DataFrame:
+    """array<tinyint>: a byte for each slot, 1 where a window of this width falls."""
     words = F.split("window", " ")
-    slots = windows.where(F.col("width") == width).select(_slot([F.xxhash64(words[i]) for i in range(width)]).alias("slot"), F.lit(1).alias("v")).distinct()
-    return F.lit(fixed_table(slots, SLOTS, "u1").tobytes())
+    slots = windows.where(F.col("width") == width).select(_slot([F.xxhash64(words[i]) for i in range(width)]).alias("at")).distinct()
+    return _dense(slots.select("at", F.lit(1).cast("tinyint").alias("v")), SLOTS, F.lit(0).cast("tinyint"))
+
+
+def _starts(hashes: str, width: int) -> Column:
+    size = F.size(hashes)
+    return F.when(size >= width, F.sequence(F.lit(0), size - width)).otherwise(F.array().cast("array<int>"))
 
 
-def candidates(windows: DataFrame, words: str, hashes: str) -> Column:
-    """array<struct<at, width, hash, window>>: the windows of an array of words that may be windows of an item."""
+def candidates(tables: dict[int, tuple[str, str]], words: str, hashes: str) -> Column:
+    """array<struct<at, width, hash, window>>: the windows of an array of words that may be windows of an item, by the columns of each width's starts and slot table."""
     found = [F.array().cast("array<struct<at:int,width:int,hash:bigint,window:string>>")]
-    for width in sorted(r.width for r in windows.select("width").distinct().collect()):  # 1 to the window's width
-        table, h = _slot_table(windows, width), F.col(hashes)
-        starts = F.when(F.size(h) >= width, F.sequence(F.lit(0), F.size(h) - width)).otherwise(F.array().cast("array<int>"))
-        may = F.filter(starts, lambda i: F.substring(table, _slot([F.get(h, i + k) for k in range(width)]) + 1, F.lit(1)) == F.lit(b"\x01"))
+    h = F.col(hashes)
+    for width, (starts, table) in tables.items():
+        may = F.filter(starts, lambda i: F.get(table, _slot([F.get(h, i + k) for k in range(width)])) == F.lit(1).cast("tinyint"))
         found.append(F.transform(may, lambda i: F.struct(i.alias("at"), F.lit(width).alias("width"), F.xxhash64(*[F.get(h, i + k) for k in range(width)]).alias("hash"), F.array_join(F.slice(F.col(words), i + 1, width), " ").alias("window"))))
     return F.concat(*found)
 
 
-def _digits(blob: Column, at: Column | int) -> Column:
-    """The number that stands in a binary literal from the byte `at`, counted from 0."""
-    return F.substring(blob, (F.lit(at) if isinstance(at, int) else at) + 1, F.lit(DIGITS)).cast("string").cast("int")
-
-
-class WindowSet:
-    """The windows as four literals: heads of all windows, bucket by bucket; where each bucket begins; texts; items."""
-
-    def __init__(self, windows: DataFrame):
-        word = F.split("window", " ")
-        buckets: dict[int, list[tuple[bytes, bytes]]] = {}
-        for width in sorted(r.width for r in windows.select("width").distinct().collect()):
-            one = windows.where(F.col("width") == width).select(F.xxhash64(*[F.xxhash64(word[i]) for i in range(width)]).bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"), F.col("window").cast("binary").alias("t"), F.array_join(F.array_sort("items"), "\0").cast("binary").alias("i"))
-            for r in one.toLocalIterator():
-                buckets.setdefault(r.b, []).append((bytes(r.t), bytes(r.i)))
-        number = lambda *values: "".join(f"{v:0{DIGITS}d}" for v in values).encode()
-        places: dict[bytes, int] = {}
-        heads, starts, texts, items = [], [], [], []
-        n_texts = n_items = 0
-        for b in range(BUCKETS):
-            starts.append(len(heads))
-            for text, ids in buckets.get(b, []):
-                if ids not in places:
-                    places[ids] = n_items
-                    items.append(ids)
-                    n_items += len(ids)
-                heads.append(number(n_texts, len(text), places[ids], len(ids)))
-                texts.append(text)
-                n_texts += len(text)
-        starts.append(len(heads))
-        self.heads, self.starts, self.texts, self.items = (F.lit(x) for x in (b"".join(heads), number(*starts), b"".join(texts), b"".join(items)))
-
-    def hits(self, found: Column) -> Column:
-        """array<struct<at, width, items>> of those candidates that are windows; items: ids with NUL between them."""
-        empty = F.array().cast("array<string>")
-
-        def owners(c: Column) -> Column:
-            bucket = c["hash"].bitwiseAND(F.lit(BUCKETS - 1)).cast("int") * DIGITS
-            first, last = _digits(self.starts, bucket), _digits(self.starts, bucket + DIGITS)
-            field = lambda k, i: _digits(self.heads, k * HEAD + i * DIGITS)
-            equal = lambda k: (field(k, 1) == F.octet_length(c["window"])) & (F.substring(self.texts, field(k, 0) + 1, field(k, 1)) == c["window"].cast("binary"))
-            heads = F.filter(F.when(last > first, F.sequence(first, last - 1)).otherwise(F.array().cast("array<int>")), equal)
-            return F.transform(heads, lambda k: F.substring(self.items, field(k, 2) + 1, field(k, 3)).cast("string"))
-
-        known = F.transform(found, lambda c: F.struct(c["at"].alias("at"), c["width"].alias("width"), F.get(F.coalesce(owners(c), empty), F.lit(0)).alias("items")))
-        return F.filter(known, lambda x: x["items"].isNotNull())
+def _bucket(hash: Column) -> Column:
+    return hash.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def _window_set(windows: DataFrame, widths: list[int]) -> DataFrame:
+    """array<array<struct<window, items>>>: the windows by their bucket; items: ids with NUL between them."""
+    word = F.split("window", " ")
+    bucket = F.coalesce(F.lit(None).cast("int"), *[F.when(F.col("width") == k, _bucket(F.xxhash64(*[F.xxhash64(F.get(word, F.lit(i))) for i in range(k)]))) for k in widths])
+    rows = windows.select(bucket.alias("at"), F.struct("window", F.array_join(F.array_sort("items"), "\0").alias("items")).alias("v")).groupBy("at").agg(F.collect_list("v").alias("v"))
+    return _dense(rows, BUCKETS, F.array().cast(rows.schema["v"].dataType))
+
+
+def known(found: str, buckets: str) -> Column:
+    """array<struct<at, width, items>> of those candidates that are windows; items: ids with NUL between them."""
+    items = lambda c: F.get(F.filter(F.get(buckets, _bucket(c["hash"])), lambda x: x["window"] == c["window"]), F.lit(0))["items"]
+    owned = F.transform(found, lambda c: F.struct(c["at"].alias("at"), c["width"].alias("width"), items(c).alias("items")))
+    return F.filter(owned, lambda x: x["items"].isNotNull())
 
 
 def _runs(hits: Column) -> Column:
@@ -132,12 +115,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFram
     work, back = set_aside(docs, ["text"], RESULTS)
     start = mark()
     windows = materialise(item_windows(benchmark, width))
-    size = windows.agg(F.sum(F.octet_length("window") + F.octet_length(F.array_join("items", "\0")) + HEAD).alias("n")).first().n or 0
+    sizes = {r.width: r.n for r in windows.groupBy("width").agg(F.sum(F.octet_length("window") + F.octet_length(F.array_join("items", "\0")) + HEAD).alias("n")).collect()}
+    tables = {k: _slot_table(windows, k) for k in sorted(sizes)}  # widths from 1 to the window's
     row = work.withColumn("_w", normalised_words(F.col("text"))).withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-    row = row.withColumns({"n_words": F.size("_w").cast("long"), "_found": candidates(windows, "_w", "_h")}).drop("_w", "_h")
-    if size <= BROADCAST_BYTES:
-        row = row.withColumn("_hits", WindowSet(windows).hits(F.col("_found")))
-        drop_since(docs.sparkSession, start)
+    # A subquery has to stand outside lambdas here. Spark moves it into the one column above that names it, and not down
+    # to _h, which _s names more than once; so no row carries its value.
+    asked = {k: (f"_s{k}", f"_t{k}") for k in tables}
+    row = row.withColumns({c: v for k, (x, t) in asked.items() for c, v in ((x, _starts("_h", k)), (t, tables[k].scalar()))})
+    row = row.select(*work.columns, F.size("_w").cast("long").alias("n_words"), candidates(asked, "_w", "_h").alias("_found"))
+    if sum(sizes.values()) <= BROADCAST_BYTES:
+        buckets = _window_set(windows, list(tables))
+        drop_since(docs.sparkSession, start, *tables.values(), buckets)
+        row = row.withColumn("_set", buckets.scalar()).withColumn("_hits", known("_found", "_set")).drop("_set")
     else:
         row = _joined(row, windows)
     out = row.withColumn("spans", _runs(F.col("_hits")))

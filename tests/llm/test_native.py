@@ -243,3 +243,30 @@ def test_slot_table_by_few_jobs(spark):
     finally:
         for name in ("spark.job.description", "spark.jobGroup.id"):
             spark.sparkContext.setLocalProperty(name, None)
+
+
+def test_decontamination_without_python_or_literals(spark, tmp_path):
+    """No job of the scan runs Python on the executors, and the set of windows is no part of the plans that the driver holds."""
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(60)] + [(100, "one two")]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    docs = spark.createDataFrame([(1, f"a {items[7][1]} b"), (2, "One, two!"), (3, "clean")], "doc_id long, text string")
+    held = spark._jsparkSession.sharedState().statusStore()
+    before = held.executionsCount()
+    decontamination.decontaminate(docs, bench).write.parquet(str(tmp_path / "kept"))
+    assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "kept")).collect()] == [3]
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = held.executionsList(int(before), 1000)
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(ran.size())]
+    assert any("scalar-subquery" in x or "Subquery" in x for x in plans)
+    assert not [x for x in plans if re.search("InArrow|InPandas|EvalPython", x)]
+    assert max(map(len, plans)) < 100_000, max(map(len, plans))
+
+
+def test_decontamination_rows_carry_no_table(spark, frame):
+    """The tables of windows are values inside expressions: no column of a row holds one."""
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "x y")], "item_id long, text string")
+    docs = frame("x y", "a b c d e f g h i j k", None)
+    scanned = decontamination.scan(docs, bench)
+    for out in (scanned, scanned.select("doc_id", "n_hit"), scanned.select("spans"), decontamination.decontaminate(docs, bench), decontamination.remove_spans(docs, bench)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "scalar-subquery" in plan and not re.search(r"scalar-subquery#\d+ \[[^\]]*\] AS |\b_(t\d+|set)#", plan), plan
