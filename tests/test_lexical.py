@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,51 @@ def test_no_join_by_a_term(spark):
         assert "Join" not in plan and "Generate" not in plan
 
 
+def test_many_queries_are_asked_in_groups(spark, monkeypatch):
+    """No task gets more query blocks than those of a group, and blocks of queries and documents never share a row."""
+    monkeypatch.setattr(lexical, "QUERIES", 5)
+    monkeypatch.setattr(lexical, "BROADCAST_BYTES", 2000)
+    docs, queries = tables(spark)
+    for search_by in (search.sparse_topk, search.bm25_topk):
+        sizes, met = [], lexical._met
+        monkeypatch.setattr(lexical, "_met", lambda index, asked, *a, **b: (sizes.append(sum(len(x) for x in asked["ids"])), met(index, asked, *a, **b))[1])
+        plan = search_by(queries.repartition(2), docs, 3)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and len(sizes) > 2 and max(sizes) < len(ASKED)
+        monkeypatch.setattr(lexical, "_met", met)
+
+
+@pytest.mark.parametrize("scoring", ["counts", "bm25"])
+def test_documents_that_are_passed_by(scoring):
+    """Long documents bound what the others have to reach; what is found is what all products give, ties and conditions included."""
+    draw, numbers, k = random.Random(3), lexical._Numbers(False), 4
+    text = lambda n: [f"w{min(int(draw.expovariate(0.05)), 300)}" for _ in range(n)]
+    held = [text(int(draw.paretovariate(0.9))) for _ in range(1500)] + [text(3000)] * 9
+    asked = [text(draw.choice([1, 5, 50, 500])) for _ in range(40)] + [["none"], []]
+    made = lambda rows: lexical._Block({c: v[0].as_py() for c, v in lexical._inverted(pa.array(range(len(rows))), pa.array(rows, pa.list_(pa.string())), None, numbers).items()})
+    q, block = made(asked), made(held)
+    c = lexical._Held(block, scoring, 20.0)
+    idf = None if scoring == "counts" else np.linspace(0.1, 3, len(q.terms))
+    weights = np.zeros((block.n, len(block.terms)))
+    weights[block.docs, np.repeat(np.arange(len(block.terms)), np.diff(block.starts))] = c.weights
+    wanted = np.zeros((q.n, len(q.terms)))
+    wanted[q.docs, np.repeat(np.arange(len(q.terms)), np.diff(q.starts))] = q.tf
+    wanted *= 1 if idf is None else idf
+    at = {t: i for i, t in enumerate(block.terms.tolist())}
+    both = [i for i, t in enumerate(q.terms.tolist()) if t in at]
+    score = np.round(wanted[:, both] @ weights[:, [at[t] for t in q.terms[both].tolist()]].T, 6)
+    masks = np.array([[(i + j) % 3 > 0 or i % 2 == 0 for j in range(block.n)] for i in range(q.n)])
+    for mask in (None, masks):
+        every = score if mask is None else np.where(mask, score, 0.0)
+        rows, columns = lexical.best_of(every, k)
+        found = lexical._found(q, c, idf, k, mask, scoring == "counts", block.n)
+        assert (found[0] == rows).all() and (found[1] == columns).all() and np.allclose(found[2], every[rows, columns], atol=2e-6)
+        q.kth = -np.sort(-every, 1)[:, k - 1]
+        rows, docs, _ = lexical._found(q, c, idf, k, mask, scoring == "counts", block.n)
+        assert set(zip(rows.tolist(), docs.tolist())) == {(i, j) for i, j in zip(*(x.tolist() for x in lexical.best_of(every, k)))}
+        q.kth = None
+    assert len(c._parts) > 1
+
+
 def test_a_written_index_grows(spark, tmp_path):
     docs, queries = tables(spark)
     folder = str(tmp_path / "index")
