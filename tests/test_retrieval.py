@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +20,23 @@ def test_shared_result_comes_first(spark):
     assert out[0] == 0 and set(out) == {0, 1, 2}
 
 
+def test_fused_halves_are_rounded_as_in_sql(spark):
+    """0.3 * 41 / 192 = 0.0640625, whose product with 10^6 lies below the half; 0.3 * 141 / 320 the other way round."""
+    sparse = leg(spark, [(q, d, float(s), 0) for q, low, s, high in ((1, 2508, 2549, 2700), (2, 828, 969, 1148)) for d, s in enumerate((low, s, high))])
+    found = {r.query_id: r.score for r in fusion.fuse(sparse.limit(0), sparse).where("doc_id = 1").collect()}
+    sql = "SELECT round(0.3::DOUBLE * (({s} - {low}::DOUBLE) / ({high} - {low}::DOUBLE)), 6)"
+    want = {q: duckdb.sql(sql.format(s=s, low=low, high=high)).fetchall()[0][0] for q, low, s, high in ((1, 2508, 2549, 2700), (2, 828, 969, 1148))}
+    assert found == want == {1: 0.064062, 2: 0.132188}
+
+
+def test_a_block_gives_its_k_best_without_a_sort(spark):
+    """Ties go to the smaller id, and scores of 0 and below are results of dense search."""
+    corpus = spark.createDataFrame([(i, [float(-(i % 3)), 0.0]) for i in range(30)], "doc_id long, embedding array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<double>")
+    out = search.dense_topk(asked, corpus, 12, distance="dot").orderBy("rank").collect()
+    assert [(r.doc_id, r.score) for r in out] == [(i, 0.0) for i in range(0, 30, 3)] + [(1, -1.0), (4, -1.0)]
+
+
 def test_weights_flip_the_order(spark):
     dense, sparse = leg(spark, [(1, 0, 0.9, 0)]), leg(spark, [(1, 2, 4.0, 0)])
     first = lambda w: fusion.hybrid(dense, sparse, 10, use_minmax=False, weights=w).where("rank = 0").first().doc_id
