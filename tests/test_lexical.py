@@ -120,6 +120,18 @@ def test_documents_that_are_passed_by(scoring):
     assert len(c._parts) > 1
 
 
+def test_only_what_reaches_goes_on(spark, monkeypatch):
+    """The second look at a group gives what reaches the k-th best of the first, not k rows of each block."""
+    monkeypatch.setattr(lexical, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(lexical.blocks, "__defaults__", (*lexical.blocks.__defaults__[:-1], 16))
+    docs = spark.range(640).select(F.col("id").alias("doc_id"), F.repeat(F.lit("fox "), (1 + F.col("id")).cast("int")).alias("text")).repartition(8)
+    queries = spark.createDataFrame([(0, "fox")], "query_id long, text string")
+    looks, met = [], lexical._met
+    monkeypatch.setattr(lexical, "_met", lambda index, asked, k, scoring, average, known, names, *a, **b: looks.append((names, (out := met(index, asked, k, scoring, average, known, names, *a, **b))[0].count())) or out)
+    assert [r.doc_id for r in search.sparse_topk(queries, docs, 5).orderBy("rank").collect()] == [639, 638, 637, 636, 635]
+    assert [names for names, _ in looks] == [None, ("query_id", "doc_id")] and looks[1][1] <= 2 * 5
+
+
 def test_a_written_index_grows(spark, tmp_path):
     docs, queries = tables(spark)
     folder = str(tmp_path / "index")
